@@ -46,10 +46,10 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     common: int = 100
-    class_distance: float = 0.25
-    word_distance: float = 0.55
+    class_distance: float = 0.33
+    word_distance: float = 0.38
     guard_chars: int = 200
-    guard_words: int = 50
+    guard_words: int = 150
     reference_words: int = 2000
 
 
