@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality
+from . import mixing, pieces, quality, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,4 +24,8 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_pieces)}
+def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.features(webp.store(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_pieces, op8_webp)}
