@@ -23,4 +23,26 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-SQL = {"op1_mix_sources": OP1}
+OP10 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS escaped,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS escaped_role FROM turns),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS after FROM marked)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### : </turn>') + 1 + CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) ELSE 1 + length(escaped_role) END + length(escaped)) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN place = 1 WHEN 'user' THEN place = 1 OR before IN ('system', 'assistant')
+    WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END)
+    AND bool_or(after IS NULL AND role = 'assistant') AS valid
+FROM ranked GROUP BY conv_id
+"""
+
+SQL = {"op1_mix_sources": OP1, "op10_chat": OP10}

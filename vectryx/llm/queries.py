@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, webp
+from . import chat, mixing, pieces, quality, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,4 +28,14 @@ def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.features(webp.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_pieces, op8_webp)}
+#: Says in its texts what the template says with its marks.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(rows.union(trap)))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_pieces, op8_webp, op10_chat)}
