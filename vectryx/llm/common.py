@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters outside ASCII white space; bytes.split() cuts at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """df, to be broadcast if it has few rows (of bounded width); otherwise joined as Catalyst and AQE see fit."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 class _WordHashes(dict):
     """64-bit hashes of words by word, forgotten when there are too many for memory."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing, pieces, quality, webp
+from . import chat, langid, minhash, mixing, pieces, quality, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.features(webp.store(table(spark, sf_dir, "documents")))
 
@@ -43,4 +47,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.union(trap)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_pieces, op8_webp, op9_language, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_pieces, op7_near_duplicates, op8_webp, op9_language, op10_chat)}
