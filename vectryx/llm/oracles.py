@@ -63,3 +63,37 @@ FROM sets s JOIN found f ON s.doc_id = f.id
 """
 
 SQL = {"op1_mix_sources": OP1, "op7_near_duplicates": OP7, "op10_chat": OP10}
+
+
+def _licenses() -> str:
+    from .licenses import CLUES, RULES, SENTENCES
+
+    clue = "|".join(sorted(c.strip() for c in CLUES))
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    steps, last = [], "s0"
+    for n, (name, ids) in enumerate(RULES, 1):
+        own = "".join(f"<{i}>" for i in ids)
+        steps.append(f"s{n} AS (SELECT doc_id, row, ids, replace(rest, '{own}', '|') AS rest, CASE WHEN contains(rest, '{own}') AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last})")
+        last = f"s{n}"
+    return rf"""
+WITH known(s, i) AS (VALUES {known}),
+numbered AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, row, regexp_split_to_array(text, '[.!?:;]+[\x20\x09-\x0D]+|[.!?:;]+\z|\n[\x20\x09-\x0D]*\n') AS parts FROM numbered),
+sentences AS (SELECT doc_id, row, generate_subscripts(parts, 1) AS place, unnest(parts) AS s FROM cut),
+clues AS (SELECT * FROM sentences WHERE regexp_matches(lower(s), '{clue}')),
+whole AS (SELECT c.*, k.i FROM clues c LEFT JOIN known k ON k.s = {norm.format("c.s")}),
+lines AS (SELECT row, place, generate_subscripts(string_split(s, chr(10)), 1) AS line, unnest(string_split(s, chr(10))) AS l FROM whole WHERE i IS NULL),
+found AS (
+  SELECT row, place, 0 AS line, i FROM whole WHERE i IS NOT NULL
+  UNION ALL SELECT l.row, l.place, l.line, k.i FROM lines l JOIN known k ON k.s = {norm.format("l.l")}),
+ids AS (SELECT row, count(*) AS n, string_agg('<' || i || '>', '' ORDER BY place, line) AS ids FROM found GROUP BY row),
+s0 AS (SELECT n.doc_id, n.row, coalesce(i.ids, '') AS ids, coalesce(i.ids, '') AS rest, CAST([] AS VARCHAR[]) AS names FROM numbered n LEFT JOIN ids i ON n.row = i.row),
+{", ".join(steps)}
+SELECT doc_id, CAST(len(regexp_extract_all(ids, '<')) AS BIGINT) AS n_sentences, ids AS sentence_ids, array_to_string(names, ',') AS licenses,
+  CAST(len(regexp_extract_all(rest, '<')) AS BIGINT) AS unmatched
+FROM {last}
+"""
+
+
+SQL["op3_licenses"] = _licenses()

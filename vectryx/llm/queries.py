@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, minhash, mixing, pieces, quality, substring, toxicity, webp
+from . import chat, langid, licenses, minhash, mixing, pieces, quality, substring, toxicity, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -57,4 +61,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.union(trap)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_passages, op5_toxicity, op6_pieces, op7_near_duplicates, op8_webp, op9_language, op10_chat)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_licenses, op4_passages, op5_toxicity, op6_pieces, op7_near_duplicates, op8_webp, op9_language, op10_chat)}
