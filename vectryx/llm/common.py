@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters outside ASCII white space; bytes.split() cuts at exactly these six bytes.
@@ -31,6 +31,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one struct column _row beside the keys, so that no name in docs can clash; select("_row.*") gives docs back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(k.alias(n) for n, k in keys.items()))
+
+
 def if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """df, to be broadcast if it has few rows (of bounded width); otherwise joined as Catalyst and AQE see fit."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small, mixed, shingle_hashes, sliced, texts, word_hashes
+from .common import checkpointed, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
 from .components import components
 
 K = 64
@@ -189,9 +189,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, words, percent)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("g")).distinct()
     again = if_small(checkpointed(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("r"))))
-    left = docs.join(gone, F.col("doc_id") == F.col("g"), "left_anti")
-    once = left.join(again, F.col("doc_id") == F.col("r"), "left_anti")
-    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    repeated = left.join(again, F.col("doc_id") == F.col("r"), "left_semi")
-    first = repeated.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(row))).where(F.col("_nth") == 1).drop("_nth")
-    return once.unionByName(first)
+    left = keyed(docs, _id=F.col("doc_id")).join(gone, F.col("_id") == F.col("g"), "left_anti")
+    once = left.join(again, F.col("_id") == F.col("r"), "left_anti")
+    repeated = left.join(again, F.col("_id") == F.col("r"), "left_semi")
+    first = repeated.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.to_json("_row")))).where(F.col("_nth") == 1).drop("_nth")
+    return once.unionByName(first).select("_row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, if_small, shingle_hashes, sliced, texts, word_hashes
+from .common import WORD, checkpointed, if_small, keyed, shingle_hashes, sliced, texts, word_hashes
 
 
 @dataclass(frozen=True)
@@ -261,25 +261,30 @@ def cut(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     spans = passages(docs, rules).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_spans")
-    joined = docs.join(spans, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left").drop("_d", "_h")
+    rows = keyed(docs, _id=F.col("doc_id"), _text=F.xxhash64("text"))
+    joined = rows.join(spans, (F.col("_id") == F.col("_d")) & (F.col("_text") == F.col("_h")), "left").select("_row", "_spans")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            spans, own = batch.column("_spans").to_pylist(), batch.column("text").to_pylist()
-            new, keep = list(own), []
+        for batch in batches:
+            rows = pa.RecordBatch.from_struct_array(batch.column("_row"))
+            spans = batch.column("_spans").to_pylist()
+            if not any(spans):
+                yield rows
+                continue
+            new, keep = rows.column("text").to_pylist(), []
             for i, s in enumerate(spans):
                 if s:
-                    new[i] = without(own[i].encode(), [(x["start_word"], x["n_words"]) for x in s]).decode()
+                    new[i] = without(new[i].encode(), [(x["start_word"], x["n_words"]) for x in s]).decode()
                 keep.append(not s or bool(new[i].encode().strip()))
             columns = []
             for name in names:
-                c = batch.column(name)
+                c = rows.column(name)
                 if name == "text":
                     c = pa.array(new, c.type)
                 elif name == "n_chars":
                     c = pa.array([len(t) if s else n for t, s, n in zip(new, spans, c.to_pylist())], c.type)
                 columns.append(c)
-            yield pa.record_batch(columns, schema=pa.schema([pa.field(n, c.type) for n, c in zip(names, columns)])).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, docs.schema)
