@@ -8,15 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in blobs:
         yield s.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in vectors:
         yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

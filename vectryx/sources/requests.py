@@ -53,4 +53,4 @@ def search_request(body: Any) -> SearchRequest:
 
 
 def to_frame(spark: SparkSession, items: list[Item]) -> DataFrame:
-    return spark.createDataFrame([(i.id, i.vector, None if i.metadata is None else json.dumps(i.metadata)) for i in items], ITEM)
+    return spark.createDataFrame([(i.id, [float(x) for x in i.vector], None if i.metadata is None else json.dumps(i.metadata)) for i in items], ITEM)

@@ -18,13 +18,17 @@ def operations(stream: DataFrame, id_: str, op: str, vector: str, metadata: str,
 
 
 def apply(db: VectorDB, name: str, stream: DataFrame, checkpoint: str, feed: str = "feed") -> StreamingQuery:
-    """Starts a query that applies a stream of operations (pos, op, id, vector, metadata) to a collection and ends with what is there.
+    """Starts a query that applies a stream of operations ([pos,] op, id, vector, metadata) to a collection and ends with what is there.
+
+    Without pos, the rows of a micro-batch are taken in the order in which Spark reads them.
 
     A batch that is handed in again after a failure has the same key, and the store leaves it out.
     """
     store = db.store(name)
 
     def batch(rows: DataFrame, number: int) -> None:
+        if "pos" not in rows.columns:
+            rows = rows.withColumn("pos", F.monotonically_increasing_id())
         store.checked(rows.where(F.col("op") == "insert"))
         store.append(rows.select("pos", "op", "id", "vector", "metadata"), key=f"{feed}-{number}")
 
@@ -39,4 +43,4 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """A directory of files with one JSON item a line as a stream of inserts, in the order of the lines of a file."""
     rows = items_from_json(spark.readStream.text(path))
-    return rows.select(F.monotonically_increasing_id().alias("pos"), F.lit("insert").alias("op"), "id", "vector", "metadata")
+    return rows.select(F.lit("insert").alias("op"), "id", "vector", "metadata")
