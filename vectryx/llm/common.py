@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
 class _WordHashes(dict):
     """64-bit hashes of words by word, forgotten when there are too many for memory."""
 
-    most = 300_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -56,6 +57,31 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+class _Memory:
+    """What a worker process remembers from task to task: the caches of one operator, the last that ran in it."""
+
+    def __init__(self):
+        self.owner, self.forget = "", lambda: None
+
+    def __call__(self, owner: str, forget: Callable[[], None] = _hashes.clear) -> None:
+        if owner != self.owner:
+            self.forget()
+            self.owner, self.forget = owner, forget
+            trim()
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system, where the C library knows how."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+claim_memory = _Memory()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """One uint64 a word, the same in every process."""
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -102,3 +128,4 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most_bytes:
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()

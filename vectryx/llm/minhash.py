@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
+from .common import checkpointed, claim_memory, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
 from .components import components
 
 K = 64
@@ -58,6 +58,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     """doc_id, text_hash, n (size of the set), set_hash (of the whole set), sketch (its k least values, as signed longs, ascending unsigned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         for batch in sliced(batches):
             n, whole, least = [], [], []
             for t in texts(batch.column("text")):
@@ -118,6 +119,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int = K, margi
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
@@ -135,6 +137,7 @@ def confirmed(pairs: DataFrame, own_texts: DataFrame, words: int, percent: int)
     joined = pairs.join(own_texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(own_texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         last: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in sliced(sliced(batches, "ta"), "tb"):
             keep = []

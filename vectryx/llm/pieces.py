@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import claim_memory, sliced
 
 MARK = "▁"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -49,7 +49,7 @@ class _Parts(dict):
 class Codec:
     """Encoder and decoder of one model file. Remembers up to twice `most` parts: (ids as bytes of decimals, bytes they decode to)."""
 
-    def __init__(self, path: str, most: int = 200_000, check: bool = True):
+    def __init__(self, path: str, most: int = 100_000, check: bool = True):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -132,7 +132,7 @@ class Codec:
                     raise ValueError(f"{part!r}: {ids}, but the library has {want}")
             self.new.clear()
         if len(self.known) > self.most:
-            self.older, self.known = dict(self.known), _Parts(self)
+            self.older, self.known = self.known, _Parts(self)
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for ids, _ in self.coded(text) for x in ids.split(b",")]
@@ -156,6 +156,7 @@ _codecs: dict[str, Codec] = {}
 
 def codec(path: str) -> Codec:
     """One a process."""
+    claim_memory("pieces", _codecs.clear)
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

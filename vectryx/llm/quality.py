@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, sliced, texts, word_hashes
+from .common import claim_memory, shingle_hashes, sliced, texts, word_hashes
 
 SPACE, LOWER, UPPER, DIGIT, STOP, PUNCT, SYMBOL, WIDE, CONT, CONTROL = range(10)
 #: Classes that take part in the distance; white space and the inner bytes of a character don't.
@@ -101,6 +101,7 @@ def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], schema=schema)
         words.clear()
 
+    claim_memory("words")
     words: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
     for batch in sliced(batches):
@@ -185,6 +186,7 @@ def judge(docs: DataFrame, refs: References | None = None, rules: Rules = Rules(
     refs = refs or references(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         for batch in sliced(batches):
             columns = list(zip(*_judged(batch, refs, rules)))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -199,6 +201,7 @@ def keep(docs: DataFrame, refs: References | None = None, rules: Rules = Rules()
     refs = refs or references(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         for batch in sliced(batches):
             yield batch.filter(pa.array([r[6] for r in _judged(batch, refs, rules)], pa.bool_()))
 

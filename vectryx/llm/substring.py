@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, if_small, keyed, shingle_hashes, sliced, texts, word_hashes
+from .common import WORD, checkpointed, claim_memory, if_small, keyed, shingle_hashes, sliced, texts, word_hashes
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def candidates(docs: DataFrame, rules: Rules) -> DataFrame:
     """(d, r) once: documents with two minimizers whose first document is r, r < d."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         for batch in sliced(batches):
             ids, all_h = [], []
             for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
@@ -215,6 +216,7 @@ def passages(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     joined = left.join(own.select(F.col("doc_id").alias("r"), F.col("text").alias("tr")), "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         last: tuple[int | None, bytes, np.ndarray | None] = (None, b"", None)
         for batch in sliced(sliced(batches, "td"), "tr"):
             rows = []
@@ -266,6 +268,7 @@ def cut(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         for batch in batches:
             rows = pa.RecordBatch.from_struct_array(batch.column("_row"))
             spans = batch.column("_spans").to_pylist()
