@@ -32,6 +32,9 @@ class Models:
 
     def __init__(self, samples: dict[str, list[bytes]], least_context: int = 2):
         self.langs = sorted(samples)
+        if not self.langs:
+            self.symbols, self.symbol, self.row_of, self.costs = 1, np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32)
+            return
         seen = np.zeros(256, bool)
         for own in samples.values():
             for t in own:
@@ -78,8 +81,8 @@ class Models:
 
     def bits(self, own: list[bytes]) -> np.ndarray:
         """Code lengths, text by language."""
-        if not own:
-            return np.zeros((0, len(self.langs)))
+        if not own or not self.langs:
+            return np.zeros((len(own), len(self.langs)))
         s = self.symbol[np.frombuffer(b"".join(own), np.uint8)].astype(np.int32)
         lengths = np.array([len(t) for t in own])
         starts = np.cumsum(lengths) - lengths

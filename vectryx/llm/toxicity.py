@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, texts
+from .common import claim_memory, sliced, texts
 from .langid import remainder
 from .quality import CONT, DIGIT, LOWER, PUNCT, SPACE, STOP, SYMBOL, UPPER, WIDE, class_counts
 
@@ -95,8 +95,8 @@ class _Codes(dict):
         core = letters(word)
         inner = bool(core) and not core.isalpha() and any(c.isalpha() for c in core) and not core.replace("-", "").replace("'", "").replace("’", "").isalpha()
         w, hidden = self.lexicon.weight(core), 0
-        if not w and inner:
-            w = self.lexicon.weight(plain(core))
+        if not w and (inner or word[:1] in "@$!"):
+            w = max(self.lexicon.weight(plain(core)), self.lexicon.weight(plain(word.lower().rstrip(".,;:!?"))))
             hidden = int(w > 0)
         code = int(round(w * 1000)) << 4 | (core in SECOND_PERSON) | (word.isupper() and len(core) > 1) << 1 | inner << 2 | hidden << 3
         self[raw] = code
@@ -253,6 +253,7 @@ def score(docs: DataFrame, model: Model | None, held: tuple[int, int] = (3, 1),
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
         m = shared.value
         codes = _Codes(m.lexicon) if m else None
         for batch in sliced(batches):
