@@ -21,7 +21,7 @@ def words(n, start=0):
 # mixing
 
 
-@pytest.mark.parametrize("name", ["op1_mix_sources", "op7_near_duplicates", "op10_chat"])
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op2_quality_rules", "op7_near_duplicates", "op10_chat"])
 def test_equals_sql(spark, name):
     ours, theirs = compare(spark, name)
     assert ours == theirs

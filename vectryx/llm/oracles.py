@@ -97,3 +97,48 @@ FROM {last}
 
 
 SQL["op3_licenses"] = _licenses()
+
+
+def _quality() -> str:
+    from .quality import CONTROL, DIGIT, LOWER, PUNCT, STOP, SYMBOL, UPPER, WIDE, Rules
+
+    r = Rules()
+    sets = {LOWER: "a-z", UPPER: "A-Z", DIGIT: "0-9", STOP: ".,;:", PUNCT: r"""!\x22\x27()+\-/=?@\[\\\]^_`{}~""", SYMBOL: "#*$%&|<>", WIDE: r"\x{80}-\x{10FFFF}", CONTROL: r"\x00-\x08\x0E-\x1F\x7F"}
+    classes = " UNION ALL ".join(f"SELECT row, lang, {k} AS k, length(regexp_replace(text, '[^{s}]', '', 'g')) AS n FROM docs" for k, s in sets.items())
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END"
+    jsd = f"sqrt(greatest(0, sum({part.format('p', 'q')} + {part.format('q', 'p')}) / 2))"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, lang, text IS NULL AS void, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+lines AS (SELECT row, count(*) - count(DISTINCT l) AS n FROM (SELECT row, unnest(string_split(text, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY row),
+windows AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS t FROM w WHERE len(w) > 3),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, t) > 1),
+covered AS (SELECT row, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) s(o) GROUP BY row),
+base AS (
+  SELECT d.row, doc_id, lang, text, len(w.w) AS n_words, list_sum(list_transform(w.w, lambda x: length(x))) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM docs d JOIN w ON d.row = w.row LEFT JOIN lines l ON d.row = l.row LEFT JOIN covered c ON d.row = c.row),
+tokens AS (SELECT row, lang, void, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM docs),
+counted AS (SELECT lang, t, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY lang, t),
+refs AS (SELECT lang, sum(n)::DOUBLE AS total FROM counted GROUP BY lang HAVING sum(n) >= {r.reference_words}),
+common AS (SELECT lang, t, n / total AS q FROM counted JOIN refs USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, t) <= {r.common}),
+pairs AS (SELECT d.row, r.lang AS ref FROM docs d JOIN refs r ON r.lang = d.lang OR d.lang IS NULL OR d.lang NOT IN (SELECT lang FROM refs)),
+cls AS ({classes}),
+own AS (SELECT row, k, n::DOUBLE AS n, sum(n) OVER (PARTITION BY row)::DOUBLE AS total FROM cls),
+ref_cls AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cls WHERE lang IS NOT NULL GROUP BY lang, k),
+class_each AS (SELECT row, ref, {jsd} AS d FROM (SELECT p.row, p.ref, n / total AS p, q FROM pairs p JOIN own o ON p.row = o.row JOIN ref_cls c ON c.lang = p.ref AND c.k = o.k WHERE total >= {r.guard_chars}) GROUP BY row, ref),
+sizes AS (SELECT row, count(*)::DOUBLE AS size FROM tokens GROUP BY row HAVING count(*) >= {r.guard_words}),
+here AS (SELECT row, t, count(*) AS n FROM tokens GROUP BY row, t),
+word_rows AS (SELECT p.row, p.ref, coalesce(h.n, 0) / s.size AS p, c.q FROM pairs p JOIN sizes s ON p.row = s.row JOIN common c ON c.lang = p.ref LEFT JOIN here h ON h.row = p.row AND h.t = c.t),
+word_all AS (SELECT row, ref, p, q FROM word_rows UNION ALL SELECT row, ref, greatest(0, 1 - sum(p)), 1 - sum(q) FROM word_rows GROUP BY row, ref),
+word_each AS (SELECT row, ref, {jsd} AS d FROM word_all GROUP BY row, ref),
+found AS (
+  SELECT b.*, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed,
+    coalesce((SELECT min(d) FROM class_each c WHERE c.row = b.row), 0) AS cd, coalesce((SELECT min(d) FROM word_each c WHERE c.row = b.row), 0) AS wd FROM base b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND cd <= {r.class_distance} AND wd <= {r.word_distance} AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM found
+"""
+
+
+SQL["op2_quality_rules"] = _quality()
