@@ -116,17 +116,22 @@ def fit(docs: DataFrame, per_language: int = 300, most_chars: int = 20_000, most
     """Models from a bounded sample of the labelled rows of docs (doc_id, text, lang).
 
     Of each of the most_languages languages with the most such rows, the per_language rows of the lowest hash, among those
-    of up to most_chars characters: at most most_languages * per_language * most_chars characters reach the driver, and
-    Spark ranks within each task before it shuffles. Rows whose id has the remainder skip[1] by skip[0] are held out.
+    of up to most_chars characters: at most most_languages * per_language * most_chars characters reach the driver. Only rows
+    below a hash that some 4 * per_language rows of their language are below take part in the ranking, so it sees as many
+    rows for any input. Rows whose id has the remainder skip[1] by skip[0] are held out.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text").between(1, most_chars)))
     if skip:
         rows = rows.where(remainder(F.col("doc_id"), skip[0]) != skip[1])
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    part = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
+    # of the hashes, which are signed: all up to this one
+    langs = counted.select("lang", (F.lit(-(2.0**63)) + part * F.lit(2.0**64)).alias("below"))
     h = F.xxhash64("doc_id", "text")
-    chosen = rows.select("lang", "text", h.alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language)
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    few = rows.select("lang", "text", h.alias("h")).join(F.broadcast(langs), "lang").where(F.col("h").cast("double") <= F.col("below"))
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language)
     samples: dict[str, list[bytes]] = {}
-    for r in chosen.join(F.broadcast(langs), "lang").orderBy("lang", "h", "text").select("lang", "text").collect():
+    for r in chosen.orderBy("lang", "h", "text").select("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text.lower().encode())
     return Models(samples)
 
