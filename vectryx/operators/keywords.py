@@ -28,11 +28,16 @@ def _occurrences(term: str) -> Column:
 def bm25(docs: DataFrame, query: str, k: int | None = None, id_: str = "id", text: str = "text") -> DataFrame:
     """(id, score) of the documents with a term of the query, best first, k of them if given.
 
-    Counts only the query's terms: one narrow row a document, not one a token. Statistics are one aggregated row.
+    A text is read once, by two regular expressions: one counts its tokens, one finds the query's terms. What comes of it is
+    one narrow row a document, shuffled so that the statistics and the scores share it instead of reading the texts twice.
     """
     terms = query_terms(query)
-    own = docs.select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    counts = own.select("id", F.size("t").cast("double").alias("dl"), *(_occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms)))
+    if not terms:
+        return docs.select(F.col(id_).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = F.regexp_extract_all(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"), F.lit(1))
+    own = docs.select(F.col(id_).alias("id"), F.regexp_count(lower, F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("dl"), found.alias("t")).where(F.col("dl") > 0)
+    counts = own.select("id", "dl", *(_occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms))).repartition("id")
     stats = counts.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("average"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
