@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import claim_memory, sliced
 
 MARK = "▁"
+#: Parts of so many characters keep their agenda in a list. NEVER is the cost of a pair that makes no piece.
+SHORT, NEVER = 24, float("inf")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PARTS = re.compile(f"{MARK}*[^{_LETTERS}{MARK}\n]*[{_LETTERS}]+|{MARK}*[^{_LETTERS}{MARK}\n]+|{MARK}+|\n")
 _CUT = re.compile(f"[{_LETTERS}](?=[^{_LETTERS}])|[^{MARK}](?={MARK})|\n")
@@ -49,7 +51,7 @@ class _Parts(dict):
 class Codec:
     """Encoder and decoder of one model file. Remembers up to twice `most` parts: (ids as bytes of decimals, bytes they decode to)."""
 
-    def __init__(self, path: str, most: int = 100_000, check: bool = True):
+    def __init__(self, path: str, most: int = 200_000, check: bool = True):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,38 +80,53 @@ class Codec:
 
     def merge(self, part: str) -> list[int]:
         """Ids of a part, in which spaces are marks already."""
-        s, cost = list(part), self.cost
-        n = len(s)
-        agenda = []
-        get = cost.get
-        for i, pair in enumerate(map(str.__add__, s, s[1:])):
-            if (c := get(pair)) is not None:
-                agenda.append((c, i, pair))
-        if agenda:
-            heapify(agenda)
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            while agenda:
-                _, i, pair = heappop(agenda)
-                left, j = s[i], after[i]
-                if left is None or j >= n or len(left) + len(s[j]) != len(pair):
-                    continue  # one of the two has been merged since
-                s[i], s[j] = pair, None
-                k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    if (c := get(more := pair + s[k])) is not None:
-                        heappush(agenda, (c, i, more))
-                if (k := before[i]) >= 0 and (c := get(more := s[k] + pair)) is not None:
-                    heappush(agenda, (c, k, more))
+        s = list(part)
+        s = self._merge_short(s) if len(s) <= SHORT else self._merge_long(s)
         ids, piece_id = [], self.piece_id
         for x in s:
-            if x is not None:
-                if x in piece_id:
-                    ids.append(piece_id[x])
-                else:
-                    ids.extend(self.byte_id[b] for b in x.encode())
+            if x in piece_id:
+                ids.append(piece_id[x])
+            else:
+                ids.extend(self.byte_id[b] for b in x.encode())
         return ids
 
+    def _merge_short(self, s: list[str]) -> list[str]:
+        """The agenda as a list of costs by place: its least is soon found, and the first of equals is the leftmost."""
+        get = self.cost.get
+        costs = [get(a + b, NEVER) for a, b in zip(s, s[1:])]
+        while costs and (least := min(costs)) < NEVER:
+            i = costs.index(least)
+            s[i] += s.pop(i + 1)
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(s[i] + s[i + 1], NEVER)
+            if i:
+                costs[i - 1] = get(s[i - 1] + s[i], NEVER)
+        return s
+
+    def _merge_long(self, s: list[str | None]) -> list[str]:
+        """The agenda as a heap, with symbols in a linked list; entries whose symbols have changed are passed over."""
+        n, agenda, get = len(s), [], self.cost.get
+        for i, pair in enumerate(map(str.__add__, s, s[1:])):
+            if (c := get(pair)) is not None:
+                agenda.append((c, i, pair))
+        heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while agenda:
+            _, i, pair = heappop(agenda)
+            left, j = s[i], after[i]
+            if left is None or j >= n or len(left) + len(s[j]) != len(pair):
+                continue
+            s[i], s[j] = pair, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (c := get(more := pair + s[k])) is not None:
+                    heappush(agenda, (c, i, more))
+            if (k := before[i]) >= 0 and (c := get(more := s[k] + pair)) is not None:
+                heappush(agenda, (c, k, more))
+        return [x for x in s if x is not None]
+
     def learn(self, part: str) -> tuple[bytes, bytes]:
         ids = self.merge(part)
         if self.check:
