@@ -5,6 +5,7 @@ Sums run in double. A row whose length differs from the query's raises; two empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,8 +16,13 @@ from ..schema import Metric
 
 
 def as_vector(q: Sequence[float] | Column) -> Column:
-    """A column, or a literal array of doubles."""
-    return q if isinstance(q, Column) else F.array(*(F.lit(float(x)) for x in q)).cast("array<double>")
+    """A column, or a literal array of doubles (as one expression to parse: a call a number would take longer than the search)."""
+    if isinstance(q, Column):
+        return q
+    values = [float(x) for x in q]
+    if not all(map(math.isfinite, values)):
+        raise InvalidRequest("a vector's numbers must be finite")
+    return F.expr(f"cast(array({', '.join(f'{x!r}D' for x in values)}) as array<double>)")
 
 
 def _sum(array: Column) -> Column:
