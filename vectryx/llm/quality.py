@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim_memory, shingle_hashes, sliced, texts, word_hashes
+from .common import checkpointed, claim_memory, shingle_hashes, sliced, texts, word_hashes
 
 SPACE, LOWER, UPPER, DIGIT, STOP, PUNCT, SYMBOL, WIDE, CONT, CONTROL = range(10)
 #: Classes that take part in the distance; white space and the inner bytes of a character don't.
@@ -34,6 +34,7 @@ def _class_table() -> np.ndarray:
     return t
 
 
+TOTAL = b" words"
 _TABLE = _class_table()
 #: For common words: lower case, and everything in ASCII but letters and digits parts words.
 _FOLD = bytes(c if 97 <= c < 123 or 48 <= c < 58 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -51,6 +52,7 @@ class Rules:
     guard_chars: int = 200
     guard_words: int = 150
     reference_words: int = 2000
+    most_languages: int = 256
 
 
 @dataclass
@@ -104,43 +106,44 @@ def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     claim_memory("words")
     words: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
+    totals: Counter = Counter()
     for batch in sliced(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text"))):
-            words.setdefault(lang, Counter()).update(text.translate(_FOLD).split())
+            own = text.translate(_FOLD).split()
+            words.setdefault(lang, Counter()).update(own)
+            totals[lang] += len(own)
             classes[lang] = classes.get(lang, 0) + class_counts(text)
         if sum(map(len, words.values())) > 400_000:
             yield from flush(words)
     yield from flush(words)
-    for lang, c in classes.items():  # classes are told from words by the blank in front
-        yield from flush({lang: Counter({b" %d" % k: int(c[k]) for k in CLASSES})})
+    for lang, c in classes.items():  # classes and the total are told from words by the blank in front
+        yield from flush({lang: Counter({b" %d" % k: int(c[k]) for k in CLASSES} | {TOTAL: totals[lang]})})
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> References:
     """From all rows with a language; one of fewer than reference_words words has none.
 
-    Only common * languages rows are collected. Ties among words go to the smaller bytes.
+    The most_languages languages of the most words have one: so many times common words and classes are collected, and sent to
+    the workers. Ties among words go to the smaller bytes, among languages to the smaller name.
     """
     found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(_count_languages, "lang string, word binary, n long")
     summed = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    is_class = F.col("word") < F.lit(b"!")
     ranked = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    totals = summed.groupBy("lang").agg(F.sum(F.when(is_class, 0).otherwise(F.col("n"))).alias("total"))
-    top = summed.withColumn("kind", is_class).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max(rules.common, 10))
-    rows = [(r.lang, bytes(r.word), r.n) for r in top.select("lang", "word", "n").collect()]
-    sums = {r.lang: r.total for r in totals.collect()}
-    out = References()
+    top = summed.withColumn("kind", F.col("word") < F.lit(b"!")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max(rules.common, len(CLASSES) + 1))
+    top = checkpointed(top.select("lang", "word", "n"))
+    langs = top.where((F.col("word") == F.lit(TOTAL)) & (F.col("n") >= rules.reference_words)).orderBy(F.desc("n"), "lang").limit(rules.most_languages).select("lang")
     by: dict[str, list] = {}
-    for lang, word, n in rows:
-        by.setdefault(lang, []).append((word, n))
+    for r in top.join(F.broadcast(langs), "lang").select("lang", "word", "n").collect():
+        by.setdefault(r.lang, []).append((bytes(r.word), r.n))
+    out = References()
     for lang, pairs in by.items():
-        if sums[lang] < rules.reference_words:
-            continue
-        c = {int(w): n for w, n in pairs if w[:1] == b" "}
+        total = dict(pairs)[TOTAL]
+        c = {int(w): n for w, n in pairs if w[:1] == b" " and w != TOTAL}
         share = np.array([c.get(k, 0) for k in CLASSES], float)
         words = sorted(((w, n) for w, n in pairs if w[:1] != b" "), key=lambda x: (-x[1], x[0]))[: rules.common]
         out.classes[lang] = share / share.sum()
         out.words[lang] = [w for w, _ in words]
-        out.shares[lang] = np.array([*(n for _, n in words), sums[lang] - sum(n for _, n in words)], float) / sums[lang]
+        out.shares[lang] = np.array([*(n for _, n in words), total - sum(n for _, n in words)], float) / total
     return out
 
 
