@@ -54,6 +54,18 @@ def test_graph(spark, vectors):
     assert row.entry_point_layer == max(row.avg_degree_per_layer) and 4 <= row.avg_degree_per_layer[0] <= 8
 
 
+def test_walk(spark, vectors):
+    built = graph.build(vectors, Metric.EUCLIDEAN, m=8).cache()
+    queries = vectors.where("id < 'v0020'").withColumnRenamed("id", "qid")
+    truth = knn.knn_batch(vectors, queries, 10, Metric.EUCLIDEAN)
+    found = graph.walk(built, vectors, queries, 10, metric=Metric.EUCLIDEAN).cache()
+    assert diagnostics.recall(found, truth, 10).first().mean_recall >= 0.9
+    assert all(r.id == r.qid and r.distance == 0 for r in found.where("rank = 1").collect())
+    some = graph.walk(built, vectors, queries, 3, metric=Metric.EUCLIDEAN, where=F.col("id") >= "v0300").collect()
+    assert some and all(r.id >= "v0300" for r in some)
+    assert graph.walk(built.where("false"), vectors, queries, 3).count() == 0
+
+
 def test_fusion_scores(spark):
     near = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.2)], "id string, distance double")
     text = spark.createDataFrame([("c", 9.0), ("d", 1.0)], "id string, score double")

@@ -1,4 +1,4 @@
-"""A layered neighbour graph, for the statistics of an index and for walking it.
+"""A layered neighbour graph: its statistics, and approximate search by walking it for many queries at once.
 
 Every id has a level (by its hash); on each layer up to it, it is tied to its m nearest there, 2 m on layer 0. Ties are made
 mutual, then cut to the nearest again. Layers beyond `exact_rows` rows take their candidates from k-means cells.
@@ -6,13 +6,15 @@ mutual, then cut to the nearest again. Layers beyond `exact_rows` rows take thei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import distance
 from ..functions.hashing import level
-from ..schema import M, Metric
+from ..schema import EF_SEARCH, M, Metric
+from ..sources.lineage import cut
 from .ann import assign, fit, search_batch
-from .knn import knn_batch
+from .knn import DIGITS, knn_batch
 
 EXACT_ROWS = 20_000
 
@@ -54,3 +56,53 @@ def stats(graph: DataFrame) -> DataFrame:
     """(entry_point_layer, avg_degree_per_layer as a map) of rows (id, layer, neighbours); tombstoned ids count like others."""
     by_layer = graph.groupBy("layer").agg(F.avg(F.size("neighbours")).alias("degree"))
     return by_layer.agg(F.max("layer").alias("entry_point_layer"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "degree")))).alias("avg_degree_per_layer"))
+
+
+def _scored(pairs: DataFrame, items: DataFrame, queries: DataFrame, metric: Metric | int) -> DataFrame:
+    """(qid, id, distance) of pairs (qid, id)."""
+    d = F.round(distance(metric, F.col("vector"), F.col("q")), DIGITS)
+    return pairs.join(items.select("id", "vector"), "id").join(queries.select("qid", F.col("vector").alias("q")), "qid").select("qid", "id", d.alias("distance"))
+
+
+def _beam(seen: DataFrame, width: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    return seen.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank")
+
+
+def search_layer(layer: DataFrame, items: DataFrame, queries: DataFrame, start: DataFrame, width: int, metric: Metric | int) -> DataFrame:
+    """Best-first search of one layer (id, neighbours) for all queries at once: (qid, id, distance) of what was seen.
+
+    A round expands what is in a query's beam and hasn't been expanded; it ends when no beam has such a node left, that is,
+    when everything near the worst of the beam is known. A round is three joins, whatever the number of queries.
+    """
+    seen = cut(start.select("qid", "id", "distance", F.lit(False).alias("expanded")))
+    while True:
+        frontier = _beam(seen, width).where(~F.col("expanded")).select("qid", "id")
+        frontier = cut(frontier)
+        if frontier.isEmpty():
+            return seen.select("qid", "id", "distance")
+        near = frontier.join(layer, "id").select("qid", F.explode("neighbours").alias("id")).distinct().join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
+        new = _scored(near, items, queries, metric).withColumn("expanded", F.lit(False))
+        done = seen.join(frontier.withColumn("now", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "distance", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
+        seen = cut(done.unionByName(new))
+
+
+def walk(graph: DataFrame, items: DataFrame, queries: DataFrame, k: int, width: int = EF_SEARCH, metric: Metric | int = Metric.COSINE, where: Column | None = None) -> DataFrame:
+    """(qid, id, distance, rank): approximate neighbours by walking the graph from its top layer down.
+
+    Upper layers are descended with a beam of one, the lowest is searched with max(width, k). Rows that the filter doesn't
+    take are walked through but not returned. The entry point is the least id of the top layer.
+    """
+    top = graph.agg(F.max("layer")).first()[0]
+    if top is None:
+        return queries.select("qid", F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    entry = graph.where(F.col("layer") == top).agg(F.min("id").alias("id"))
+    beam = _scored(queries.select("qid").join(F.broadcast(entry)), items, queries, metric)
+    for n in range(top, -1, -1):
+        layer = graph.where(F.col("layer") == n).select("id", "neighbours")
+        seen = search_layer(layer, items, queries, beam, max(width, k) if n == 0 else 1, metric)
+        beam = cut(_beam(seen, 1)) if n else seen
+    if where is not None:
+        beam = beam.join(items.where(where).select("id"), "id", "left_semi")
+    ranked = beam.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
+    return ranked.where(F.col("rank") <= k).select("qid", "id", "distance", "rank")
