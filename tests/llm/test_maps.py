@@ -101,6 +101,19 @@ def test_quality_rejects_junk_and_keeps_good(spark):
     assert sum(r.kept for r in bad) <= 0.2 * len(bad)
 
 
+def test_quality_of_many_and_of_rare_languages(make):
+    def text(lang, n):
+        rng = random.Random(f"{lang} {n}")
+        return " ".join(f"{lang}{chr(97 + int(rng.paretovariate(0.7)) % 26)}{rng.randrange(9)}" for _ in range(n))
+
+    rows = [(1000 * i + j, text(f"l{i}q", 1000), f"l{i}q") for i in range(260) for j in range(3)] + [(10**6, text("rare", 400), "rare")]
+    docs = make(rows)
+    refs = quality.references(docs)
+    assert set(refs.classes) == {f"l{i}q" for i in range(260)}
+    assert all(r.word_distance < 0.38 for r in quality.judge(docs, refs).where("doc_id < 1000000").collect())
+    assert {r.doc_id for r in quality.keep(docs, refs).collect()} == {r[0] for r in rows}
+
+
 def test_quality_edges(spark, make, messy):
     assert quality.judge(messy.where("false")).count() == 0
     assert quality.keep(messy.where("false")).columns == messy.columns

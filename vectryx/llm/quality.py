@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, claim_memory, shingle_hashes, sliced, texts, word_hashes
+from .common import checkpointed, claim_memory, if_small, shingle_hashes, sliced, texts, word_hashes
 
 SPACE, LOWER, UPPER, DIGIT, STOP, PUNCT, SYMBOL, WIDE, CONT, CONTROL = range(10)
 #: Classes that take part in the distance; white space and the inner bytes of a character don't.
@@ -52,7 +52,6 @@ class Rules:
     guard_chars: int = 200
     guard_words: int = 150
     reference_words: int = 2000
-    most_languages: int = 256
 
 
 @dataclass
@@ -121,19 +120,18 @@ def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> References:
-    """From all rows with a language; one of fewer than reference_words words has none.
+    """From all rows with a language; one of fewer than reference_words words has none, every other one has its own.
 
-    The most_languages languages of the most words have one: so many times common words and classes are collected, and sent to
-    the workers. Ties among words go to the smaller bytes, among languages to the smaller name.
+    Of each the common words and classes are collected, and sent to the workers. Ties among words go to the smaller bytes.
     """
     found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(_count_languages, "lang string, word binary, n long")
     summed = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
     top = summed.withColumn("kind", F.col("word") < F.lit(b"!")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max(rules.common, len(CLASSES) + 1))
     top = checkpointed(top.select("lang", "word", "n"))
-    langs = top.where((F.col("word") == F.lit(TOTAL)) & (F.col("n") >= rules.reference_words)).orderBy(F.desc("n"), "lang").limit(rules.most_languages).select("lang")
+    langs = top.where((F.col("word") == F.lit(TOTAL)) & (F.col("n") >= rules.reference_words)).select("lang")
     by: dict[str, list] = {}
-    for r in top.join(F.broadcast(langs), "lang").select("lang", "word", "n").collect():
+    for r in top.join(if_small(langs), "lang").select("lang", "word", "n").collect():
         by.setdefault(r.lang, []).append((bytes(r.word), r.n))
     out = References()
     for lang, pairs in by.items():
@@ -200,12 +198,17 @@ def judge(docs: DataFrame, refs: References | None = None, rules: Rules = Rules(
 
 
 def keep(docs: DataFrame, refs: References | None = None, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns whatever those are called."""
+    """The rows of docs that judge() keeps, with all their columns whatever those are called.
+
+    Where a row's language is too rare for a reference, the base rules alone decide: another language's words say nothing
+    about it. (judge() gives the distance from the nearest then, as its SQL does.)
+    """
     refs = refs or references(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
         for batch in sliced(batches):
-            yield batch.filter(pa.array([r[6] for r in _judged(batch, refs, rules)], pa.bool_()))
+            rare = [lang is not None and lang not in refs.classes for lang in batch.column("lang").to_pylist()]
+            yield batch.filter(pa.array([not r[5] if x else r[6] for r, x in zip(_judged(batch, refs, rules), rare)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
