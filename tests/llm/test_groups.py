@@ -269,6 +269,13 @@ def test_planted_passages(make, messy):
     assert Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in messy.where("doc_id IS NULL OR doc_id <> 7").collect())
 
 
+def test_periodic_passages(make):
+    line = words(9, 5 * 10**6)
+    rows = [(1, f"{words(40, 100)} {' '.join(['same'] * 70)} {words(40, 200)}"), (2, f"{words(50, 300)} {' '.join(['same'] * 60)} {words(40, 400)}"), (3, f"{words(40, 500)} {' '.join([line] * 8)}"), (4, f"{' '.join([line] * 7)} {words(40, 600)}")]
+    found = {r.doc_id: (r.start_word, r.n_words, r.source_ids) for r in substring.passages(make(rows)).collect()}
+    assert found == {2: (50, 60, [1]), 4: (0, 63, [3])}
+
+
 # chats
 
 

@@ -51,6 +51,13 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(least)
 
 
+def occurrences(least: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How often each of the sorted distinct hashes is in h."""
+    at = np.searchsorted(least, h)
+    there = np.flatnonzero(at < len(least))
+    return np.bincount(at[there][least[at[there]] == h[there]], minlength=len(least))
+
+
 def _nth(order: np.ndarray, h: np.ndarray) -> np.ndarray:
     """How many equal hashes come before each, in the sorted order."""
     new = np.r_[True, h[order][1:] != h[order][:-1]]
@@ -183,22 +190,28 @@ def fragments(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int
 
 
 def candidates(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(d, r) once: documents with two minimizers whose first document is r, r < d."""
+    """(d, r) once: documents with two minimizers whose first document is r, r < d.
+
+    A minimizer counts as often as both have it: a passage of one short line again and again has no second one, but more
+    than one of the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
         for batch in sliced(batches):
-            ids, all_h = [], []
+            ids, all_h, all_n = [], [], []
             for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                h = minimizers(shingle_hashes(word_hashes(t.split()), rules.k), rules.window)
+                every = shingle_hashes(word_hashes(t.split()), rules.k)
+                h = minimizers(every, rules.window)
                 ids.append(np.full(len(h), d, np.int64))
                 all_h.append(h.view(np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(all_h))], names=["d", "h"])
+                all_n.append(occurrences(h, every).astype(np.int32))
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, all_h, all_n)], names=["d", "h", "n"])
 
-    seeds = docs.mapInArrow(run, "d long, h long")
-    first = seeds.groupBy("h").agg(F.min("d").alias("r"), F.max("d").alias("top")).where(F.col("r") < F.col("top")).select("h", "r")
-    met = seeds.join(first, "h").where(F.col("d") != F.col("r"))
-    return met.groupBy("d", "r").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("d", "r")
+    seeds = docs.mapInArrow(run, "d long, h long, n int")
+    first = seeds.groupBy("h").agg(F.min(F.struct("d", (-F.col("n")).alias("less"))).alias("f"), F.max("d").alias("top")).where(F.col("f.d") < F.col("top"))
+    met = seeds.join(first.select("h", F.col("f.d").alias("r"), (-F.col("f.less")).alias("nr")), "h").where(F.col("d") != F.col("r"))
+    return met.groupBy("d", "r").agg(F.sum(F.least("n", "nr")).alias("n")).where(F.col("n") > 1).select("d", "r")
 
 
 def passages(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
