@@ -276,6 +276,32 @@ def test_periodic_passages(make):
     assert found == {2: (50, 60, [1]), 4: (0, 63, [3])}
 
 
+def test_passages_more_often_than_in_the_source():
+    rules, rng = substring.Rules(), np.random.default_rng(2)
+
+    def new(n):
+        return rng.integers(0, 2**63, n).astype(np.uint64)
+
+    def covered(a, b):
+        out = np.zeros(len(a), bool)
+        for x, n, *_ in substring.fragments(a, b, rules):
+            out[x : x + n] = True
+        return out
+
+    p = new(60)
+    edited = p.copy()
+    edited[[9, 18, 27, 36, 45]] = new(5)
+    for copy in (p, edited):
+        gaps = [new(25) for _ in range(51)]
+        a = np.concatenate([x for g in gaps[:50] for x in (g, copy)] + gaps[50:])
+        want = np.concatenate([x for _ in range(50) for x in (np.zeros(25, bool), np.ones(60, bool))] + [np.zeros(25, bool)])
+        assert (covered(a, np.concatenate([new(30), p, new(30)])) == want).all()
+    shuffled = np.concatenate([p[45:], new(3), p[30:45], new(3), p[15:30], new(3), p[:15]])
+    got = covered(np.concatenate([shuffled, new(30), p]), np.concatenate([new(30), p]))
+    assert got[-60:].all() and not got[69:99].any()
+    assert covered(p, np.concatenate([shuffled, new(9), p])).all() and not covered(new(90), p).any()
+
+
 # chats
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, claim_memory, if_small, keyed, shingle_hashes, sliced, texts, word_hashes
+from .common import WORD, checkpointed, claim_memory, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
 
 
 @dataclass(frozen=True)
@@ -65,10 +65,11 @@ def _nth(order: np.ndarray, h: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
-def runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows (start in a, start in b, seeds): maximal runs of equal hashes on one diagonal.
+def runs(a: np.ndarray, b: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Rows (start in a, start in b, seeds): maximal runs of equal hashes on one diagonal. at: the places of a's hashes, if not all.
 
     The n-th occurrence of a hash in a is matched with the n-th in b, so repetitive texts give no more matches than words.
+    With at, those that a has more of go through b's again.
     """
     oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     ka = np.empty(len(a), [("h", np.uint64), ("n", np.int64)])
@@ -76,8 +77,11 @@ def runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     ka["h"], ka["n"], kb["h"], kb["n"] = a[oa], _nth(oa, a), b[ob], _nth(ob, b)
     # both are sorted by (h, n): join by searching h, then shifting by n
     lo, hi = np.searchsorted(kb["h"], ka["h"], "left"), np.searchsorted(kb["h"], ka["h"], "right")
-    there = ka["n"] < hi - lo
-    pa_, pb = oa[there], ob[(lo + ka["n"])[there]]
+    there = ka["n"] < hi - lo if at is None else hi > lo
+    nth = ka["n"][there] if at is None else ka["n"][there] % (hi - lo)[there]
+    pa_, pb = oa[there], ob[lo[there] + nth]
+    if at is not None:
+        pa_ = at[pa_]
     order = np.argsort(pa_, kind="stable")
     pa_, pb = pa_[order], pb[order]
     if not len(pa_):
@@ -181,12 +185,60 @@ def align(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, rules
     return out
 
 
+def long_hashes(h: np.ndarray, rules: Rules) -> np.ndarray:
+    """Of all least_fragment words in a row, from the hashes of k words."""
+    last = rules.least_fragment - rules.k
+    count, total = max(0, len(h) - last), np.uint64(0)
+    for i in [*range(0, last, rules.k), last]:
+        total = mixed(total + h[i : i + count])
+    return total
+
+
+def equal_spans(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int, int]]:
+    """What of a is in equal runs of least_fragment words or more, wherever and however often they are in a and b; seeds given."""
+    a, b = long_hashes(a, rules), long_hashes(b, rules)
+    if not len(a) or not len(b):
+        return []
+    order = np.argsort(b, kind="stable")
+    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
+    found = np.flatnonzero(b[order][at] == a)
+    if not len(found):
+        return []
+    new = np.flatnonzero(np.r_[True, np.diff(found) > rules.least_fragment])
+    ends = np.r_[found[new[1:] - 1], found[-1]] + rules.least_fragment
+    return [(int(x), int(y - x), int(order[at[x]]), int(y - x), int(y - x)) for x, y in zip(found[new], ends)]
+
+
 def fragments(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int, int]]:
-    """All fragments of the word hashes a that are in b."""
+    """All fragments of the word hashes a that are in b.
+
+    Where a holds something more often than b, what was left over meets b again, until no seed is left or nothing new comes.
+    Equal runs are found whatever the seeds in them were matched with.
+    """
     if len(a) == len(b) and np.array_equal(a, b):
         return [(0, len(a), 0, len(b), len(a))] if len(a) >= rules.least_fragment else []
-    found = runs(shingle_hashes(a, rules.k), shingle_hashes(b, rules.k))
-    return [f for c in chains(found, rules) for f in align(c, a, b, rules)] if len(found) else []
+    sa, sb = shingle_hashes(a, rules.k), shingle_hashes(b, rules.k)
+    found = runs(sa, sb)
+    if not len(found):
+        return []
+    out, covered, left = [], np.zeros(len(a), bool), np.isin(sa, sb)
+    while len(found):
+        new = [f for c in chains(found, rules) for f in align(c, a, b, rules)]
+        new = [f for f in new if not covered[f[0] : f[0] + f[1]].all()]
+        for x, n, *_ in new:
+            covered[x : x + n] = True
+        if out and not new:
+            break
+        out += new
+        for x, _, n in found.tolist():
+            left[x : x + n] = False
+        at = np.flatnonzero(left)
+        at = at[~covered[at] | ~covered[at + rules.k - 1]]
+        found = runs(sa[at], sb, at) if len(at) else []
+    for f in equal_spans(sa, sb, rules):
+        if not covered[f[0] : f[0] + f[1]].all():
+            out.append(f)
+    return out
 
 
 def candidates(docs: DataFrame, rules: Rules) -> DataFrame:
