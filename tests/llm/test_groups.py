@@ -302,6 +302,21 @@ def test_passages_more_often_than_in_the_source():
     assert covered(p, np.concatenate([shuffled, new(9), p])).all() and not covered(new(90), p).any()
 
 
+def test_passages_whose_pieces_others_have_first(make):
+    rows, want = [], set()
+    for i in range(40):
+        n, each = ((5, 12), (4, 15), (3, 19), (4, 13))[i % 4]
+        p = words(n * each, 10**6 + 1000 * i).split()
+        pieces = [p[j : j + each] for j in range(0, n * each, each)]
+        spread = " ".join(" ".join(x) + " " + words(3, 2 * 10**6 + 1000 * i + 10 * j) for j, x in enumerate(pieces[::-1]))
+        rows += [(1000 + i, spread), (2000 + i, f"{words(30, 3 * 10**6 + 1000 * i)} {' '.join(p)}"), (3000 + i, f"{' '.join(p)} {words(30, 4 * 10**6 + 1000 * i)}")]
+        want.add(3000 + i)
+    cut = words(51, 9 * 10**6).split()  # each 25 words of it have a holder before, but not the middle
+    rows += [(10, " ".join(cut[:25])), (11, " ".join(cut[26:])), (12, " ".join(cut) + " " + words(30, 5 * 10**6)), (13, words(30, 6 * 10**6) + " " + " ".join(cut))]
+    found = {r.doc_id: r.n_words for r in substring.passages(make(rows)).collect()}
+    assert want <= set(found) and found[13] == 51 and all(found[d] >= 52 for d in want)
+
+
 # chats
 
 

@@ -4,6 +4,10 @@ Candidates: of every document the minimizers of its five-word hashes (the least
 run of window + 4 equal words shares one). A minimizer's documents are all held against the first of them alone, so
 there is one candidate for each document and minimizer at most, however many documents share it; a pair needs two.
 
+The first may hold the five words and not the passage. So for equal runs there are seeds of `least_fragment` words beside,
+one of `long_window` in a row: around those that documents share, each place's least_fragment words are held against their
+first holder. Those words are then equal in both, so that an equal run is covered whole, whoever else has pieces of it.
+
 Alignment: a pair's equal k-mers are joined to runs, the runs chained in order with a cost for gaps through a Fenwick
 tree of prefix maxima, and the gaps of a chain aligned word by word. What stays at the threshold's identity is a
 fragment; a document's fragments, from whichever documents, are merged, and `least_words` of them make a passage.
@@ -31,6 +35,7 @@ class Rules:
 
     k: int = 5
     window: int = 12
+    long_window: int = 16
     identity: float = 0.8
     least_fragment: int = 20
     least_words: int = 50
@@ -241,29 +246,57 @@ def fragments(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int
     return out
 
 
+def shared_seeds(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(h, d, r, n, long): minimizers of a document d that r has first, r < d, and how often both have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
+        for batch in sliced(batches):
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
+                every = shingle_hashes(word_hashes(t.split()), rules.k)
+                h, wide = minimizers(every, rules.window), minimizers(long_hashes(every, rules), rules.long_window)
+                n = len(h) + len(wide)
+                for c, x in zip(columns, (np.full(n, d, np.int64), np.concatenate([h, wide]).view(np.int64), np.r_[occurrences(h, every), np.ones(len(wide), int)].astype(np.int32), np.arange(n) >= len(h))):
+                    c.append(x)
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["d", "h", "n", "long"])
+
+    seeds = docs.mapInArrow(run, "d long, h long, n int, long boolean")
+    first = seeds.groupBy("h").agg(F.min(F.struct("d", (-F.col("n")).alias("less"))).alias("f"), F.max("d").alias("top")).where(F.col("f.d") < F.col("top"))
+    met = seeds.join(first.select("h", F.col("f.d").alias("r"), (-F.col("f.less")).alias("nr")), "h").where(F.col("d") != F.col("r"))
+    return met.select("h", "d", "r", F.least("n", "nr").alias("n"), "long")
+
+
 def candidates(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(d, r) once: documents with two minimizers whose first document is r, r < d.
+    """(d, r) once: documents with two minimizers whose first document is r, r < d, or with least_fragment words that r has first.
 
     A minimizer counts as often as both have it: a passage of one short line again and again has no second one, but more
-    than one of the first.
+    than one of the first. The words are looked at around long seeds, which have all equal runs of least_fragment +
+    long_window - 1 words or more.
     """
+    met = checkpointed(shared_seeds(docs, rules))
+    pairs = met.where(~F.col("long")).groupBy("d", "r").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("d", "r")
+    wide = met.where("long")
+    held = wide.select("d", "h").union(wide.select(F.col("r").alias("d"), "h")).groupBy("d").agg(F.collect_set("h").alias("seeds"))
+    around = docs.join(held, F.col("doc_id") == F.col("d")).select("d", "seeds", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
         for batch in sliced(batches):
-            ids, all_h, all_n = [], [], []
-            for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                every = shingle_hashes(word_hashes(t.split()), rules.k)
-                h = minimizers(every, rules.window)
+            ids, all_h = [], []
+            for d, seeds, t in zip(batch.column("d").to_pylist(), batch.column("seeds"), texts(batch.column("text"))):
+                every = long_hashes(shingle_hashes(word_hashes(t.split()), rules.k), rules)
+                edge = np.zeros(len(every) + 1, np.int64)
+                at = np.flatnonzero(np.isin(every, np.asarray(seeds.values, np.int64).view(np.uint64)))
+                np.add.at(edge, np.maximum(at - rules.long_window, 0), 1)
+                np.add.at(edge, np.minimum(at + rules.long_window + 1, len(every)), -1)
+                h = np.unique(every[np.cumsum(edge)[:-1] > 0])
                 ids.append(np.full(len(h), d, np.int64))
                 all_h.append(h.view(np.int64))
-                all_n.append(occurrences(h, every).astype(np.int32))
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, all_h, all_n)], names=["d", "h", "n"])
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(all_h))], names=["d", "h"])
 
-    seeds = docs.mapInArrow(run, "d long, h long, n int")
-    first = seeds.groupBy("h").agg(F.min(F.struct("d", (-F.col("n")).alias("less"))).alias("f"), F.max("d").alias("top")).where(F.col("f.d") < F.col("top"))
-    met = seeds.join(first.select("h", F.col("f.d").alias("r"), (-F.col("f.less")).alias("nr")), "h").where(F.col("d") != F.col("r"))
-    return met.groupBy("d", "r").agg(F.sum(F.least("n", "nr")).alias("n")).where(F.col("n") > 1).select("d", "r")
+    holders = around.mapInArrow(run, "d long, h long").withColumn("r", F.min("d").over(Window.partitionBy("h")))
+    return pairs.union(holders.where(F.col("d") != F.col("r")).select("d", "r")).distinct()
 
 
 def passages(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
