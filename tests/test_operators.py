@@ -54,6 +54,13 @@ def test_graph(spark, vectors):
     assert row.entry_point_layer == max(row.avg_degree_per_layer) and 4 <= row.avg_degree_per_layer[0] <= 8
 
 
+def test_graph_beyond_exact_rows(spark):
+    rows = [(f"v{i:04d}", x.tolist()) for i, x in enumerate(np.random.default_rng(4).normal(size=(900, 64)).astype("f4"))]
+    items = spark.createDataFrame(rows, "id string, vector array<float>").cache()
+    exact, near = ({(r.id, r.neighbour) for r in graph.neighbours(items, 8, Metric.COSINE, exact_rows=most).collect()} for most in (900, 500))
+    assert len(exact & near) >= 0.85 * len(exact)
+
+
 def test_walk(spark, vectors):
     built = graph.build(vectors, Metric.EUCLIDEAN, m=8).cache()
     queries = vectors.where("id < 'v0020'").withColumnRenamed("id", "qid")

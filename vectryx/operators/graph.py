@@ -1,7 +1,8 @@
 """A layered neighbour graph: its statistics, and approximate search by walking it for many queries at once.
 
 Every id has a level (by its hash); on each layer up to it, it is tied to its m nearest there, 2 m on layer 0. Ties are made
-mutual, then cut to the nearest again. Layers beyond `exact_rows` rows take their candidates from k-means cells.
+mutual, then cut to the nearest again. Layers beyond `exact_rows` rows take their candidates from k-means cells, of which
+as many are probed as a sample of the rows needs for a recall of `least_recall`.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from ..functions.distance import distance
 from ..functions.hashing import level
 from ..schema import EF_SEARCH, M, Metric
 from ..sources.lineage import cut
-from .ann import assign, fit, search_batch
+from .ann import Cells, assign, fit, search_batch
+from .diagnostics import recall
 from .knn import DIGITS, knn_batch
 
 EXACT_ROWS = 20_000
@@ -24,6 +26,16 @@ def leveled(items: DataFrame, m: int = M, id_: str = "id") -> DataFrame:
     return items.withColumn("layer", level(F.col(id_).cast("string"), m))
 
 
+def enough_probes(items: DataFrame, assigned: DataFrame, cells: Cells, k: int, least_recall: float = 0.9, sample: int = 200) -> int:
+    """How many cells to probe: doubled until the mean recall of the sampled rows, held against all rows, is least_recall."""
+    asked = cut(items.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("qid"), "vector"))
+    truth = cut(knn_batch(items, asked, k, cells.metric).select("qid", "id"))
+    probes = 8
+    while probes < len(cells.centroids) and recall(search_batch(assigned, cells, asked, k, probes), truth, k).first().mean_recall < least_recall:
+        probes *= 2
+    return min(probes, len(cells.centroids))
+
+
 def neighbours(items: DataFrame, m: int, metric: Metric | int, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(id, neighbour): the m nearest of each row of (id, vector), made mutual and cut to m."""
     queries = items.select(F.col("id").alias("qid"), "vector")
@@ -32,21 +44,22 @@ def neighbours(items: DataFrame, m: int, metric: Metric | int, exact_rows: int =
         near = knn_batch(items, queries, m + 1, metric)
     else:
         cells = fit(items, max(2, int(count**0.5)), metric)
-        near = search_batch(assign(items, cells), cells, queries, m + 1)
+        assigned = assign(items, cells)
+        near = search_batch(assigned, cells, queries, m + 1, enough_probes(items, assigned, cells, m + 1))
     one = near.where(F.col("qid") != F.col("id")).select(F.col("qid").alias("id"), F.col("id").alias("neighbour"), "distance")
     both = one.union(one.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "distance")).distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return both.withColumn("rank", rank).where(F.col("rank") <= m).select("id", "neighbour")
 
 
-def build(items: DataFrame, metric: Metric | int = Metric.COSINE, m: int = M) -> DataFrame:
+def build(items: DataFrame, metric: Metric | int = Metric.COSINE, m: int = M, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(id, layer, neighbours): a row for each layer of each id, lowest layer first."""
     placed = leveled(items.select("id", "vector"), m).cache()
     top = placed.agg(F.max("layer")).first()[0]
     layers = None
     for n in range((top if top is not None else -1) + 1):
         members = placed.where(F.col("layer") >= n).select("id", "vector")
-        near = neighbours(members, 2 * m if n == 0 else m, metric).groupBy("id").agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
+        near = neighbours(members, 2 * m if n == 0 else m, metric, exact_rows).groupBy("id").agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
         rows = members.select("id").join(near, "id", "left").select("id", F.lit(n).alias("layer"), F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"))
         layers = rows if layers is None else layers.union(rows)
     return layers if layers is not None else placed.select("id", F.lit(0).alias("layer"), F.array().cast("array<string>").alias("neighbours"))
