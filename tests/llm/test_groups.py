@@ -178,6 +178,12 @@ def test_near_duplicate_edges(make, messy):
     assert Counter(r.doc_id for r in minhash.keep_one(twice).collect())[4] == 1
 
 
+def test_near_duplicates_with_a_void_row_of_the_same_id(make):
+    rows = [x for i in range(8) for x in ((10 * i, words(100, 1000 * i)), (10 * i + 1, words(99, 1000 * i)), (10 * i + 1, None), (10 * i + 1, "  "))]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows)).where("n_shingles > 0").collect()}
+    assert found == {10 * i + j: 10 * i for i in range(8) for j in (0, 1)}
+
+
 def test_least_shared_is_safe():
     rng = np.random.default_rng(0)
     for percent in (80, 85):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, claim_memory, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
+from .common import WORD, checkpointed, claim_memory, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
 from .components import components
 
 K = 64
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     lists = checkpointed(prefix_lists(classes, percent))
     first = checkpointed(likely(pivot_pairs(lists, percent), classes, percent))
     owners = lists.select("id").distinct()
-    own_texts = docs.join(owners, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    own_texts = docs.where(F.col("text").rlike(WORD)).join(owners, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     own_texts = checkpointed(own_texts.withColumnRenamed("doc_id", "id"))
     links = checkpointed(confirmed(first, own_texts, words, percent))
     labels = components(links)
