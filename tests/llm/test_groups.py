@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -367,3 +368,13 @@ def test_words_are_cut_at_six_bytes_alone():
 def test_checkpoint_folder_is_the_sessions(spark):
     common.checkpointed(spark.range(3))
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+@pytest.mark.parametrize(("master", "named", "fails"), [("yarn", None, True), ("local-cluster[2,1,1024]", None, True), ("yarn", "/shared/", False), ("local[4]", None, False)])
+def test_no_folder_of_one_machine_on_a_cluster(master, named, fails):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: named or other), sparkContext=SimpleNamespace(master=master))
+    if fails:
+        with pytest.raises(ValueError, match="share"):
+            common.shared_folder(session, "x-")
+    else:
+        assert common.shared_folder(session, "x-").startswith("/shared" if named else "/")

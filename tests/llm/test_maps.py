@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from sqlcheck import SMALL, compare
 
-from vectryx.llm import langid, licenses, pieces, quality, queries, toxicity, webp
+from vectryx.llm import common, langid, licenses, pieces, quality, queries, toxicity, webp
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -223,6 +223,17 @@ def test_piece_queries(spark, codec, messy):
     assert pieces.digests(messy.where("false")).count() == 0
 
 
+def test_long_parts_and_words_are_not_remembered():
+    own = pieces.Codec(pieces.model_path())
+    texts = [chr(0x4E00 + i) * 3000 for i in range(50)] + ["x" * 5000, "word another word"]
+    for t in texts:
+        assert own.encode(t) == own.library.encode(t)
+    own.end_batch()
+    assert max(map(len, own.known)) <= 64
+    common.word_hashes([b"y" * 10**6, b"short"])
+    assert b"short" in common._hashes and max(map(len, common._hashes)) <= 128
+
+
 def test_check_catches_a_wrong_merge(codec):
     broken = pieces.Codec(pieces.model_path())
     broken.cost = {k: -v for k, v in broken.cost.items()}
@@ -451,6 +462,29 @@ def test_code_lengths_by_brute_force():
     assert m.bits(texts) == pytest.approx(np.array([[bits(t, lang) for lang in m.langs] for t in texts]), abs=1e-3)
 
 
+def test_languages_beyond_any_cap(make):
+    rng = random.Random(5)
+    alphabets = {f"l{i:03d}": rng.sample("abcdefghijklmnopqrstuvwxyz", 7) for i in range(300)}
+
+    def text(lang, n=60):
+        return " ".join("".join(rng.choice(alphabets[lang]) for _ in range(5)) for _ in range(n))
+
+    docs = make([(10 * i + j, text(lang), lang) for i, lang in enumerate(alphabets) for j in range(3)])
+    models = langid.fit(docs, total_chars=200_000, skip=None)
+    assert models.langs == sorted(alphabets) and models.costs.nbytes <= 260 << 20
+    asked = make([(i, text(lang), lang) for i, lang in enumerate(alphabets)])
+    langs = dict(enumerate(alphabets))
+    assert sum(r.lang_pred == langs[r.doc_id] for r in langid.predict(asked, models).collect()) >= 0.95 * 300
+    small = langid.Models({lang: [text(lang).encode()] for lang in alphabets}, most_bytes=1 << 20)
+    assert small.costs.nbytes <= 1 << 20 and np.isfinite(small.bits([b"abc"])).all()
+
+
+@pytest.mark.parametrize("text", ["\u00b2", "\u00bd", "\u2167", "\u2460", "_1 2", "\u00b2 \u2460 9"])
+def test_signs_that_are_no_letters(make, text):
+    models = langid.Models({"a": [b"some text"]})
+    assert [r.lang_pred for r in langid.predict(make([(1, text), (2, text + "\u00e9")]), models).orderBy("doc_id").collect()] == ["und", "a"]
+
+
 def test_language_accuracy_and_edges(spark, messy):
     sf = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -53,5 +53,12 @@ def test_decisions(stages):
     assert all(list(r.ids) == codec.library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in out.collect())
 
 
-def test_run(spark, stages):
-    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == ids(stages["encoded"][1])
+def test_run_and_restart(spark, stages, tmp_path):
+    want = ids(stages["encoded"][1])
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF, str(tmp_path / "a")).collect()) == want
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["2-repeated_passages", "3-source_mix"]
+    # a run that broke off while its third stage was written goes on from the second
+    stages["near_duplicates"][1].write.parquet(str(tmp_path / "b" / "1-near_duplicates"))
+    (tmp_path / "b" / "2-repeated_passages").mkdir()
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF, str(tmp_path / "b")).collect()) == want
+    assert not (tmp_path / "b" / "0-quality_rules").exists()

@@ -21,14 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder that all executors share; a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """spark.checkpoint.dir. Without that setting, a folder of its own on one machine (as in tests), and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix=prefix)
+
 
-    The folder is spark.checkpoint.dir; only a session without that setting (as in tests) gets one of its own.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the folder that all executors share; a lost executor costs no recomputation."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -43,14 +51,16 @@ def if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words by word, forgotten when there are too many for memory."""
+    """64-bit hashes of words by word, forgotten when there are too many for memory. Words beyond `longest` bytes aren't kept."""
 
-    most = 150_000
+    most, longest = 150_000, 128
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -21,16 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import checkpointed, if_small, sliced
 
 ORDER = 3
+#: Letters and, as \w takes them too, signs like a superscript two, which str.isalpha() tells apart.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class Models:
     """costs[row * symbols + symbol] has the bits in each language; row_of[context] the row of its longest known suffix."""
 
-    def __init__(self, samples: dict[str, list[bytes]], least_context: int = 2):
+    def __init__(self, samples: dict[str, list[bytes]], least_context: int = 2, most_bytes: int = 256 << 20):
+        """least_context: how often a context must be in the samples; doubled for each length of which the table would pass most_bytes."""
         self.langs = sorted(samples)
         if not self.langs:
             self.symbols, self.symbol, self.row_of, self.costs = 1, np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32)
@@ -56,7 +62,10 @@ class Models:
                 grams.append(np.unique(g, return_counts=True))
             contexts, per = np.unique(np.concatenate([g // a for g, _ in grams]), return_inverse=True)
             total = np.bincount(per, np.concatenate([n for _, n in grams]), len(contexts)) if len(contexts) else np.zeros(0)
-            contexts = contexts[total >= least_context] if k else contexts
+            least, width = least_context, 4 * a * n_langs
+            while k and len(total) and least <= total.max() and (count + np.count_nonzero(total >= least)) * width > most_bytes:
+                least *= 2
+            contexts = contexts[total >= least] if k else contexts
             if not len(contexts):
                 contexts = np.zeros(1, np.int64) if not k else contexts
             parent = last[contexts % (a ** (k - 1)) if k > 1 else np.zeros(len(contexts), np.int64)] if k else np.zeros(len(contexts), np.int64)
@@ -112,27 +121,31 @@ def _remainder(doc_id: object, modulus: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % modulus
 
 
-def fit(docs: DataFrame, per_language: int = 300, most_chars: int = 20_000, most_languages: int = 64, skip: tuple[int, int] | None = (4, 2)) -> Models:
-    """Models from a bounded sample of the labelled rows of docs (doc_id, text, lang).
+def fit(docs: DataFrame, per_language: int = 300, most_chars: int = 20_000, total_chars: int = 30_000_000, skip: tuple[int, int] | None = (4, 2)) -> Models:
+    """Models from a bounded sample of the labelled rows of docs (doc_id, text, lang), of every language that has one.
 
-    Of each of the most_languages languages with the most such rows, the per_language rows of the lowest hash, among those
-    of up to most_chars characters: at most most_languages * per_language * most_chars characters reach the driver. Only rows
+    Of each language the per_language rows of the lowest hash among those of up to most_chars characters, as far as its
+    equal share of total_chars goes (the first text is cut to it): so many characters at most reach the driver. Only rows
     below a hash that some 4 * per_language rows of their language are below take part in the ranking, so it sees as many
     rows for any input. Rows whose id has the remainder skip[1] by skip[0] are held out.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text").between(1, most_chars)))
     if skip:
         rows = rows.where(remainder(F.col("doc_id"), skip[0]) != skip[1])
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    counted = checkpointed(rows.groupBy("lang").count())
+    share = max(1, total_chars // max(1, counted.count()))
     part = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count"))
     # of the hashes, which are signed: all up to this one
-    langs = counted.select("lang", (F.lit(-(2.0**63)) + part * F.lit(2.0**64)).alias("below"))
+    langs = if_small(counted.select(F.col("lang").alias("own"), (F.lit(-(2.0**63)) + part * F.lit(2.0**64)).alias("below")))
     h = F.xxhash64("doc_id", "text")
-    few = rows.select("lang", "text", h.alias("h")).join(F.broadcast(langs), "lang").where(F.col("h").cast("double") <= F.col("below"))
-    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language)
+    few = rows.select("lang", "text", h.alias("h")).join(langs, F.col("lang") == F.col("own")).where(F.col("h").cast("double") <= F.col("below"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    ranked = few.select("lang", "h", F.left("text", F.lit(share)).alias("text")).withColumns({"rank": F.row_number().over(order), "upto": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    chosen = ranked.where((F.col("rank") <= per_language) & (F.col("upto") <= share))
+    found = chosen.orderBy("lang", "h", "text").select("lang", "text").toArrow()
     samples: dict[str, list[bytes]] = {}
-    for r in chosen.orderBy("lang", "h", "text").select("lang", "text").collect():
-        samples.setdefault(r.lang, []).append(r.text.lower().encode())
+    for lang, text in zip(found.column("lang").to_pylist(), found.column("text").to_pylist()):
+        samples.setdefault(lang, []).append(text.lower().encode())
     return Models(samples)
 
 
@@ -152,7 +165,7 @@ def predict(docs: DataFrame, models: Models, held: tuple[int, int] = (4, 2)) ->
             bits = m.bits([(t or "").lower().encode() for t in own])
             pred, score = [], []
             for t, b in zip(own, bits):
-                if not t or not len(b) or not _LETTER.search(t):
+                if not t or not len(b) or not has_letter(t):
                     pred.append("und"), score.append(0.0)
                     continue
                 best = int(b.argmin())

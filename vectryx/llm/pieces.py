@@ -38,18 +38,26 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class _Parts(dict):
-    """Parts met of late; a missing one comes from the generation before, or is merged."""
+    """Parts met of late; a missing one comes from the generation before, or is merged. One beyond `longest` characters isn't kept."""
+
+    longest = 64
 
     def __init__(self, codec: Codec):
         self.codec = codec
 
     def __missing__(self, part: str) -> tuple[bytes, bytes]:
-        found = self[part] = self.codec.older.get(part) or self.codec.learn(part)
+        found = self.codec.older.get(part) or self.codec.learn(part)
+        if len(part) <= self.longest:
+            self[part] = found
         return found
 
 
 class Codec:
-    """Encoder and decoder of one model file. Remembers up to twice `most` parts: (ids as bytes of decimals, bytes they decode to)."""
+    """Encoder and decoder of one model file.
+
+    Remembers up to twice `most` parts, and those of one batch, as (ids as bytes of decimals, bytes they decode to); as parts
+    that are kept are short, that is some 600 bytes a part at most.
+    """
 
     def __init__(self, path: str, most: int = 200_000, check: bool = True):
         import sentencepiece

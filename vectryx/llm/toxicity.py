@@ -81,16 +81,14 @@ def learn_lexicon(own: list[bytes], toxic: np.ndarray, least_documents: int = 5,
 
 
 class _Codes(dict):
-    """Of a word: weight in thousandths, and flags for second person, capitals, hidden spelling."""
+    """Of a word: weight in thousandths, and flags for second person, capitals, hidden spelling. Words beyond `longest` bytes aren't kept."""
 
-    most = 300_000
+    most, longest = 300_000, 128
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
         word = raw.decode("utf-8", "replace")
         core = letters(word)
         inner = bool(core) and not core.isalpha() and any(c.isalpha() for c in core) and not core.replace("-", "").replace("'", "").replace("’", "").isalpha()
@@ -99,7 +97,10 @@ class _Codes(dict):
             w = max(self.lexicon.weight(plain(core)), self.lexicon.weight(plain(word.lower().rstrip(".,;:!?"))))
             hidden = int(w > 0)
         code = int(round(w * 1000)) << 4 | (core in SECOND_PERSON) | (word.isupper() and len(core) > 1) << 1 | inner << 2 | hidden << 3
-        self[raw] = code
+        if len(raw) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[raw] = code
         return code
 
 
