@@ -5,7 +5,6 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last ke
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectryx.llm import minhash, mixing, pieces, quality, substring
+from vectryx.llm.common import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,16 +55,27 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """Where stages are written: the folder that the cluster's executors share, and one's own only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pipeline-")
+def _is_written(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows. Stages are written below `folder`, by default a new one in the folder that executors share.
+
+    Handed the folder of a run that broke off, it goes on after the last stage that was written whole; each stage's table
+    goes once the one after next is there, so that two at most are kept.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _folder(spark)
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    folder = folder or f"{shared_folder(spark, 'pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    paths = [f"{folder}/{i}-{name}" for i, (name, _) in enumerate(STAGES[:-1])]
+    done = max((i + 1 for i, p in enumerate(paths) if _is_written(spark, p)), default=0)
+    if done:
+        docs = spark.read.parquet(paths[done - 1])
+    for i in range(done, len(paths)):
+        STAGES[i][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[i])
+        docs = spark.read.parquet(paths[i])
+        if i > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(paths[i - 2])
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return STAGES[-1][1](spark, docs, sf_dir)
