@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import plain_webp
 import pytest
 from sqlcheck import SMALL, compare
 
@@ -245,12 +246,12 @@ def test_check_catches_a_wrong_merge(codec):
 # images
 
 
-class Stream(webp.Writer):
+class Stream(plain_webp.Writer):
     """Writes any lossless stream, code by code, for the reader to read."""
 
     def lengths(self, own):
         self.put(0, 1).put(15, 4)
-        for s in webp._ORDER:
+        for s in plain_webp._ORDER:
             self.put(4 if s < 16 else 0, 3)
         self.put(0, 1)
         for n in own:
@@ -304,6 +305,13 @@ class Stream(webp.Writer):
         return self.value.to_bytes((self.n + 7) // 8 + 8, "little")
 
 
+def read(data):
+    """By both readers."""
+    found = webp.decode_streams([data])[0]
+    assert np.array_equal(found, plain_webp.decode_stream(data))
+    return found
+
+
 def literals(x):
     return [(int(v),) for v in np.asarray(x).reshape(-1)]
 
@@ -315,22 +323,22 @@ def noise(h, w, seed=0):
 def test_plain_pixels_back_references_and_cache():
     x = noise(4, 5)
     s = Stream().start(5, 4).put(0, 1).image(literals(x), True)
-    assert np.array_equal(webp.decode_stream(s.data()), x)
+    assert np.array_equal(read(s.data()), x)
     # a row, then copies of it from one row up (distance code 1), then the pixel to the left (code 2), and an absolute distance
     row = noise(1, 8, 1)[0]
     s = Stream().start(8, 4).put(0, 1).image([*literals(row), ("back", 8, 1), ("back", 5, 2), ("back", 3, 120 + 8), ("back", 8, 120 + 24)], True)
     want = [*row, *row, *[row[7]] * 5, *row[5:8], *row]
-    assert webp.decode_stream(s.data()).reshape(-1).tolist() == want
+    assert read(s.data()).reshape(-1).tolist() == want
     slot = (int(row[2]) * 0x1E35A7BD & 0xFFFFFFFF) >> 29
     last = max(i for i, v in enumerate(row) if (int(v) * 0x1E35A7BD & 0xFFFFFFFF) >> 29 == slot)
     s = Stream().start(10, 1).put(0, 1).image([*literals(row), ("cache", slot), ("back", 1, 120 + 9)], True, cache_bits=3)
-    assert webp.decode_stream(s.data()).reshape(-1).tolist() == [*row, row[last], row[0]]
+    assert read(s.data()).reshape(-1).tolist() == [*row, row[last], row[0]]
 
 
 def test_entropy_image():
     x = noise(6, 6, 2)
     s = Stream().start(6, 6).put(0, 1).image(literals(x), True, groups=3, tile=(2, [2, 0, 1, 2]))
-    assert np.array_equal(webp.decode_stream(s.data()), x)
+    assert np.array_equal(read(s.data()), x)
 
 
 def test_subtract_green_and_cross_colour():
@@ -339,7 +347,7 @@ def test_subtract_green_and_cross_colour():
     c[..., 0] -= c[..., 1]
     c[..., 2] -= c[..., 1]
     s = Stream().start(7, 5).put(1, 1).put(2, 2).put(0, 1).image(literals(c.view("<u4")), True)
-    assert np.array_equal(webp.decode_stream(s.data()), x)
+    assert np.array_equal(read(s.data()), x)
     tiles = noise(2, 2, 4)
 
     def signed(v):
@@ -355,7 +363,7 @@ def test_subtract_green_and_cross_colour():
             nb = (b - (to_blue * signed(g) >> 5) - (red_blue * signed(r) >> 5)) & 255
             y[i, j] = a << 24 | nr << 16 | g << 8 | nb
     s = Stream().start(7, 5).put(1, 1).put(1, 2).put(0, 3).image(literals(tiles), False).put(0, 1).image(literals(y), True)
-    assert np.array_equal(webp.decode_stream(s.data()), x)
+    assert np.array_equal(read(s.data()), x)
 
 
 @pytest.mark.parametrize("mode", range(14))
@@ -391,18 +399,53 @@ def test_predictors(mode):
             r = [(a - b) & 255 for a, b in zip(parts(x[i, j]), p)]
             y[i, j] = r[0] << 24 | r[1] << 16 | r[2] << 8 | r[3]
     s = Stream().start(6, 5).put(1, 1).put(0, 2).put(1, 3).image([(mode << 8,)], False).put(0, 1).image(literals(y), True)
-    assert np.array_equal(webp.decode_stream(s.data()), x)
+    assert np.array_equal(read(s.data()), x)
+
+
+def test_streams_side_by_side():
+    many = []
+    for k in range(12):
+        x = noise(3 + k, 4 + k % 3, k)
+        s = Stream().start(x.shape[1], x.shape[0])
+        if k % 3 == 1:
+            s.put(0, 1).image(literals(x), True, groups=2, tile=(2, [k % 2, 1] * 9 if k == 99 else [(i + k) % 2 for i in range(webp._div(x.shape[1], 2) * webp._div(x.shape[0], 2))]))
+        else:
+            s.put(0, 1).image([*literals(x[:2]), ("back", (x.shape[0] - 2) * x.shape[1], 120 + 1 + k % 4)], True)
+        many.append(s.data())
+    for data, found in zip(many, webp.decode_streams(many)):
+        assert np.array_equal(found, plain_webp.decode_stream(data))
+    with pytest.raises(ValueError):
+        webp.decode_streams([many[0], many[1][:20]])
+    assert webp.decode_streams([]) == [] and webp.encode_all([]) == [] and webp.decode_all([]) == []
 
 
-def test_payloads_round_trip():
-    rng = random.Random(3)
+def payloads():
+    """What each of the writer's choices is right for."""
+    rng, g = random.Random(3), np.random.default_rng(9)
     for k in (1, 2, 3, 4, 5, 16, 17, 64, 129, 256):
         alphabet = bytes(rng.sample(range(256), k))
-        payload = webp.padded(bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 2000))))
-        assert webp.samples(webp.decode(webp.encode(payload))).tobytes() == payload
-    tall = webp.padded(bytes(rng.randrange(97, 120) for _ in range(192 * 16384 + 5)))
-    images = webp.decode(webp.encode(tall))
-    assert len(images) == 2 and webp.samples(images).tobytes() == tall
+        yield webp.padded(bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 2000))))
+    yield webp.padded(bytes(rng.randrange(97, 120) for _ in range(192 * 70 + 5)))
+    yield g.integers(0, 256, 192 * 32, np.uint8).tobytes()
+    grey = g.integers(0, 256, (32, 64, 1), np.uint8)
+    yield (grey + g.integers(0, 2, (32, 64, 3), np.uint8)).astype(np.uint8).tobytes()
+    rows = np.repeat(g.integers(0, 256, (2, 64, 3), np.uint8), 16, 0)
+    yield rows.tobytes()
+    rows[:, 40:] = grey[:, 40:]
+    yield rows.tobytes()
+    yield webp.padded((" ".join(f"word{i % 37} thing{i % 11}" for i in range(900)) + "\n" + "-" * 700).encode())
+    yield webp.padded("\n".join("the same line again" if i % 2 else f"line {i * i}" for i in range(300)).encode())
+
+
+def test_payloads_round_trip():
+    every, seen = list(payloads()), Counter()
+    media = webp.encode_all(every)
+    for p, m, images in zip(every, media, webp.decode_all(media)):
+        assert webp.samples(images).tobytes() == p and m == webp.encode(p)  # whatever it is written beside
+        assert all(np.array_equal(x, plain_webp.decode_stream(c)) for x, c in zip(images, webp._chunks(m)))
+        seen += webp.traits(m)
+    assert set(seen) == {"predictor", "cross-colour", "subtract green", "palette", "cache", "prefix codes", "literals", "copied", "cached"}
+    assert len(webp.decode(media[10])) == 3
     for bad in (b"", b"x"):
         with pytest.raises(ValueError):
             webp.encode(bad)
@@ -410,6 +453,50 @@ def test_payloads_round_trip():
         webp.decode(b"RIFFxxxxJUNK")
 
 
+def test_transforms_are_undone():
+    for seed in range(6):
+        g = np.random.default_rng(seed)
+        x = np.uint32(0xFF000000) | noise(int(g.integers(1, 33)), 64, seed) & np.uint32(0xFFFFFF if seed % 2 else 0x0F0F0F)
+        x[1::3] = x[0]
+        x[:, 9:30] = x[:, 8:9]
+        res, modes, cross = webp._spatial(x)
+        back = webp._uncross(res, cross, webp.TILE)
+        assert np.array_equal(webp._unpredict([back], [(0, modes, webp.TILE, 64)])[0], x)
+        assert np.array_equal(webp._add_green(webp._add_green(x, -1), 1), x)
+
+
+def test_code_lengths_are_the_best():
+    rng = np.random.default_rng(2)
+    counts = np.where(rng.random((40, 60)) < 0.5, 0, rng.integers(1, 500, (40, 60)))
+    counts[0], counts[1, 1:], counts[1, 0] = 0, 0, 7
+    counts[2, :16] = [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987]
+    counts[2, 16:] = 0
+    for row, lengths in zip(counts, webp.code_lengths(counts, 30)):
+        heap = [int(c) for c in row if c]
+        total = 0
+        while len(heap) > 1:
+            heap.sort()
+            heap[:2] = [heap[0] + heap[1]]
+            total += heap[0]
+        assert (row * lengths).sum() == (total or row.sum()) and ((lengths > 0) == (row > 0)).all()
+    short = webp.code_lengths(counts, 7)
+    assert short.max() == 7 and (np.where(short > 0, 2.0 ** -short.astype(float), 0).sum(1)[2:] == 1).all()
+
+
+def test_documents_are_written_with_the_formats_means(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    media, seen = webp.store(docs).collect(), Counter()
+    for r in media:
+        seen += webp.traits(r.media)
+    assert {"palette", "cache", "prefix codes", "literals", "copied", "cached"} <= set(seen)
+    assert seen["cached"] > 100_000 and seen["copied"] > 30_000 and seen["prefix codes"] >= 3 * len(media)
+    found = {r.doc_id: r for r in webp.features(webp.store(docs)).collect()}
+    for r in docs.where("doc_id < 60").collect():
+        payload, m = webp.padded((r.text or "").encode()), next(x.media for x in media if x.doc_id == r.doc_id)
+        again = b"".join(webp.samples([plain_webp.decode_stream(c)]).tobytes() for c in webp._chunks(m))
+        assert again == payload and found[r.doc_id].payload_sha256 == hashlib.sha256(again).hexdigest()
+
+
 def test_media_query(messy):
     found = webp.features(webp.store(messy)).collect()
     assert len(found) == messy.count()

@@ -1,13 +1,14 @@
 """Media columns: lossless WebP, written and read without an image library.
 
-A payload is stored as rows of `WIDTH` samples: a palette of the byte values in it (several samples to a pixel where there
-are 16 values or fewer), written with prefix codes whose lengths are all the same. Payloads of more rows than an image
-may have are stored as several images in a row.
+A payload is stored as rows of 64 pixels, a pixel's red, green and blue being three of its bytes; a long one as several
+images in a row. The writer weighs by the entropies of what they leave which transforms an image gets: none, palette
+(several samples to a pixel where there are 16 colours or fewer), subtract green, or predictor and cross-colour. Then
+come back-references to where three pixels were last seen, a colour cache where its hits pay for its codes, and prefix
+codes by Huffman's method.
 
 The reader takes any lossless stream: simple and normal prefix codes, entropy images, back-references with the plane of
-distances, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Streams whose
-green codes are of one length and whose other channels are constant are unpacked as a whole by NumPy; all others go
-pixel by pixel.
+distances, the colour cache, and the four transforms. Headers and the small images inside them are read one by one; the
+pixels of all images of a batch are read side by side, a symbol of each at a time, so that the cost of a step is shared.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +27,11 @@ from pyspark.sql import DataFrame
 
 from .common import sliced, texts
 
-WIDTH = 192
-MOST_ROWS = 16384
+#: Bytes and pixels of a row, and the most rows the writer gives an image (the format allows 16384).
+WIDTH, PIXELS, MOST_ROWS = 192, 64, 32
+#: Code lengths: the format's limit is 15, and 7 for the code of the lengths; shorter ones keep the reader's tables small.
+MOST_BITS, MOST_LENGTH_BITS = 12, 7
+LEAST_MATCH = 3
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
 
@@ -53,48 +59,67 @@ class Bits:
         self.at = p + n
         return int.from_bytes(self.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7) & ((1 << n) - 1)
 
+    def peek(self, n: int) -> int:
+        p = self.at
+        return int.from_bytes(self.data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7) & ((1 << n) - 1)
+
+
+@lru_cache
+def _reversed(n: int) -> np.ndarray:
+    """The numbers below 2**n with their n bits in reverse."""
+    x = np.zeros(1, np.int64)
+    for _ in range(n):
+        x = np.concatenate([2 * x, 2 * x + 1])
+    return x
 
-class PrefixCode:
-    """Canonical code from lengths by symbol. constant: its only symbol, taken without reading a bit."""
-
-    def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.constant = used[0][1] if len(used) == 1 else 0 if not used else None
-        self.uniform = 0
-        if self.constant is None:
-            used.sort()
-            if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
-                raise ValueError("the code isn't complete")
-            if used[0][0] == used[-1][0] and used[-1][1] == len(used) - 1:
-                self.uniform = used[0][0]
-            self.most = used[-1][0]
-            self.table: list[tuple[int, int]] | None = None
-            self._used = used
-
-    def _fill(self) -> None:
-        self.table = [(0, 0)] * (1 << self.most)
-        code = last = 0
-        for n, s in self._used:
-            code <<= n - last
-            last = n
-            start = int(format(code, f"0{n}b")[::-1], 2)
-            for i in range(start, 1 << self.most, 1 << n):
-                self.table[i] = (n, s)
-            code += 1
-
-    def read(self, bits: Bits) -> int:
-        if self.constant is not None:
-            return self.constant
-        if self.table is None:
-            self._fill()
-        p = bits.at
-        window = int.from_bytes(bits.data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7) & ((1 << self.most) - 1)
-        n, s = self.table[window]
-        bits.at = p + n
-        return s
-
-
-def _read_code(bits: Bits, size: int) -> PrefixCode:
+
+def code_tables(lengths: list[list[int]]) -> list[np.ndarray]:
+    """Of each code, given as lengths by symbol, its table: of the next bits (as many as its longest word has), length << 16 | symbol.
+
+    Codes are canonical. A lone symbol takes no bits, so its table has one entry; no symbol at all is like a lone 0.
+    """
+    sizes = np.array([len(x) for x in lengths])
+    flat = np.fromiter((n for x in lengths for n in x), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(lengths)), sizes)
+    symbol = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    used = np.flatnonzero(flat)
+    owner, symbol, own = owner[used], symbol[used], flat[used]
+    count, most = np.bincount(owner, minlength=len(lengths)), np.zeros(len(lengths), np.int64)
+    np.maximum.at(most, owner, own)
+    most[count < 2] = 0
+    order = np.argsort(owner << 4 | own, kind="stable")
+    owner, symbol, own = owner[order], symbol[order], own[order]
+    lone = count[owner] == 1
+    spans = np.where(lone, 1, 1 << np.maximum(most[owner] - own, 0))
+    ends = np.cumsum(np.bincount(owner, spans, len(lengths)).astype(np.int64))
+    by_first_bit = np.repeat(np.where(lone, symbol, own << 16 | symbol).astype(np.int32), spans)
+    out = []
+    for n, k, end in zip(most.tolist(), count.tolist(), ends.tolist()):
+        if not k:
+            out.append(np.zeros(1, np.int32))
+            continue
+        table = by_first_bit[end - (1 << n) : end] if end >= 1 << n else by_first_bit[:0]
+        out.append(table)
+    if (np.bincount(owner, spans, len(lengths)).astype(np.int64) != np.where(count > 0, 1 << most, 0)).any():
+        raise ValueError("the code isn't complete")
+    return [t[_reversed(n)] if n else t for t, n in zip(out, most.tolist())]
+
+
+def _small_table(lengths: list[int]) -> tuple[list[int], int]:
+    """The same for the code of the code lengths, of 7 bits at most: the table, and how many bits it goes by."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [used[0][1] if used else 0], 0
+    most, table = used[-1][0], []
+    for n, s in used:
+        table += [n << 16 | s] * (1 << most - n)
+    if len(table) != 1 << most:
+        raise ValueError("the code isn't complete")
+    return [table[at] for at in _reversed(most).tolist()], most
+
+
+def _read_code(bits: Bits, size: int) -> list[int]:
+    """Lengths by symbol of the next prefix code."""
     lengths = [0] * size
     if bits.take(1):
         count = bits.take(1) + 1
@@ -102,27 +127,36 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
         lengths[first] = 1
         if count == 2:
             lengths[bits.take(8)] = 1
-        return PrefixCode(lengths)
+        return lengths
     of_lengths = [0] * 19
     for i in range(4 + bits.take(4)):
         of_lengths[_ORDER[i]] = bits.take(3)
-    code = PrefixCode(of_lengths)
+    table, most = _small_table(of_lengths)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
+    mask, data, p = (1 << most) - 1, bits.data, bits.at
     at, previous = 0, 8
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        window = int.from_bytes(data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7)
+        x = table[window & mask]
+        n = x >> 16
+        s = x & 0xFFFF
+        p += n
         if s < 16:
             lengths[at] = s
             at += 1
             previous = s or previous
             continue
-        repeat, value = (3 + bits.take(2), previous) if s == 16 else (3 + bits.take(3), 0) if s == 17 else (11 + bits.take(7), 0)
+        base, more = ((3, 2), (3, 3), (11, 7))[s - 16]
+        repeat = base + (window >> n & ((1 << more) - 1))
+        p += more
         if at + repeat > size:
             raise ValueError("code lengths run over")
-        lengths[at : at + repeat] = [value] * repeat
+        if s == 16:
+            lengths[at : at + repeat] = [previous] * repeat
         at += repeat
-    return PrefixCode(lengths)
+    bits.at = p
+    return lengths
 
 
 def _extra(bits: Bits, symbol: int) -> int:
@@ -133,62 +167,59 @@ def _extra(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.take(n) + 1
 
 
-def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """ARGB of width * height pixels as uint32."""
+def _div(n: int, bits: int) -> int:
+    return (n + (1 << bits) - 1) >> bits
+
+
+@dataclass
+class Image:
+    """What comes before an image's pixels: codes by group (green, red, blue, alpha, distance) as lengths, and where the pixels' bits begin."""
+
+    bits: Bits
+    width: int
+    height: int
+    cache_bits: int
+    groups: list[list[list[int]]]
+    tiles: np.ndarray | None = None
+    tile_bits: int = 0
+    undo: list[tuple] = field(default_factory=list)
+
+
+def _image_head(bits: Bits, width: int, height: int, top: bool) -> Image:
     cache_bits = bits.take(4) if bits.take(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache too large")
-    tile_bits, groups_of = 0, None
+    tile_bits, tiles = 0, None
     if top and bits.take(1):
         tile_bits = bits.take(3) + 2
-        tiles = _div(width, tile_bits)
-        groups_of = (_read_image(bits, tiles, _div(height, tile_bits), False) >> np.uint32(8)) & np.uint32(0xFFFF)
+        tiles = (_small_image(bits, _div(width, tile_bits), _div(height, tile_bits)) >> np.uint32(8)) & np.uint32(0xFFFF)
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[_read_code(bits, n) for n in sizes] for _ in range(1 + (int(groups_of.max()) if groups_of is not None else 0))]
-    total = width * height
-    green, red, blue, alpha, _ = groups[0]
-    if groups_of is None and not cache_bits and None not in (red.constant, blue.constant, alpha.constant):
-        rest = np.uint32(alpha.constant << 24 | red.constant << 16 | blue.constant)
-        if green.constant is not None and green.constant < 256:
-            return np.full(total, rest | np.uint32(green.constant << 8), np.uint32)
-        if green.uniform and green.uniform <= 8:
-            return _unpack(bits, total, green.uniform) << np.uint32(8) | rest
-    return _read_pixels(bits, width, total, groups, groups_of, tile_bits, cache_bits)
-
-
-def _unpack(bits: Bits, count: int, n: int) -> np.ndarray:
-    """count symbols of n bits each, their first bit the highest."""
-    start = bits.at >> 3
-    raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, min(len(bits.data) - start, (count * n >> 3) + 2), start), bitorder="little")
-    own = raw[bits.at & 7 : (bits.at & 7) + count * n]
-    if len(own) < count * n:
-        raise ValueError("the stream ends early")
-    bits.at += count * n
-    return np.packbits(np.pad(own.reshape(count, n), ((0, 0), (8 - n, 0))), axis=1)[:, 0].astype(np.uint32)
-
-
-def _read_pixels(bits: Bits, width: int, total: int, groups: list, groups_of: np.ndarray | None, tile_bits: int, cache_bits: int) -> np.ndarray:
-    out = [0] * total
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    shift = 32 - cache_bits
-    tiles = _div(width, tile_bits) if groups_of is not None else 0
+    groups = [[_read_code(bits, n) for n in sizes] for _ in range(1 + (int(tiles.max()) if tiles is not None else 0))]
+    return Image(bits, width, height, cache_bits, groups, tiles, tile_bits)
+
+
+def _small_image(bits: Bits, width: int, height: int) -> np.ndarray:
+    """ARGB of an image inside a header, read pixel by pixel."""
+    head = _image_head(bits, width, height, False)
+    tables = [(t.tolist(), len(t) - 1) for t in code_tables(head.groups[0])]
+    total, shift = width * height, 32 - head.cache_bits
+    out, cache = [0] * total, [0] * (1 << head.cache_bits)
     at = cached = 0
+
+    def read(which: int) -> int:
+        table, mask = tables[which]
+        x = table[bits.peek(15) & mask]
+        bits.at += x >> 16
+        return x & 0xFFFF
+
     while at < total:
-        g = groups[int(groups_of[((at // width) >> tile_bits) * tiles + ((at % width) >> tile_bits)])] if groups_of is not None else groups[0]
-        s = g[0].read(bits)
+        s = read(0)
         if s < 256:
-            r = g[1].read(bits)
-            b = g[2].read(bits)
-            out[at] = g[3].read(bits) << 24 | r << 16 | s << 8 | b
+            out[at] = s << 8 | read(1) << 16 | read(2) | read(3) << 24
             at += 1
         elif s < 280:
             length = _extra(bits, s - 256)
-            code = _extra(bits, g[4].read(bits))
-            if code > 120:
-                back = code - 120
-            else:
-                dx, dy = _PLANE[code - 1]
-                back = max(1, dx + dy * width)
+            back = _back(_extra(bits, read(4)), width)
             if back > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
             for i in range(at, at + length):
@@ -196,15 +227,216 @@ def _read_pixels(bits: Bits, width: int, total: int, groups: list, groups_of: np
             at += length
         else:
             while cached < at:
-                cache[(out[cached] * 0x1E35A7BD & 0xFFFFFFFF) >> shift] = out[cached]
+                cache[(out[cached] * _HASH & 0xFFFFFFFF) >> shift] = out[cached]
                 cached += 1
             out[at] = cache[s - 280]
             at += 1
     return np.array(out, np.uint32)
 
 
-def _div(n: int, bits: int) -> int:
-    return (n + (1 << bits) - 1) >> bits
+def _back(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    dx, dy = _PLANE[code - 1]
+    return max(1, dx + dy * width)
+
+
+_HASH = 0x1E35A7BD
+
+
+def read_head(data: bytes) -> Image:
+    """All that comes before the pixels of a VP8L chunk."""
+    bits = Bits(data)
+    if bits.take(8) != 0x2F:
+        raise ValueError("not a lossless stream")
+    width, height = bits.take(14) + 1, bits.take(14) + 1
+    bits.take(1)
+    if bits.take(3):
+        raise ValueError("unknown version")
+    undo, inner = [], width
+    while bits.take(1):
+        kind = bits.take(2)
+        if kind in (0, 1):
+            n = bits.take(3) + 2
+            tiles = _small_image(bits, _div(inner, n), _div(height, n)).reshape(_div(height, n), -1)
+            undo.append((kind, tiles, n, inner))
+        elif kind == 2:
+            undo.append((kind, None, 0, inner))
+        else:
+            n = bits.take(8) + 1
+            deltas = _channels(_small_image(bits, n, 1)).reshape(n, 4)
+            palette = np.ascontiguousarray(np.cumsum(deltas, 0, dtype=np.uint8)).view("<u4")[:, 0]
+            undo.append((kind, palette, 0, inner))
+            inner = _div(inner, 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0)
+    image = _image_head(bits, inner, height, True)
+    image.undo = undo
+    return image
+
+
+LITERAL, COPY, CACHED = 1, 2, 3
+
+
+def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pixel of all images how it is made (LITERAL, COPY, CACHED) and from what (ARGB, distance back, place in the cache).
+
+    Side by side: in each step one symbol of every image that isn't read to its end.
+    """
+    totals = np.array([m.width * m.height for m in images], np.int64)
+    kind, value = np.zeros(int(totals.sum()), np.uint8), np.zeros(int(totals.sum()), np.uint32)
+    buffer = np.frombuffer(b"".join(m.bits.data for m in images) + bytes(16), np.uint8)
+    words = np.ndarray((len(buffer) - 7,), "<u8", buffer.data, strides=(1,))  # eight bytes from each byte on
+    sizes = np.array([len(m.bits.data) for m in images], np.int64)
+    pos = 8 * (np.cumsum(sizes) - sizes) + np.array([m.bits.at for m in images], np.int64)
+    tables = code_tables([c for m in images for g in m.groups for c in g])
+    entries = np.array([len(t) for t in tables], np.int64)
+    table = np.concatenate(tables)
+    starts, masks = (np.cumsum(entries) - entries).reshape(-1, 5), (entries - 1).reshape(-1, 5)
+    n_groups = np.array([len(m.groups) for m in images])
+    first_group = np.cumsum(n_groups) - n_groups
+    group = first_group
+    tiled = np.array([m.tiles is not None for m in images])
+    backs = {m.width: np.array([_back(c, m.width) for c in range(1, 121)], np.int64) for m in images}
+    width_at = {w: i for i, w in enumerate(backs)}
+    near, wide = np.stack(list(backs.values())), np.array([width_at[m.width] for m in images])
+    wordy = bool((masks[:, 3] > 0).any())
+    lane, read_to = np.arange(len(images)), 8 * np.cumsum(sizes)
+    copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def symbol(w: np.ndarray, which: int, of: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        t = table[own_starts[which][of] + (w.astype(np.int64) & own_masks[which][of])]
+        return t & 0xFFFF, t >> 16
+
+    def window(p: np.ndarray) -> np.ndarray:
+        if (p >> 3 >= len(words)).any():
+            raise ValueError("the stream ends early")
+        return words[p >> 3] >> (p & 7).astype(np.uint64)
+
+    def extra(p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.where(s < 4, 0, (s - 2) >> 1)
+        more = window(p).astype(np.int64) & ((1 << n) - 1)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << n) + more + 1), p + n
+
+    starts, masks = np.ascontiguousarray(starts.T), np.ascontiguousarray(masks.T)
+    own_starts, own_masks, p, here, end = starts[:, group], masks[:, group], pos, base.copy(), base + totals
+    while len(lane):
+        if tiled.any():
+            g = group[lane]
+            for i in np.flatnonzero(tiled[lane]):
+                m, q = images[lane[i]], int(here[i] - base[lane[i]])
+                g[i] += m.tiles[((q // m.width) >> m.tile_bits) * _div(m.width, m.tile_bits) + ((q % m.width) >> m.tile_bits)]
+            own_starts, own_masks = starts[:, g], masks[:, g]
+        w = window(p)
+        s, n = symbol(w, 0)
+        used, moved = n.astype(np.int64), np.ones(len(lane), np.int64)
+        plain = s < 256
+        if plain.all():
+            pick = slice(None)
+        else:
+            pick = np.flatnonzero(plain)
+        wl = w[pick] >> n[pick].astype(np.uint64)
+        r, nr = symbol(wl, 1, pick)
+        b, nb = symbol(wl >> nr.astype(np.uint64), 2, pick)
+        bits = used[pick] + nr + nb
+        if wordy:
+            a, na = symbol(window(p[pick] + bits), 3, pick)
+            bits = bits + na
+        else:
+            a = table[own_starts[3][pick]]
+        used[pick] = bits
+        kind[here[pick]] = LITERAL
+        value[here[pick]] = a.astype(np.uint32) << 24 | (r << 16 | s[pick] << 8 | b).astype(np.uint32)
+        if not plain.all():
+            back = np.flatnonzero((s >= 256) & (s < 280))
+            if len(back):
+                length, q = extra(p[back] + n[back], s[back].astype(np.int64) - 256)
+                ds, dn = symbol(window(q), 4, back)
+                code, q = extra(q + dn, ds.astype(np.int64))
+                distance = np.where(code > 120, code - 120, near[wide[lane[back]], np.minimum(code, 120) - 1])
+                if (distance > here[back] - base[lane[back]]).any() or (here[back] + length > end[back]).any():
+                    raise ValueError("a back-reference leaves the image")
+                used[back], moved[back] = q - p[back], length
+                copies.append((here[back], length, distance))
+            cached = np.flatnonzero(s >= 280)
+            kind[here[cached]] = CACHED
+            value[here[cached]] = s[cached] - 280
+        p, here = p + used, here + moved
+        going = here < end
+        if not going.all():
+            over = lane[~going]
+            if (p[~going] > read_to[over]).any():
+                raise ValueError("the stream ends early")
+            lane, p, here, end = lane[going], p[going], here[going], end[going]
+            own_starts, own_masks = own_starts[:, going], own_masks[:, going]
+    if copies:
+        start, length, distance = (np.concatenate(c) for c in zip(*copies))
+        places = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        kind[places], value[places] = COPY, np.repeat(distance, length).astype(np.uint32)
+    return kind, value
+
+
+def _followed(source: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the places at lead to when each is followed to its source until that is its own."""
+    to = source[at]
+    while not np.array_equal(further := source[to], to):
+        source[at] = to = further
+    return to
+
+
+def _fill_pixels(images: list[Image], kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Copies and cached colours put in: each is followed to the pixel that it repeats.
+
+    A pixel's place in the cache is known before its colour is: a literal's from its hash, a copy's from what it copies,
+    and a cached one's is what was read. What was last in that place is what a cached pixel repeats.
+    """
+    every = np.arange(len(value))
+    source = every - np.where(kind == COPY, value, 0)
+    cached = np.flatnonzero(kind == CACHED)
+    if len(cached):
+        totals = np.array([m.width * m.height for m in images], np.int64)
+        image = np.repeat(np.arange(len(images)), totals)
+        bits = np.repeat(np.array([m.cache_bits for m in images]), totals)
+        place = np.where(kind == CACHED, value, value * np.uint32(_HASH) >> (32 - np.maximum(bits, 1)).astype(np.uint32)).astype(np.int64)
+        copied = np.flatnonzero(kind == COPY)
+        place[copied] = place[_followed(source.copy(), copied)]
+        some = np.flatnonzero(bits > 0)
+        slot = (image[some] << 11) | place[some]
+        order = some[np.argsort(slot, kind="stable")]
+        before = np.empty(len(value), np.int64)
+        before[order[1:]] = order[:-1]
+        same = np.zeros(len(value), bool)
+        same[order[1:]] = np.diff(np.sort(slot, kind="stable")) == 0
+        empty = cached[~same[cached]]  # nothing was there: transparent black
+        source[cached] = before[cached]
+        source[empty], value[empty] = empty, 0
+    made = np.flatnonzero(source != every)
+    value[made] = value[_followed(source, made)]
+    return value
+
+
+def decode_streams(chunks: list[bytes]) -> list[np.ndarray]:
+    """ARGB (height * width, uint32) of the data of each VP8L chunk."""
+    images = [read_head(c) for c in chunks]
+    if not images:
+        return []
+    totals = np.array([m.width * m.height for m in images], np.int64)
+    base = np.cumsum(totals) - totals
+    pixels = _fill_pixels(images, *_read_symbols(images, base))
+    found = [pixels[b : b + n].reshape(m.height, m.width) for m, b, n in zip(images, base.tolist(), totals.tolist())]
+    for step in range(max(len(m.undo) for m in images)):  # the last transform is undone first
+        todo = [i for i, m in enumerate(images) if len(m.undo) > step]
+        guessed = [i for i in todo if images[i].undo[-1 - step][0] == 0]
+        if guessed:
+            for i, x in zip(guessed, _unpredict([found[i] for i in guessed], [images[i].undo[-1 - step] for i in guessed])):
+                found[i] = x
+        for i in todo:
+            kind, data, n, own = images[i].undo[-1 - step]
+            if kind == 1:
+                found[i] = _uncross(found[i], data, n)
+            elif kind == 2:
+                found[i] = _add_green(found[i], 1)
+            elif kind == 3:
+                found[i] = _unpalette(found[i], data, own)
+    return found
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -212,64 +444,97 @@ def _channels(argb: np.ndarray) -> np.ndarray:
     return argb.astype("<u4").view(np.uint8).reshape(*argb.shape, 4)
 
 
-def _predict(x: np.ndarray, modes: np.ndarray, tile_bits: int) -> np.ndarray:
-    """Undoes the predictor transform; x is height * width residuals."""
-    h, w = x.shape
-    out = _channels(x).astype(np.int16).reshape(h, w, 4)
-    black = np.array([0, 0, 0, 255], np.int16)
+def _add_green(x: np.ndarray, sign: int) -> np.ndarray:
+    c = _channels(x).copy()
+    c[..., 0] += sign * c[..., 1] if sign > 0 else -c[..., 1]
+    c[..., 2] += c[..., 1] if sign > 0 else -c[..., 1]
+    return c.view("<u4").reshape(x.shape)
+
+
+_BLACK = np.array([0, 0, 0, 255], np.int16)
+
 
-    def average(a, b):
+def _guess(mode: int, left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A predictor mode, over int16 arrays whose last axis are the channels; right is the neighbour above and to the right."""
+
+    def average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a + b) >> 1
 
-    for row in range(h):
-        for col in range(w):
-            if not row:
-                guess = out[0, col - 1] if col else black
-            elif not col:
-                guess = out[row - 1, 0]
-            else:
-                left, top, corner = out[row, col - 1], out[row - 1, col], out[row - 1, col - 1]
-                right = out[row - 1, col + 1] if col + 1 < w else out[row, 0]
-                mode = int(modes[row >> tile_bits, col >> tile_bits]) >> 8 & 15
-                if mode in (0, 14, 15):
-                    guess = black
-                elif mode < 5:
-                    guess = (left, top, right, corner)[mode - 1]
-                elif mode == 5:
-                    guess = average(average(left, right), top)
-                elif mode == 6:
-                    guess = average(left, corner)
-                elif mode == 7:
-                    guess = average(left, top)
-                elif mode == 8:
-                    guess = average(corner, top)
-                elif mode == 9:
-                    guess = average(top, right)
-                elif mode == 10:
-                    guess = average(average(left, corner), average(top, right))
-                elif mode == 11:
-                    near_left = np.abs(top - corner).sum() < np.abs(left - corner).sum()
-                    guess = left if near_left else top
-                elif mode == 12:
-                    guess = np.clip(left + top - corner, 0, 255)
-                else:
-                    mean = average(left, top)
-                    half = mean - corner
-                    guess = np.clip(mean + (np.abs(half) >> 1) * np.sign(half), 0, 255)
-            out[row, col] = (out[row, col] + guess) & 255
-    return np.ascontiguousarray(out.astype(np.uint8)).view("<u4").reshape(h, w)
+    if mode in (0, 14, 15):
+        return np.broadcast_to(_BLACK, left.shape)
+    if mode < 5:
+        return (left, top, right, corner)[mode - 1]
+    if mode == 5:
+        return average(average(left, right), top)
+    if mode in (6, 7, 8, 9):
+        return average(*((left, corner), (left, top), (corner, top), (top, right))[mode - 6])
+    if mode == 10:
+        return average(average(left, corner), average(top, right))
+    if mode == 11:
+        nearer = np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True)
+        return np.where(nearer, left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    mean = average(left, top)
+    half = mean - corner
+    return np.clip(mean + (np.abs(half) >> 1) * np.sign(half), 0, 255)
+
+
+def _unpredict(residuals: list[np.ndarray], transforms: list[tuple]) -> list[np.ndarray]:
+    """Undoes the predictor transform of several images side by side, a pixel of each at a time."""
+    order = sorted(range(len(residuals)), key=lambda i: -residuals[i].size)
+    sizes = np.array([residuals[i].size for i in order])
+    width = np.array([residuals[i].shape[1] for i in order])
+    out = np.zeros((len(order), int(sizes[0]), 4), np.int16)
+    modes = np.zeros((len(order), int(sizes[0])), np.uint8)
+    for j, i in enumerate(order):
+        h, w = residuals[i].shape
+        _, tiles, n, _ = transforms[i]
+        out[j, : sizes[j]] = _channels(residuals[i]).reshape(-1, 4)
+        modes[j, : sizes[j]] = np.repeat(np.repeat(tiles >> 8 & 15, 1 << n, 0), 1 << n, 1)[:h, :w].reshape(-1)
+        modes[j, 1:w], modes[j, w : sizes[j] : w] = 1, 2  # the first row goes by the left, the first column by the top
+        modes[j, 0] = 0
+    going = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
+    lanes = np.arange(len(order))
+    for p in range(int(sizes[0])):
+        m = going[p]
+        mode, w, own = modes[:m, p], width[:m], lanes[:m]
+        left = out[:m, p - 1] if p else np.zeros((m, 4), np.int16)
+        top, corner, right = (out[own, np.maximum(p - w + d, 0)] for d in (0, -1, 1))
+        first = int(mode[0])
+        if (mode == first).all():
+            guess = _guess(first, left, top, corner, right)
+        else:
+            guess = np.zeros((m, 4), np.int16)
+            for k in np.unique(mode):
+                of = np.flatnonzero(mode == k)
+                guess[of] = _guess(int(k), left[of], top[of], corner[of], right[of])
+        out[:m, p] = (out[:m, p] + guess) & 255
+    done = out.astype(np.uint8)
+    found: list = [None] * len(order)
+    for j, i in enumerate(order):
+        found[i] = np.ascontiguousarray(done[j, : sizes[j]]).view("<u4").reshape(residuals[i].shape)
+    return found
+
+
+def _tile_fields(tiles: np.ndarray, n: int, shape: tuple[int, int]) -> np.ndarray:
+    """Cross-colour multipliers (green to red, green to blue, red to blue) of each pixel."""
+    return np.repeat(np.repeat(_channels(tiles), 1 << n, 0), 1 << n, 1)[: shape[0], : shape[1]].view(np.int8).astype(np.int32)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8).view(np.int8).astype(np.int32)
 
 
 def _uncross(x: np.ndarray, tiles: np.ndarray, tile_bits: int) -> np.ndarray:
     """Undoes the cross-colour transform."""
-    h, w = x.shape
-    c = _channels(x).reshape(h, w, 4).copy()
-    t = np.repeat(np.repeat(_channels(tiles), 1 << tile_bits, 0), 1 << tile_bits, 1)[:h, :w].astype(np.int8).astype(np.int32)
-    green = c[..., 1].astype(np.int8).astype(np.int32)
+    c = _channels(x).copy()
+    t = _tile_fields(tiles, tile_bits, x.shape)
+    green = _signed(c[..., 1])
     red = (c[..., 2] + (t[..., 0] * green >> 5)) & 255
-    blue = c[..., 0] + (t[..., 1] * green >> 5) + (t[..., 2] * red.astype(np.uint8).astype(np.int8).astype(np.int32) >> 5)
+    blue = c[..., 0] + (t[..., 1] * green >> 5) + (t[..., 2] * _signed(red) >> 5)
     c[..., 2], c[..., 0] = red.astype(np.uint8), (blue & 255).astype(np.uint8)
-    return c.view("<u4").reshape(h, w)
+    return c.view("<u4").reshape(x.shape)
 
 
 def _unpalette(x: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
@@ -286,48 +551,8 @@ def _unpalette(x: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
     return full[index]
 
 
-def decode_stream(data: bytes) -> np.ndarray:
-    """ARGB (height * width, uint32) of the data of a VP8L chunk."""
-    bits = Bits(data)
-    if bits.take(8) != 0x2F:
-        raise ValueError("not a lossless stream")
-    width, height = bits.take(14) + 1, bits.take(14) + 1
-    bits.take(1)
-    if bits.take(3):
-        raise ValueError("unknown version")
-    undo, inner = [], width
-    while bits.take(1):
-        kind = bits.take(2)
-        if kind in (0, 1):
-            n = bits.take(3) + 2
-            tiles = _read_image(bits, _div(inner, n), _div(height, n), False).reshape(_div(height, n), -1)
-            undo.append((kind, tiles, n, inner))
-        elif kind == 2:
-            undo.append((kind, None, 0, inner))
-        else:
-            n = bits.take(8) + 1
-            deltas = _channels(_read_image(bits, n, 1, False)).reshape(n, 4)
-            palette = np.ascontiguousarray(np.cumsum(deltas, 0, dtype=np.uint8)).view("<u4")[:, 0]
-            undo.append((kind, palette, 0, inner))
-            inner = _div(inner, 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0)
-    x = _read_image(bits, inner, height, True).reshape(height, inner)
-    for kind, data_, n, own in reversed(undo):
-        if kind == 0:
-            x = _predict(x, data_, n)
-        elif kind == 1:
-            x = _uncross(x, data_, n)
-        elif kind == 2:
-            c = _channels(x).reshape(*x.shape, 4).copy()
-            c[..., 0] += c[..., 1]
-            c[..., 2] += c[..., 1]
-            x = c.view("<u4").reshape(x.shape)
-        else:
-            x = _unpalette(x, data_, own)
-    return x
-
-
-def decode(data: bytes) -> list[np.ndarray]:
-    """The images of one or more WebP files in a row."""
+def _chunks(data: bytes) -> list[bytes]:
+    """The lossless streams of one or more WebP files in a row."""
     out, at = [], 0
     while at < len(data):
         riff, size, webp = struct.unpack_from("<4sI4s", data, at)
@@ -337,109 +562,479 @@ def decode(data: bytes) -> list[np.ndarray]:
         while p < end:
             kind, n = struct.unpack_from("<4sI", data, p)
             if kind == b"VP8L":
-                out.append(decode_stream(data[p + 8 : p + 8 + n]))
+                out.append(data[p + 8 : p + 8 + n])
             p += 8 + n + (n & 1)
         at = end
     return out
 
 
-class Writer:
-    """Collects bits, least significant first."""
-
-    def __init__(self):
-        self.value = self.n = 0
-
-    def put(self, value: int, n: int) -> "Writer":
-        self.value |= value << self.n
-        self.n += n
-        return self
-
-
-def _single(w: Writer, symbol: int) -> None:
-    """A code with one symbol, which then takes no bits."""
-    w.put(1, 1).put(0, 1)
-    w.put(1, 1).put(symbol, 8) if symbol > 1 else w.put(0, 1).put(symbol, 1)
-
-
-def _uniform(w: Writer, n: int) -> None:
-    """The green code: 2**n literals of n bits, 2 <= n <= 8. Its own lengths use the symbols n, 16 and 18."""
-    order = {s: i for i, s in enumerate(_ORDER)}
-    count = max(order[n], order[16], order[18]) + 1
-    w.put(0, 1).put(count - 4, 4)
-    for i in range(count):
-        w.put({n: 1, 16: 2, 18: 2}.get(_ORDER[i], 0), 3)
-    w.put(0, 1)  # lengths for the whole alphabet
-    code = {n: (0, 1), 16: (0b01, 2), 18: (0b11, 2)}  # 0, 10 and 11, first bit lowest
-    w.put(*code[n])
-    left = (1 << n) - 1
-    while left:
-        take = min(6, left) if left - min(6, left) not in (1, 2) else left - 3 if left > 6 else left
-        if take < 3:
-            for _ in range(take):
-                w.put(*code[n])
-        else:
-            w.put(*code[16]).put(take - 3, 2)
-        left -= take
-    left = 280 - (1 << n)
-    while left:
-        take = min(138, left) if left - min(138, left) == 0 or left - min(138, left) >= 11 else left - 11
-        w.put(*code[18]).put(take - 11, 7)
-        left -= take
-
-
-@lru_cache(maxsize=4096)
-def _head(rows: int, palette: bytes, n: int) -> tuple[int, int]:
-    """All bits before the pixels, as (value, count)."""
-    w = Writer().put(0x2F, 8).put(WIDTH - 1, 14).put(rows - 1, 14).put(0, 1).put(0, 3)
-    w.put(1, 1).put(3, 2).put(len(palette) - 1, 8)
-    w.put(0, 1)  # the palette: no colour cache
-    _uniform(w, 8)
-    for symbol in (0, 0, 0, 0):
-        _single(w, symbol)
-    last = 0
-    for v in palette:
-        w.put(int(format((v - last) & 255, "08b")[::-1], 2), 8)
-        last = v
-    w.put(0, 1)  # no more transforms
-    w.put(0, 1).put(0, 1)  # no colour cache, one group of codes
-    _uniform(w, n)
-    for symbol in (0, 0, 0, 0):
-        _single(w, symbol)
-    return w.value, w.n
-
-
-def _encode_rows(samples: np.ndarray) -> bytes:
-    """One WebP file of rows * WIDTH samples."""
-    there = np.flatnonzero(np.bincount(samples, minlength=256))
-    index = np.zeros(256, np.uint8)
-    index[there] = np.arange(len(there))
-    x = index[samples].reshape(-1, WIDTH)
-    rows = len(x)
-    if len(there) <= 16:
-        per = 8 if len(there) <= 2 else 4 if len(there) <= 4 else 2
-        step = 8 // per
-        x = np.bitwise_or.reduce(x.reshape(rows, -1, per) << (np.arange(per, dtype=np.uint8) * step), axis=2)
-    n = max(2, int(x.max()).bit_length())
-    value, count = _head(rows, there.astype(np.uint8).tobytes(), n)
-    head = np.unpackbits(np.frombuffer(value.to_bytes((count + 7) >> 3, "little"), np.uint8), bitorder="little")[:count]
-    body = np.unpackbits(x.reshape(-1, 1).astype(np.uint8), axis=1)[:, 8 - n :].reshape(-1)
-    data = np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
+def decode_all(media: list[bytes]) -> list[list[np.ndarray]]:
+    """Of each of the media its images, ARGB as uint32."""
+    parts = [_chunks(m) for m in media]
+    found = iter(decode_streams([c for p in parts for c in p]))
+    return [[next(found) for _ in p] for p in parts]
+
+
+def decode(data: bytes) -> list[np.ndarray]:
+    return decode_all([data])[0]
+
+
+# the writer
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Huffman code lengths of each row of counts, `most` at most; 0 for what doesn't occur. Rows are merged side by side.
+
+    Where a code would get longer, its least counts are raised (to 2, 4, ...) until it fits. A lone symbol has length 1.
+    """
+    out = np.zeros(counts.shape, np.uint8)
+    rows, least = np.flatnonzero((counts > 0).sum(1)), 1
+    while len(rows):
+        own = np.where(counts[rows] > 0, np.maximum(counts[rows], least), 0)
+        lengths = _merged_lengths(own)
+        out[rows] = lengths
+        rows, least = rows[lengths.max(1) > most], 2 * least
+    return out
+
+
+def _merged_lengths(counts: np.ndarray) -> np.ndarray:
+    """By two queues: the symbols by count (ties by symbol), and the pairs made of the two least of either queue."""
+    used = (counts > 0).sum(1)
+    down = np.argsort(-used, kind="stable")
+    counts, used = counts[down], used[down]
+    n_rows, k = len(counts), int(used[0])
+    never = np.int64(1) << 60
+    symbols = np.argsort(np.where(counts > 0, counts, never), axis=1, kind="stable")[:, :k]
+    leaves = np.full((n_rows, k + 1), never)
+    leaves[:, :k] = np.take_along_axis(np.where(counts > 0, counts, never), symbols, 1)
+    pairs = np.full((n_rows, k + 1), never)
+    leaf_parent, pair_parent = np.zeros((n_rows, k), np.int64), np.zeros((n_rows, k), np.int64)
+    leaf, pair, lanes = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.arange(n_rows)
+    going = np.searchsorted(-used, -np.arange(1, k + 1), "left")  # so many rows have more symbols than this
+    for t in range(k - 1):
+        r = lanes[: going[t]]
+        total = np.zeros(len(r), np.int64)
+        for _ in range(2):
+            li, pi = leaf[r], pair[r]
+            a, b = leaves[r, li], pairs[r, pi]
+            low = a <= b
+            x, y = np.flatnonzero(low), np.flatnonzero(~low)
+            leaf_parent[x, li[x]] = t
+            pair_parent[y, pi[y]] = t
+            leaf[x] += 1
+            pair[y] += 1
+            total += np.where(low, a, b)
+        pairs[r, t] = total
+    depth = np.zeros((n_rows, k), np.int64)
+    for t in range(k - 3, -1, -1):
+        r = lanes[: going[t + 1]]
+        depth[r, t] = np.where(t < used[r] - 2, depth[r, pair_parent[r, t]] + 1, 0)
+    lengths = np.take_along_axis(depth, leaf_parent, 1) + 1
+    lengths[np.arange(k)[None, :] >= used[:, None]] = 0
+    out = np.zeros(counts.shape, np.uint8)
+    np.put_along_axis(out, symbols, lengths.astype(np.uint8), 1)
+    back = np.zeros_like(out)
+    back[down] = out
+    return back
+
+
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """Canonical code words of each row of lengths, first bit lowest."""
+    n_rows, n = lengths.shape
+    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
+    own = np.take_along_axis(lengths, order, 1).astype(np.int64)
+    steps = np.where(own > 0, np.int64(1) << (15 - np.minimum(own, 15)), 0)
+    high = np.cumsum(steps, 1) - steps  # the word, its first bit the 15th
+    low = _reversed(15)[np.minimum(high, (1 << 15) - 1)]
+    out = np.zeros((n_rows, n), np.int64)
+    np.put_along_axis(out, order, np.where(own > 0, low, 0), 1)
+    return out
+
+
+Symbols = tuple[np.ndarray, np.ndarray, np.ndarray]
+"""Whose (in the order of writing), values, and their numbers of bits."""
+
+
+def _runs_of_lengths(lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first `sizes` code lengths of each row as (row, symbol, extra, its bits): 16 repeats the last length, 17 and 18 are runs of 0."""
+    row, column = np.nonzero(np.arange(lengths.shape[1])[None, :] < sizes[:, None])
+    v = lengths[row, column].astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (row[1:] != row[:-1])])
+    n, v, row = np.diff(np.r_[new, len(v)]), v[new], row[new]
+    zero = v == 0
+    first = (~zero).astype(np.int64)  # a length itself comes before its repeats
+    most = np.where(zero, 138, 6)
+    whole, rest = (n - first) // most, (n - first) % most
+    short = rest < 3
+    pieces = first + whole + np.where(short, rest, 1)
+    of = np.repeat(np.arange(len(v)), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    is_whole = (nth >= first[of]) & (nth < (first + whole)[of])
+    is_rest = (nth >= (first + whole)[of]) & ~short[of]
+    repeat = np.where(zero, 18, 16)
+    rest_symbol = np.where(zero, np.where(rest < 11, 17, 18), 16)
+    rest_from = np.where(rest_symbol == 18, 11, 3)
+    width = np.array([2, 3, 7])
+    symbol = np.where(is_whole, repeat[of], np.where(is_rest, rest_symbol[of], v[of]))
+    extra = np.where(is_whole, np.where(zero, 127, 3)[of], np.where(is_rest, (rest - rest_from)[of], 0))
+    return row[of], symbol, extra, np.where(symbol >= 16, width[np.maximum(symbol, 16) - 16], 0)
+
+
+def _codes_written(lengths: np.ndarray, sizes: np.ndarray) -> Symbols:
+    """How codes are written, row by row: simple ones for one symbol or two, others by a code of their lengths."""
+    used = (lengths > 0).sum(1)
+    top = lengths.shape[1] - 1 - (lengths[:, ::-1] > 0).argmax(1)
+    simple = (used == 0) | (used <= 2) & (top < 256)
+    first, wide = np.where(used > 0, (lengths > 0).argmax(1), 0), 8
+    bits = np.where(first > 1, wide, 1)
+    value = 1 | (used == 2) << 1 | (first > 1) << 2 | first << 3
+    value = np.where(used == 2, value | top << (3 + bits), value)
+    s = np.flatnonzero(simple)
+    parts = [(s, value[s], (3 + bits + np.where(used == 2, 8, 0))[s])]
+    normal = np.flatnonzero(~simple)
+    if len(normal):
+        row, symbol, extra, more = _runs_of_lengths(lengths[normal], sizes[normal])
+        own = code_lengths(np.bincount(row * 19 + symbol, minlength=19 * len(normal)).reshape(-1, 19), MOST_LENGTH_BITS)
+        words = code_words(own)
+        ordered = own[:, _ORDER].astype(np.int64)
+        count = np.maximum(4, 19 - (ordered[:, ::-1] > 0).argmax(1))
+        named = (ordered << (3 * np.arange(19))).sum(1)  # three bits each; what is beyond count is 0
+        taken = np.where((own > 0).sum(1)[:, None] > 1, own, 0)  # a lone length takes no bits, but is named
+        at = taken[row, symbol].astype(np.int64)
+        parts += [(normal, (count - 4) << 1, np.full(len(normal), 5)), (normal, named, 3 * count), (normal, np.zeros(len(normal), np.int64), np.ones(len(normal), np.int64))]
+        parts.append((normal[row], np.where(at > 0, words[row, symbol], 0) | extra << at, at + more))
+    of, value, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(of, kind="stable")
+    return of[order], value[order], size[order]
+
+
+def _small_written(images: list[np.ndarray]) -> Symbols:
+    """Images inside headers: no cache, the codes, and literals."""
+    n, sizes = len(images), np.array([x.size for x in images])
+    of, c = np.repeat(np.arange(n), sizes), _channels(np.concatenate([x.reshape(-1) for x in images]))
+    channels = [c[:, k].astype(np.int64) for k in (1, 2, 0, 3)]
+    counts = np.stack([np.bincount(of * 280 + v, minlength=280 * n).reshape(n, 280) for v in channels] + [np.zeros((n, 280), np.int64)], 1)
+    lengths = code_lengths(counts.reshape(5 * n, 280), 15)
+    row, value, size = _codes_written(lengths, np.tile([280, 256, 256, 256, 40], n))
+    words = code_words(lengths).reshape(n, 5, 280)
+    lengths = np.where((lengths > 0).sum(1)[:, None] > 1, lengths, 0).reshape(n, 5, 280)
+    pixel, bits = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    for k, v in enumerate(channels):
+        more = lengths[of, k, v].astype(np.int64)
+        pixel |= np.where(more > 0, words[of, k, v], 0) << bits
+        bits += more
+    return _in_order((np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64)), (row // 5, value, size), (of, pixel, bits))
+
+
+def _in_order(*parts: Symbols) -> Symbols:
+    """Parts one after another, for each that they are of."""
+    of, value, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(of, kind="stable")
+    return of[order], value[order], size[order]
+
+
+_N_LOG_N = np.concatenate([[0.0], np.arange(1, MOST_ROWS * PIXELS + 1) * np.log2(np.arange(1, MOST_ROWS * PIXELS + 1))])
+DIRECT, PALETTE, GREEN, SPATIAL = range(4)
+TILE = 3
+
+
+def _entropy(image: np.ndarray, n_images: int, channels: list[np.ndarray]) -> np.ndarray:
+    """Bits of each image if its channels were coded by their own frequencies."""
+    out = np.zeros(n_images)
+    totals = _N_LOG_N[np.bincount(image, minlength=n_images)]
+    for c in channels:
+        counts = np.bincount(image * 256 + c, minlength=256 * n_images)
+        out += totals - _N_LOG_N[counts].reshape(n_images, 256).sum(1)
+    return out
+
+
+def _spatial(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals of an image after predictor and cross-colour, and both transforms' tiles, each tile by what leaves the most zeros."""
+    h, w = x.shape
+    c = _channels(x).astype(np.int16)
+    flat = np.concatenate([np.broadcast_to(_BLACK, (w + 1, 4)), c.reshape(-1, 4)])
+    left, top, corner, right = (flat[w + 1 - d : w + 1 - d + h * w].reshape(h, w, 4) for d in (1, w, w + 1, w - 1))
+    tiles = (_div(h, TILE), _div(w, TILE))
+
+    def by_tile(v: np.ndarray) -> np.ndarray:
+        padded_ = np.zeros((tiles[0] << TILE, tiles[1] << TILE), v.dtype)
+        padded_[:h, :w] = v
+        return padded_.reshape(tiles[0], 1 << TILE, tiles[1], 1 << TILE).sum((1, 3))
+
+    def spread(v: np.ndarray) -> np.ndarray:
+        return np.repeat(np.repeat(v, 1 << TILE, 0), 1 << TILE, 1)[:h, :w]
+
+    left = np.where((np.arange(w) == 0)[None, :, None], top, left)
+    every = [(c - _guess(m, left, top, corner, right)) & 255 for m in range(14)]
+    missed = np.stack([by_tile(np.count_nonzero(e[..., :3], axis=-1)) for e in every])
+    missed[0] //= 2  # samples are left as they are but where a mode tells more than half of them
+    modes = missed.argmin(0)
+    picked = np.take_along_axis(np.stack(every), spread(modes)[None, :, :, None], 0)[0]
+    picked[0] = (c[0] - left[0]) & 255
+    picked[1:, 0] = (c[1:, 0] - top[1:, 0]) & 255
+    picked[0, 0] = (c[0, 0] - _BLACK) & 255
+    blue, green, red = (picked[..., k].astype(np.int32) for k in range(3))
+
+    def best(target: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tried = (0, 8, 16, 24, 32, -8, -16, -24, -32)
+        left_over = [(target - (m * _signed(by) >> 5)) & 255 for m in tried]
+        missed = np.stack([by_tile((v != 0).astype(np.int64)) for v in left_over])
+        missed[0] //= 2
+        of = missed.argmin(0)
+        return np.array(tried)[of], np.take_along_axis(np.stack(left_over), spread(of)[None], 0)[0]
+
+    to_red, red_left = best(red, green)
+    to_blue, blue_left = best(blue, green)
+    red_blue, blue_left = best(blue_left, red)
+    res = (picked[..., 3].astype(np.uint32) << 24 | red_left.astype(np.uint32) << 16 | green.astype(np.uint32) << 8 | blue_left.astype(np.uint32)).astype(np.uint32)
+    cross = 0xFF << 24 | (red_blue & 255) << 16 | (to_blue & 255) << 8 | (to_red & 255)
+    return res, (0xFF000000 | modes << 8).astype(np.uint32), cross.astype(np.uint32)
+
+
+def _planned(argb: np.ndarray, image: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[int], Symbols, np.ndarray]:
+    """Of each image its pixels after the transforms it gets and their width; all that is written before their codes; and the bits that literals take by entropy."""
+    n, at = len(sizes), np.arange(len(argb)) - starts[image]
+    c = _channels(argb)
+    blue, green, red = (c[:, k].astype(np.int64) for k in range(3))
+    before = np.maximum(np.arange(len(argb)) - 1, 0)
+    above = np.where(at >= PIXELS, np.arange(len(argb)) - PIXELS, before)
+
+    direct = _entropy(image, n, [blue, green, red])
+    costs = np.stack([direct, np.full(n, np.inf), _entropy(image, n, [(blue - green) & 255, green, (red - green) & 255]), np.full(n, np.inf)])
+    # where most pixels of a tile are like the one before or above, prediction may pay
+    alike = np.flatnonzero((at > 0) & ((argb == argb[before]) | (argb == argb[above])))
+    per_row = PIXELS >> TILE
+    tile = (image[alike] << 16) + (at[alike] // PIXELS >> TILE) * per_row + (at[alike] % PIXELS >> TILE)
+    tile, count = np.unique(tile, return_counts=True)
+    likely = np.unique(tile[2 * count > 1 << 2 * TILE] >> 16)
+    predicted = {i: _spatial(argb[starts[i] : starts[i] + sizes[i]].reshape(-1, PIXELS)) for i in likely.tolist()}
+    for i, (left_over, modes, cross) in predicted.items():
+        c = _channels(left_over).reshape(-1, 4)
+        costs[SPATIAL, i] = _entropy(np.zeros(len(c), np.int64), 1, [c[:, k].astype(np.int64) for k in range(3)])[0] + 8 * (modes.size + cross.size) + 200
+    colour = image << 24 | (argb & np.uint32(0xFFFFFF)).astype(np.int64)
+    kinds, index, counts = np.unique(colour, return_inverse=True, return_counts=True)
+    owner = kinds >> 24
+    n_kinds = np.bincount(owner, minlength=n)
+    few = n_kinds <= 256
+    costs[PALETTE, few] = (_N_LOG_N[sizes] - np.bincount(owner, _N_LOG_N[counts], n) + 18 * n_kinds)[few]
+    plan = costs.argmin(0)
+    first_kind = np.cumsum(n_kinds) - n_kinds
+    pixels, widths, fields, small, bits = [], [], [], [], costs.min(0)
+    for i in range(n):
+        own = argb[starts[i] : starts[i] + sizes[i]]
+        rows = len(own) // PIXELS
+        width = PIXELS
+        fields.append((i, 0x2F | PIXELS - 1 << 8 | rows - 1 << 22, 40))
+        if plan[i] == PALETTE:
+            palette = (kinds[first_kind[i] : first_kind[i] + n_kinds[i]] & 0xFFFFFF).astype(np.uint32) | np.uint32(0xFF000000)
+            x = (index[starts[i] : starts[i] + sizes[i]] - first_kind[i]).astype(np.uint8).reshape(rows, PIXELS)
+            if len(palette) <= 16:
+                per = 8 if len(palette) <= 2 else 4 if len(palette) <= 4 else 2
+                x = np.bitwise_or.reduce(x.reshape(rows, -1, per) << (np.arange(per, dtype=np.uint8) * (8 // per)), axis=2)
+                width = x.shape[1]
+            deltas = _channels(palette).copy()
+            deltas[1:] -= deltas[:-1].copy()
+            fields.append((i, 7 | len(palette) - 1 << 3, 11))
+            small.append((len(fields), deltas.view("<u4").reshape(-1)))
+            fields.append((i, 0, 0))
+            own = np.uint32(0xFF000000) | x.reshape(-1).astype(np.uint32) << np.uint32(8)
+        elif plan[i] == GREEN:
+            fields.append((i, 5, 3))
+            own = _add_green(own, -1)
+        elif plan[i] == SPATIAL:
+            res, modes, cross = predicted[i]
+            for kind, tiles in ((0, modes), (1, cross)):
+                fields.append((i, 1 | kind << 1 | TILE - 2 << 3, 6))
+                small.append((len(fields), tiles))
+                fields.append((i, 0, 0))
+            own = res.reshape(-1)
+        fields.append((i, 0, 1))  # no more transforms
+        pixels.append(own)
+        widths.append(width)
+    of, value, size = (np.array(x, np.int64) for x in zip(*fields))
+    written = (np.arange(len(of)), value, size)
+    if small:
+        at, parts = np.array([k for k, _ in small]), _small_written([x for _, x in small])
+        written = _in_order(written, (at[parts[0]], *parts[1:]))
+    return pixels, widths, (of[written[0]], *written[1:]), bits
+
+
+def _split(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances as prefix symbol, extra and its bits."""
+    v = value - 1
+    n = np.maximum(np.frexp(np.maximum(v, 1).astype(float))[1] - 2, 0)
+    symbol = np.where(v < 4, v, 2 * n + 2 + (v >> n & 1))
+    n = np.where(v < 4, 0, n)
+    return symbol, np.where(v < 4, 0, v & ((1 << n) - 1)), n
+
+
+@lru_cache
+def _codes_of_distances(width: int) -> np.ndarray:
+    """The plane's code of each short distance, 0 where it has none."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for code in range(120, 0, -1):
+        out[_back(code, width)] = code
+    return out
+
+
+def _matches(pixels: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of back-references that don't overlap: runs of places whose next pixels were last seen at one distance."""
+    n = len(pixels) - LEAST_MATCH + 1
+    none = np.empty(0, np.int64)
+    if n <= 0:
+        return none, none, none
+    x = pixels.astype(np.uint64)
+    key = x[:n] * np.uint64(0x9E3779B97F4A7C15) + image[:n].astype(np.uint64)
+    for i in range(1, LEAST_MATCH):
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + x[i : i + n]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    back = np.zeros(n, np.int64)
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    at = np.arange(n)
+    ok = (back > 0) & (at + LEAST_MATCH <= ends[image[:n]]) & (image[np.maximum(at - back, 0)] == image[:n])
+    for i in range(LEAST_MATCH):  # hashes may be equal by chance
+        ok &= x[i : i + n] == x[np.maximum(at - back, 0) + i]
+    back[~ok] = 0
+    new = np.flatnonzero((back > 0) & np.r_[True, (back[1:] != back[:-1]) | (image[1:n] != image[: n - 1])])
+    last = np.flatnonzero((back > 0) & np.r_[(back[1:] != back[:-1]) | (image[1:n] != image[: n - 1]), True])
+    end = last + LEAST_MATCH
+    start = np.maximum(new, np.r_[0, np.maximum.accumulate(end)[:-1]]) if len(new) else new
+    keep = end - start >= LEAST_MATCH
+    return start[keep], (end - start)[keep], back[new][keep]
+
+
+def _cache_hits(pixels: np.ndarray, image: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in its image's cache, and whether its colour is there when it is reached."""
+    place = (pixels * np.uint32(_HASH) >> (32 - bits[image]).astype(np.uint32)).astype(np.int64)
+    order = np.argsort(image << 11 | place, kind="stable")
+    a, b = order[1:], order[:-1]
+    hit = np.zeros(len(pixels), bool)
+    hit[a] = (image[a] == image[b]) & (place[a] == place[b]) & (pixels[a] == pixels[b])
+    return place, hit
+
+
+def _encode_images(chunks: list[bytes]) -> list[bytes]:
+    """One lossless stream for each of chunks, of 1 to MOST_ROWS rows. What is written of one doesn't depend on the others."""
+    sizes = np.array([len(c) // 3 for c in chunks], np.int64)
+    image = np.repeat(np.arange(len(chunks)), sizes)
+    b = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, 3).astype(np.uint32)
+    argb = np.uint32(0xFF000000) | b[:, 0] << np.uint32(16) | b[:, 1] << np.uint32(8) | b[:, 2]
+    own, widths, heads, cost = _planned(argb, image, np.cumsum(sizes) - sizes, sizes)
+    n, sizes = len(own), np.array([len(x) for x in own], np.int64)
+    pixels, image = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+    ends = np.cumsum(sizes)
+    start, length, distance = _matches(pixels, image, ends)
+    free = np.ones(len(pixels), bool)
+    free[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))] = False
+    # a cache where its hits save more than its codes cost
+    cache_bits = np.select([sizes < 512, sizes < 2048], [5, 7], 8)
+    place, hit = _cache_hits(pixels, image, cache_bits)
+    hit &= free
+    hits = np.bincount(image[hit], minlength=n)
+    slots = np.bincount(np.unique(image[hit] << 11 | place[hit]) >> 11, minlength=n)
+    pays = hits * (cost / sizes - 8) > 4 * slots + 20
+    cache_bits = np.where(pays, cache_bits, 0)
+    hit &= pays[image]
+    # symbols, in the order of their pixels
+    literal = free & ~hit
+    head = free.copy()
+    head[start] = True
+    at = np.flatnonzero(head)
+    of = image[at]
+    green = np.where(hit[at], 280 + place[at], (pixels[at] >> np.uint32(8) & np.uint32(255)).astype(np.int64))
+    nth = np.searchsorted(at, start)
+    len_symbol, len_extra, len_bits = _split(length)
+    green[nth] = 256 + len_symbol
+    wide = np.array(widths)[of[nth]]
+    code = distance + 120
+    for w in set(widths):
+        table = _codes_of_distances(w)
+        near = (wide == w) & (distance < len(table))
+        short = table[distance[near]]
+        code[near] = np.where(short > 0, short, distance[near] + 120)
+    far_symbol, far_extra, far_bits = _split(code)
+    alphabet = 280 + (1 << int(cache_bits.max()) if cache_bits.any() else 0)
+    plain = np.flatnonzero(literal[at])
+    others = [(pixels[at[plain]] >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+    counts = [np.bincount(of * alphabet + green, minlength=n * alphabet).reshape(n, -1)]
+    counts += [np.bincount(of[plain] * 256 + v, minlength=n * 256).reshape(n, -1) for v in others]
+    counts.append(np.bincount(of[nth] * 40 + far_symbol, minlength=n * 40).reshape(n, -1))
+    lengths = [code_lengths(c, MOST_BITS) for c in counts]
+    words = [code_words(x) for x in lengths]
+    cache_field = (np.arange(n), np.where(cache_bits > 0, 1 | cache_bits << 1, 0), np.where(cache_bits > 0, 6, 2))  # and one group of codes
+    every = np.zeros((n, 5, max(alphabet, 280)), np.uint8)
+    for k, x in enumerate(lengths):
+        every[:, k, : x.shape[1]] = x
+    sizes = np.tile([280, 256, 256, 256, 40], (n, 1))
+    sizes[:, 0] += np.where(cache_bits > 0, 1 << cache_bits, 0)
+    row, code_value, code_size = _codes_written(every.reshape(5 * n, -1), sizes.reshape(-1))
+    for x in lengths:  # a lone symbol takes no bits
+        x[(x > 0).sum(1) == 1] = 0
+    value, bits = words[0][of, green], lengths[0][of, green].astype(np.int64)
+    value *= bits > 0
+    for v, w, x in zip(others, words[1:4], lengths[1:4]):
+        more = x[of[plain], v].astype(np.int64)
+        value[plain] |= np.where(more > 0, w[of[plain], v], 0) << bits[plain]
+        bits[plain] += more
+    for v, more in ((len_extra, len_bits), (words[4][of[nth], far_symbol], lengths[4][of[nth], far_symbol].astype(np.int64)), (far_extra, far_bits)):
+        value[nth] |= np.where(more > 0, v, 0) << bits[nth]
+        bits[nth] += more
+    return _packed(n, *_in_order(heads, cache_field, (row // 5, code_value, code_size), (of, value, bits)))
+
+
+def _packed(n: int, of: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The symbols of each of n streams (of tells whose) as bytes; 57 bits a symbol at most."""
+    first = np.searchsorted(of, np.arange(n))
+    total = np.add.reduceat(size, first)
+    n_words = (total + 63) >> 6
+    start = np.cumsum(n_words) - n_words
+    offset = np.cumsum(size) - size
+    offset += ((start << 6) - offset[first])[of]
+    value, word, shift = value.astype(np.uint64), offset >> 6, (offset & 63).astype(np.uint64)
+    out = np.zeros(int(n_words.sum()) + 1, np.uint64)
+    new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    out[word[new]] = np.bitwise_or.reduceat(value << shift, new)
+    over = np.flatnonzero((offset & 63) + size > 64)
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    data = out.astype("<u8").tobytes()
+    return [data[8 * s : 8 * s + ((n + 7) >> 3)] for s, n in zip(start.tolist(), total.tolist())]
+
+
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """WebP of payloads whose lengths are positive multiples of WIDTH: of each one file for every MOST_ROWS rows."""
+    step = MOST_ROWS * WIDTH
+    for p in payloads:
+        if not p or len(p) % WIDTH:
+            raise ValueError(f"not a positive multiple of {WIDTH} bytes")
+    chunks = [[p[i : i + step] for i in range(0, len(p), step)] for p in payloads]
+    streams = iter(_encode_images([c for own in chunks for c in own]) if payloads else ())
+    return [b"".join(_file(next(streams)) for _ in own) for own in chunks]
+
+
+def _file(data: bytes) -> bytes:
     pad = len(data) & 1
     return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(data) + pad, b"WEBP", b"VP8L", len(data)) + data + b"\0" * pad
 
 
 def encode(payload: bytes) -> bytes:
-    """WebP of a payload whose length is a positive multiple of WIDTH."""
-    if not payload or len(payload) % WIDTH:
-        raise ValueError(f"not a positive multiple of {WIDTH} bytes")
-    samples = np.frombuffer(payload, np.uint8)
-    step = MOST_ROWS * WIDTH
-    return b"".join(_encode_rows(samples[i : i + step]) for i in range(0, len(samples), step))
+    return encode_all([payload])[0]
 
 
 def samples(images: list[np.ndarray]) -> np.ndarray:
-    """The payload's bytes: the green channel, row by row."""
-    return np.concatenate([(x >> np.uint32(8)).astype(np.uint8).reshape(-1) for x in images])
+    """The payload's bytes: red, green and blue of each pixel, row by row."""
+    return np.concatenate([_channels(x)[..., 2::-1].reshape(-1) for x in images])
+
+
+def traits(media: bytes) -> Counter:
+    """What the images of a file were written with: transforms, caches, codes of more than one symbol, kinds of pixels."""
+    images = [read_head(c) for c in _chunks(media)]
+    totals = np.array([m.width * m.height for m in images], np.int64)
+    kind, _ = _read_symbols(images, np.cumsum(totals) - totals)
+    out = Counter(("predictor", "cross-colour", "subtract green", "palette")[u[0]] for m in images for u in m.undo)
+    out.update({"cache": sum(m.cache_bits > 0 for m in images), "prefix codes": sum(sum(map(bool, c)) > 1 for m in images for g in m.groups for c in g)})
+    out.update({name: int((kind == k).sum()) for k, name in ((LITERAL, "literals"), (COPY, "copied"), (CACHED, "cached"))})
+    return +out
 
 
 def padded(text: bytes) -> bytes:
@@ -459,7 +1054,7 @@ def store(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             own = texts(batch.column("text"))
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in own], pa.int64()), pa.array([encode(padded(t)) for t in own], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in own], pa.int64()), pa.array(encode_all([padded(t) for t in own]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     plain = docs.select("doc_id", "text")
     return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
@@ -472,10 +1067,10 @@ def features(media: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for m in batch.column("media").to_pylist():
-                pixels = samples(decode(m))
+        for batch in sliced(batches, "media", 4 << 20):
+            rows, media = [], batch.column("media").to_pylist()
+            for m, images in zip(media, decode_all(media)):
+                pixels = samples(images)
                 payload = pixels.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(pixels)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
