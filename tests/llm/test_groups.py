@@ -324,6 +324,51 @@ def test_passages_whose_pieces_others_have_first(make):
     assert want <= set(found) and found[13] == 51 and all(found[d] >= 52 for d in want)
 
 
+def covered_words(found, doc):
+    return {w for r in found if r.doc_id == doc for w in range(r.start_word, r.start_word + r.n_words)}
+
+
+def test_equal_runs_are_found_whatever_came_before(make):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(400)]
+    rows, want = [], {}
+    for trial in range(60):
+        n, first = rng.randint(50, 75), 10_000 * (trial + 1)
+        p = [rng.choice(vocabulary) + f"t{trial}" for _ in range(n)]
+        ids = iter(range(first, first + 100))
+        for _ in range(rng.randint(0, 12)):  # pieces of it in documents before, some of them altered
+            a = rng.randrange(n - 8)
+            piece = p[a : a + rng.choice([8, 8, 15, 22, 40])]
+            rows.append((next(ids), f"{words(rng.randint(0, 9), first * 1000 + 50 * next(ids))} {' '.join(piece)} {words(30, first * 1000 + 50 * next(ids) + 10)}"))
+        for k in range(rng.randint(2, 3)):
+            before = rng.randint(0, 30)
+            d = next(ids)
+            rows.append((d, " ".join([*words(before, first * 2000 + 100 * d).split(), *p, *words(rng.randint(0, 30), first * 3000 + 100 * d).split()])))
+            if k:
+                want[d] = set(range(before, before + n))
+    found = substring.passages(make(rows)).collect()
+    assert all(w <= covered_words(found, d) for d, w in want.items())
+
+
+def test_run_ends_and_common_words_by_brute_force():
+    rng, rules = np.random.default_rng(4), substring.Rules()
+    for _ in range(40):
+        p, n = rng.integers(0, 2**60, 70).astype(np.uint64), rng.integers(0, 2**60, (4, 9)).astype(np.uint64)
+        x, y = int(rng.integers(0, 3)), int(rng.integers(0, 3))
+        a = np.concatenate([n[0][:x], p[: int(rng.integers(50, 70))], n[1]])
+        b = np.concatenate([n[2][:y], p, n[3]])
+        size = len(a) - x - 9
+        want = {(substring.RIGHT, x + size, min(len(a), x + size + 30), y + size)} | ({(substring.LEFT, x, 0, y)} if x else set())
+        assert set(substring.run_ends(a, b, rules)) == want
+    assert substring.run_ends(p, p[:10], rules) == [] and substring.run_ends(p, p, rules) == []
+    big = np.random.default_rng(5).integers(0, 50, (2, 600))
+    table = np.zeros((601, 601), int)
+    for i in range(600):
+        for j in range(600):
+            table[i + 1, j + 1] = table[i, j] + 1 if big[0, i] == big[1, j] else max(table[i, j + 1], table[i + 1, j])
+    assert substring.common_words(big[0], big[1]) == table[-1, -1]
+
+
 # chats
 
 

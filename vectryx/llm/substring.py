@@ -2,16 +2,20 @@
 
 Candidates: of every document the minimizers of its five-word hashes (the least of each `window` in a row, so that any
 run of window + 4 equal words shares one). A minimizer's documents are all held against the first of them alone, so
-there is one candidate for each document and minimizer at most, however many documents share it; a pair needs two.
-
-The first may hold the five words and not the passage. So for equal runs there are seeds of `least_fragment` words beside,
-one of `long_window` in a row: around those that documents share, each place's least_fragment words are held against their
-first holder. Those words are then equal in both, so that an equal run is covered whole, whoever else has pieces of it.
+there is one candidate for each document and minimizer at most, however many documents share it; a pair needs two, or
+one twice. Beside them there are seeds of `least_fragment` words, thinned so that each least_words equal words have one;
+of these one is enough.
 
 Alignment: a pair's equal k-mers are joined to runs, the runs chained in order with a cost for gaps through a Fenwick
 tree of prefix maxima, and the gaps of a chain aligned word by word. What stays at the threshold's identity is a
 fragment; a document's fragments, from whichever documents, are merged, and `least_words` of them make a passage.
 
+The first holder of a seed may have a part of a passage only, while a later one has all of it. So the equal run around
+each long seed is followed in both documents to where they part. Documents that part from the same first holder at the
+same place may agree beyond it: where one of them isn't covered there by its fragments, the words next to that place,
+least_fragment in a row, of all of them are looked up among each other. Long seeds leave no more than that between
+them, so an equal run of least_words is covered whole, whoever else has pieces of it.
+
 Scale: hashes are counted before the shuffle, joins on a frequent one are split by AQE, and the alignment streams rows.
 """
 
@@ -35,13 +39,17 @@ class Rules:
 
     k: int = 5
     window: int = 12
-    long_window: int = 16
     identity: float = 0.8
     least_fragment: int = 20
     least_words: int = 50
     gap_cost: float = 0.25
     join_gap: int = 5
 
+    @property
+    def long_window(self) -> int:
+        """So many seeds of least_fragment words are in least_words."""
+        return max(1, self.least_words - self.least_fragment + 1)
+
 
 def minimizers(h: np.ndarray, window: int) -> np.ndarray:
     """The distinct least values of all windows; of fewer hashes, the least of all."""
@@ -155,15 +163,18 @@ def chains(found: np.ndarray, rules: Rules) -> list[list[tuple[int, int, int]]]:
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common subsequence of two gaps, a row of the table at a time."""
+    """Longest common subsequence of two gaps: a row of the table is the bits of a number, 0 where it rises."""
     if not len(a) or not len(b):
         return 0
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        step = row.copy()
-        step[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(step)
-    return int(row[-1])
+    places: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a.tolist():
+        if met := row & places.get(x, 0):
+            row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
 
 
 def align(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int, int]]:
@@ -246,96 +257,172 @@ def fragments(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int
     return out
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words at the start are equal."""
+    n, at, step = min(len(a), len(b)), 0, 32
+    while at < n:
+        to = min(n, at + step)
+        if len(differ := np.flatnonzero(a[at:to] != b[at:to])):
+            return at + int(differ[0])
+        at, step = to, step * 2
+    return n
+
+
+RIGHT, LEFT = 1, 2
+
+
+def run_ends(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int]]:
+    """(side, place in a, how far a passage may go on from there, place in b): the ends of the equal runs around a's long seeds.
+
+    Of a seed that b has more than once, the first counts. An end that is a's own isn't one.
+    """
+    la, lb = (long_hashes(shingle_hashes(x, rules.k), rules) for x in (a, b))
+    if not len(la) or not len(lb):
+        return []
+    least = minimizers(la, rules.long_window)
+    at = np.flatnonzero(np.isin(la, least[np.isin(least, lb)]))
+    order = np.argsort(lb, kind="stable")
+    there = order[np.searchsorted(lb, la[at], sorter=order)]
+    out, reach = [], {}
+    for x, y in zip(at.tolist(), there.tolist()):
+        if x < reach.get(x - y, 0):
+            continue
+        left, right = _agreeing(a[:x][::-1], b[:y][::-1]), _agreeing(a[x:], b[y:])
+        start, end = x - left, x + right
+        reach[x - y] = end
+        if end < len(a):
+            out.append((RIGHT, end, min(len(a), end + rules.long_window - 1), y + right))
+        if start:
+            out.append((LEFT, start, max(0, start - rules.long_window + 1), y - left))
+    return out
+
+
 def shared_seeds(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(h, d, r, n, long): minimizers of a document d that r has first, r < d, and how often both have them."""
+    """(h, d, r, n): minimizers of a document d that r has first, r < d, and how often both have them; n = 0: a long seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
         for batch in sliced(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], []]
             for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
                 every = shingle_hashes(word_hashes(t.split()), rules.k)
                 h, wide = minimizers(every, rules.window), minimizers(long_hashes(every, rules), rules.long_window)
-                n = len(h) + len(wide)
-                for c, x in zip(columns, (np.full(n, d, np.int64), np.concatenate([h, wide]).view(np.int64), np.r_[occurrences(h, every), np.ones(len(wide), int)].astype(np.int32), np.arange(n) >= len(h))):
+                for c, x in zip(columns, (np.full(len(h) + len(wide), d, np.int64), np.concatenate([h, wide]).view(np.int64), np.r_[occurrences(h, every), np.zeros(len(wide), int)].astype(np.int32))):
                     c.append(x)
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["d", "h", "n", "long"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["d", "h", "n"])
 
-    seeds = docs.mapInArrow(run, "d long, h long, n int, long boolean")
+    seeds = docs.mapInArrow(run, "d long, h long, n int")
     first = seeds.groupBy("h").agg(F.min(F.struct("d", (-F.col("n")).alias("less"))).alias("f"), F.max("d").alias("top")).where(F.col("f.d") < F.col("top"))
     met = seeds.join(first.select("h", F.col("f.d").alias("r"), (-F.col("f.less")).alias("nr")), "h").where(F.col("d") != F.col("r"))
-    return met.select("h", "d", "r", F.least("n", "nr").alias("n"), "long")
+    return met.select("h", "d", "r", F.least("n", "nr").alias("n"))
 
 
 def candidates(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(d, r) once: documents with two minimizers whose first document is r, r < d, or with least_fragment words that r has first.
+    """(d, r, long) once: documents with two minimizers whose first document is r, r < d, or with one long seed that r has first.
 
     A minimizer counts as often as both have it: a passage of one short line again and again has no second one, but more
-    than one of the first. The words are looked at around long seeds, which have all equal runs of least_fragment +
-    long_window - 1 words or more.
+    than one of the first.
+    """
+    met = shared_seeds(docs, rules).groupBy("d", "r").agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("long"))
+    return met.where((F.col("n") > 1) | F.col("long")).select("d", "r", "long")
+
+
+ALIGNED = ("d", "r", "text_hash", "kind", "start", "words", "at")
+
+
+def aligned(pairs: DataFrame, own: DataFrame, rules: Rules) -> DataFrame:
+    """Fragments (kind 0: start, words) of d in r, and ends of equal runs (kind RIGHT or LEFT: start, how far in words, place in r in at)."""
+    left = pairs.hint("shuffle_hash").join(own.select(F.col("doc_id").alias("d"), F.col("text").alias("td")), "d")
+    joined = left.join(own.select(F.col("doc_id").alias("r"), F.col("text").alias("tr")), "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
+        last: tuple[int | None, bytes, np.ndarray | None] = (None, b"", None)
+        for batch in sliced(sliced(batches, "td"), "tr"):
+            rows = []
+            for d, r, long, h, td, tr in zip(*(batch.column(c).to_pylist() for c in ("d", "r", "long", "text_hash")), texts(batch.column("td")), texts(batch.column("tr"))):
+                if last[0] != r or last[1] != tr:  # rows of one r come together
+                    last = (r, tr, word_hashes(tr.split()))
+                own_words = word_hashes(td.split())
+                rows += [(d, r, h, 0, f[0], f[1], None) for f in fragments(own_words, last[2], rules)]
+                if long and td != tr:
+                    rows += [(d, r, h, *e) for e in run_ends(own_words, last[2], rules)]
+            columns = list(zip(*rows)) or [[]] * len(ALIGNED)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=ALIGNED)
+
+    return joined.select("d", "r", "long", F.xxhash64("td").alias("text_hash"), "td", "tr").mapInArrow(run, ", ".join(f"{c} long" for c in ALIGNED))
+
+
+def open_ends(found: DataFrame) -> DataFrame:
+    """(d, text_hash, kind, start) of aligned() ends at places where documents part from another together, one of them uncovered there.
+
+    A window holds what was found of one document, no more than its words.
     """
-    met = checkpointed(shared_seeds(docs, rules))
-    pairs = met.where(~F.col("long")).groupBy("d", "r").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("d", "r")
-    wide = met.where("long")
-    held = wide.select("d", "h").union(wide.select(F.col("r").alias("d"), "h")).groupBy("d").agg(F.collect_set("h").alias("seeds"))
-    around = docs.join(held, F.col("doc_id") == F.col("d")).select("d", "seeds", "text")
+    own = Window.partitionBy("d", "text_hash")
+    by = own.orderBy("start", "kind", "to", "r")
+    spans = found.withColumn("to", F.when(F.col("kind") == 0, F.col("start") + F.col("words")).otherwise(F.col("start")))
+    reach = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("reach", reach).withColumn("island", F.sum((F.coalesce(F.col("start") > F.col("reach"), F.lit(True))).cast("int")).over(by))
+    whole = Window.partitionBy("d", "text_hash", "island")
+    ends = islands.withColumns({"last": F.max("to").over(whole), "first": F.min("start").over(whole)}).where(F.col("kind") > 0)
+    bare = F.when(F.col("kind") == RIGHT, F.col("last") < F.col("words")).otherwise(F.col("first") > F.col("words"))
+    ends = checkpointed(ends.select("d", "text_hash", "kind", "start", "r", "at", bare.alias("bare")))
+    places = ends.groupBy("r", "at", "kind").agg(F.min("d").alias("lo"), F.max(F.when(F.col("bare"), F.col("d"))).alias("hi")).where(F.col("lo") < F.col("hi"))
+    return ends.join(places.select("r", "at", "kind"), ["r", "at", "kind"]).select("d", "text_hash", "kind", "start")
+
+
+def beside(ends: DataFrame, own: DataFrame, rules: Rules) -> DataFrame:
+    """Fragments, as aligned() has them, of least_fragment words that go over the open ends and that a document before has over one of its own."""
+    reach = rules.long_window - 1
+    low = F.when(F.col("kind") == RIGHT, F.col("start") - rules.least_fragment + 1).otherwise(F.col("start") - reach)
+    wanted = ends.groupBy("d", "text_hash").agg(F.collect_set(low).alias("low"))
+    keyed_texts = own.select(F.col("doc_id").alias("x"), F.xxhash64("text").alias("xh"), "text")
+    joined = keyed_texts.join(if_small(checkpointed(wanted), 100_000), (F.col("x") == F.col("d")) & (F.col("xh") == F.col("text_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
         for batch in sliced(batches):
-            ids, all_h = [], []
-            for d, seeds, t in zip(batch.column("d").to_pylist(), batch.column("seeds"), texts(batch.column("text"))):
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for d, th, low, t in zip(batch.column("d").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("low"), texts(batch.column("text"))):
                 every = long_hashes(shingle_hashes(word_hashes(t.split()), rules.k), rules)
-                edge = np.zeros(len(every) + 1, np.int64)
-                at = np.flatnonzero(np.isin(every, np.asarray(seeds.values, np.int64).view(np.uint64)))
-                np.add.at(edge, np.maximum(at - rules.long_window, 0), 1)
-                np.add.at(edge, np.minimum(at + rules.long_window + 1, len(every)), -1)
-                h = np.unique(every[np.cumsum(edge)[:-1] > 0])
-                ids.append(np.full(len(h), d, np.int64))
-                all_h.append(h.view(np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(all_h))], names=["d", "h"])
+                at = np.unique((np.asarray(low.values)[:, None] + np.arange(reach)[None, :]).reshape(-1))
+                at = at[(at >= 0) & (at < len(every))]
+                for c, x in zip(columns, (every[at].view(np.int64), np.full(len(at), d, np.int64), np.full(len(at), th, np.int64), at.astype(np.int64))):
+                    c.append(x)
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["h", "d", "text_hash", "start"])
 
-    holders = around.mapInArrow(run, "d long, h long").withColumn("r", F.min("d").over(Window.partitionBy("h")))
-    return pairs.union(holders.where(F.col("d") != F.col("r")).select("d", "r")).distinct()
+    grams = checkpointed(joined.select("d", "text_hash", "low", "text").mapInArrow(run, "h long, d long, text_hash long, start long"))
+    first = grams.groupBy("h").agg(F.min("d").alias("r"), F.max("d").alias("top")).where(F.col("r") < F.col("top")).select("h", "r")
+    met = grams.join(first, "h").where(F.col("d") != F.col("r"))
+    # neighbours of one r make one fragment
+    by = Window.partitionBy("d", "text_hash", "r").orderBy("start")
+    row = met.select("d", "text_hash", "r", "start").distinct().withColumn("run", F.col("start") - F.row_number().over(by))
+    spans = row.groupBy("d", "text_hash", "r", "run").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + rules.least_fragment).alias("words"))
+    return spans.select("d", "r", "text_hash", F.lit(0).cast("long").alias("kind"), "start", "words", F.lit(None).cast("long").alias("at"))
 
 
 def passages(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, text_hash, start_word, n_words, source_ids: passages of documents that occur in documents of a lower id.
 
-    source_ids: the documents they were found in, sorted. Null or short text: no passage. Rows without id are not looked
+    source_ids: documents that they were found in, sorted, without those that have nothing beyond what others have. Null or short text: no passage. Rows without id are not looked
     at. Rows of one id are not compared with one another; where an id has several texts, text_hash (xxhash64) tells whose
     passage it is, and equal rows count once. Other columns are not looked at; no rows, no rows.
     """
     plain = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     again = if_small(checkpointed(plain.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("x"))))
     own = plain.join(again, F.col("doc_id") == F.col("x"), "left_anti").union(plain.join(again, F.col("doc_id") == F.col("x"), "left_semi").distinct())
-    pairs = checkpointed(candidates(plain, rules))
-    left = pairs.hint("shuffle_hash").join(own.select(F.col("doc_id").alias("d"), F.col("text").alias("td")), "d")
-    joined = left.join(own.select(F.col("doc_id").alias("r"), F.col("text").alias("tr")), "r")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_memory("words")
-        last: tuple[int | None, bytes, np.ndarray | None] = (None, b"", None)
-        for batch in sliced(sliced(batches, "td"), "tr"):
-            rows = []
-            for d, r, h, td, tr in zip(batch.column("d").to_pylist(), batch.column("r").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch.column("td")), texts(batch.column("tr"))):
-                if last[0] != r or last[1] != tr:  # rows of one r come together
-                    last = (r, tr, word_hashes(tr.split()))
-                rows += [(d, r, h, *f) for f in fragments(word_hashes(td.split()), last[2], rules)]
-            columns = list(zip(*rows)) or [[]] * 8
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["d", "r", "text_hash", "start", "words", "source_start", "source_words", "equal"])
-
-    found = joined.select("d", "r", F.xxhash64("td").alias("text_hash"), "td", "tr").mapInArrow(run, "d long, r long, text_hash long, start long, words long, source_start long, source_words long, equal long")
-    return merged(found, rules)
+    found = checkpointed(aligned(checkpointed(candidates(plain, rules)), own, rules))
+    more = beside(open_ends(found), own, rules)
+    return merged(found.where(F.col("kind") == 0).unionByName(more), rules)
 
 
 def merged(found: DataFrame, rules: Rules) -> DataFrame:
     """Fragments of a document to passages. A window holds one document's fragments, no more than its words."""
-    by = Window.partitionBy("d", "text_hash").orderBy("start", "words", "r")
+    by = Window.partitionBy("d", "text_hash").orderBy("start", F.desc("words"), "r")
     reach = F.max(F.col("start") + F.col("words")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     parted = found.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("start") > F.col("reach") + rules.join_gap)).cast("int"))
     grouped = parted.withColumn("nth", F.sum("new").over(by)).withColumn("adds", F.greatest(F.col("start") + F.col("words") - F.greatest(F.col("start"), F.coalesce("reach", F.lit(0))), F.lit(0)))
-    out = grouped.groupBy("d", "text_hash", "nth").agg(F.min("start").alias("start_word"), F.max(F.col("start") + F.col("words")).alias("end"), F.sum("adds").alias("covered"), F.array_sort(F.collect_set("r")).alias("source_ids"))
+    out = grouped.groupBy("d", "text_hash", "nth").agg(F.min("start").alias("start_word"), F.max(F.col("start") + F.col("words")).alias("end"), F.sum("adds").alias("covered"), F.array_sort(F.collect_set(F.when(F.col("adds") > 0, F.col("r")))).alias("source_ids"))
     out = out.where((F.col("covered") >= rules.least_words) & (F.col("covered") >= rules.identity * (F.col("end") - F.col("start_word"))))
     return out.select(F.col("d").alias("doc_id"), "text_hash", "start_word", (F.col("end") - F.col("start_word")).alias("n_words"), "source_ids")
 
