@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a table in the folder that executors share, where it stays until the block is left."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, 'table-')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def keyed(docs: DataFrame, **keys: Column) -> DataFrame:
     """docs as one struct column _row beside the keys, so that no name in docs can clash; select("_row.*") gives docs back."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(k.alias(n) for n, k in keys.items()))

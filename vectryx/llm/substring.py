@@ -24,13 +24,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, claim_memory, if_small, keyed, mixed, shingle_hashes, sliced, texts, word_hashes
+from .common import WORD, checkpointed, claim_memory, if_small, keyed, mixed, shingle_hashes, sliced, stored, texts, word_hashes
 
 
 @dataclass(frozen=True)
@@ -61,37 +62,33 @@ def minimizers(h: np.ndarray, window: int) -> np.ndarray:
         span *= 2
     if span < window:
         least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-    return np.unique(least)
+    return np.unique(least[np.r_[True, least[1:] != least[:-1]]])
 
 
-def occurrences(least: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How often each of the sorted distinct hashes is in h."""
-    at = np.searchsorted(least, h)
-    there = np.flatnonzero(at < len(least))
-    return np.bincount(at[there][least[at[there]] == h[there]], minlength=len(least))
+def again(least: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Those of the sorted distinct hashes that are in h twice or more."""
+    at = np.minimum(np.searchsorted(least, h), len(least) - 1)
+    return least[np.bincount(at[least[at] == h], minlength=len(least)) > 1]
 
 
-def _nth(order: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How many equal hashes come before each, in the sorted order."""
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
+def _nth(h: np.ndarray) -> np.ndarray:
+    """How many equal hashes come before each of the sorted ones."""
     at = np.arange(len(h))
-    return at - np.maximum.accumulate(np.where(new, at, 0))
+    return at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
 
 
-def runs(a: np.ndarray, b: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+def runs(a: np.ndarray, b: np.ndarray, at: np.ndarray | None = None, order_b: np.ndarray | None = None) -> np.ndarray:
     """Rows (start in a, start in b, seeds): maximal runs of equal hashes on one diagonal. at: the places of a's hashes, if not all.
 
     The n-th occurrence of a hash in a is matched with the n-th in b, so repetitive texts give no more matches than words.
-    With at, those that a has more of go through b's again.
+    With at, those that a has more of go through b's again. order_b sorts b, if it is known.
     """
-    oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    ka = np.empty(len(a), [("h", np.uint64), ("n", np.int64)])
-    kb = np.empty(len(b), ka.dtype)
-    ka["h"], ka["n"], kb["h"], kb["n"] = a[oa], _nth(oa, a), b[ob], _nth(ob, b)
-    # both are sorted by (h, n): join by searching h, then shifting by n
-    lo, hi = np.searchsorted(kb["h"], ka["h"], "left"), np.searchsorted(kb["h"], ka["h"], "right")
-    there = ka["n"] < hi - lo if at is None else hi > lo
-    nth = ka["n"][there] if at is None else ka["n"][there] % (hi - lo)[there]
+    oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable") if order_b is None else order_b
+    sa, sb = a[oa], b[ob]
+    lo, hi = np.searchsorted(sb, sa, "left"), np.searchsorted(sb, sa, "right")
+    nth = _nth(sa)
+    there = nth < hi - lo if at is None else hi > lo
+    nth = nth[there] if at is None else nth[there] % (hi - lo)[there]
     pa_, pb = oa[there], ob[lo[there] + nth]
     if at is not None:
         pa_ = at[pa_]
@@ -204,40 +201,69 @@ def align(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray, rules
 def long_hashes(h: np.ndarray, rules: Rules) -> np.ndarray:
     """Of all least_fragment words in a row, from the hashes of k words."""
     last = rules.least_fragment - rules.k
-    count, total = max(0, len(h) - last), np.uint64(0)
+    count, total = max(0, len(h) - last), np.uint64(1)
     for i in [*range(0, last, rules.k), last]:
-        total = mixed(total + h[i : i + count])
-    return total
+        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + count]
+    return mixed(total) if count else h[:0]
 
 
-def equal_spans(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int, int]]:
-    """What of a is in equal runs of least_fragment words or more, wherever and however often they are in a and b; seeds given."""
-    a, b = long_hashes(a, rules), long_hashes(b, rules)
-    if not len(a) or not len(b):
-        return []
-    order = np.argsort(b, kind="stable")
-    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-    found = np.flatnonzero(b[order][at] == a)
+class Words:
+    """The word hashes of a text with its seeds, each worked out when it is asked for."""
+
+    def __init__(self, words: np.ndarray, rules: Rules):
+        self.words, self.rules = words, rules
+
+    @cached_property
+    def seeds(self) -> np.ndarray:
+        return shingle_hashes(self.words, self.rules.k)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.seeds, kind="stable")
+
+    @cached_property
+    def long(self) -> np.ndarray:
+        return long_hashes(self.seeds, self.rules)
+
+    @cached_property
+    def long_order(self) -> np.ndarray:
+        return np.argsort(self.long, kind="stable")
+
+    def first(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the long hashes h are here, and the first places of those."""
+        own = self.long[self.long_order]
+        if not len(own):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        there = np.flatnonzero(own[at] == h)
+        return there, self.long_order[at[there]]
+
+
+def equal_spans(a: Words, b: Words) -> list[tuple[int, int, int, int, int]]:
+    """What of a is in equal runs of least_fragment words or more, wherever and however often they are in a and b."""
+    found, there = b.first(a.long)
     if not len(found):
         return []
-    new = np.flatnonzero(np.r_[True, np.diff(found) > rules.least_fragment])
-    ends = np.r_[found[new[1:] - 1], found[-1]] + rules.least_fragment
-    return [(int(x), int(y - x), int(order[at[x]]), int(y - x), int(y - x)) for x, y in zip(found[new], ends)]
+    least = a.rules.least_fragment
+    new = np.flatnonzero(np.r_[True, np.diff(found) > least])
+    ends = np.r_[found[new[1:] - 1], found[-1]] + least
+    return [(int(x), int(y - x), int(z), int(y - x), int(y - x)) for x, y, z in zip(found[new], ends, there[new])]
 
 
-def fragments(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int, int]]:
+def fragments(a: np.ndarray | Words, b: np.ndarray | Words, rules: Rules) -> list[tuple[int, int, int, int, int]]:
     """All fragments of the word hashes a that are in b.
 
     Where a holds something more often than b, what was left over meets b again, until no seed is left or nothing new comes.
     Equal runs are found whatever the seeds in them were matched with.
     """
+    own, other = (x if isinstance(x, Words) else Words(x, rules) for x in (a, b))
+    a, b, sa, sb = own.words, other.words, own.seeds, other.seeds
     if len(a) == len(b) and np.array_equal(a, b):
         return [(0, len(a), 0, len(b), len(a))] if len(a) >= rules.least_fragment else []
-    sa, sb = shingle_hashes(a, rules.k), shingle_hashes(b, rules.k)
-    found = runs(sa, sb)
+    found = runs(sa, sb, order_b=other.order)
     if not len(found):
         return []
-    out, covered, left = [], np.zeros(len(a), bool), np.isin(sa, sb)
+    out, covered, left = [], np.zeros(len(a), bool), None
     while len(found):
         new = [f for c in chains(found, rules) for f in align(c, a, b, rules)]
         new = [f for f in new if not covered[f[0] : f[0] + f[1]].all()]
@@ -246,12 +272,15 @@ def fragments(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int
         if out and not new:
             break
         out += new
+        if left is None:
+            ordered = sb[other.order]
+            left = ordered[np.minimum(np.searchsorted(ordered, sa), len(sb) - 1)] == sa
         for x, _, n in found.tolist():
             left[x : x + n] = False
         at = np.flatnonzero(left)
         at = at[~covered[at] | ~covered[at + rules.k - 1]]
-        found = runs(sa[at], sb, at) if len(at) else []
-    for f in equal_spans(sa, sb, rules):
+        found = runs(sa[at], sb, at, other.order) if len(at) else []
+    for f in equal_spans(own, other):
         if not covered[f[0] : f[0] + f[1]].all():
             out.append(f)
     return out
@@ -271,20 +300,22 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
 RIGHT, LEFT = 1, 2
 
 
-def run_ends(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int, int, int]]:
+def run_ends(a: np.ndarray | Words, b: np.ndarray | Words, rules: Rules) -> list[tuple[int, int, int, int]]:
     """(side, place in a, how far a passage may go on from there, place in b): the ends of the equal runs around a's long seeds.
 
     Of a seed that b has more than once, the first counts. An end that is a's own isn't one.
     """
-    la, lb = (long_hashes(shingle_hashes(x, rules.k), rules) for x in (a, b))
-    if not len(la) or not len(lb):
+    own, other = (x if isinstance(x, Words) else Words(x, rules) for x in (a, b))
+    a, b = own.words, other.words
+    if not len(own.long):
+        return []
+    least = minimizers(own.long, rules.long_window)
+    shared = least[other.first(least)[0]]
+    if not len(shared):
         return []
-    least = minimizers(la, rules.long_window)
-    at = np.flatnonzero(np.isin(la, least[np.isin(least, lb)]))
-    order = np.argsort(lb, kind="stable")
-    there = order[np.searchsorted(lb, la[at], sorter=order)]
+    at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, own.long), len(shared) - 1)] == own.long)
     out, reach = [], {}
-    for x, y in zip(at.tolist(), there.tolist()):
+    for x, y in zip(at.tolist(), other.first(own.long[at])[1].tolist()):
         if x < reach.get(x - y, 0):
             continue
         left, right = _agreeing(a[:x][::-1], b[:y][::-1]), _agreeing(a[x:], b[y:])
@@ -297,34 +328,34 @@ def run_ends(a: np.ndarray, b: np.ndarray, rules: Rules) -> list[tuple[int, int,
     return out
 
 
-def shared_seeds(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(h, d, r, n): minimizers of a document d that r has first, r < d, and how often both have them; n = 0: a long seed."""
+def seeds(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(h, d): the minimizers of each document; odd ones are long seeds. One that a document has twice comes as another hash beside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
         for batch in sliced(batches):
-            columns: list[list[np.ndarray]] = [[], [], []]
+            ids, hashes = [], []
             for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                every = shingle_hashes(word_hashes(t.split()), rules.k)
-                h, wide = minimizers(every, rules.window), minimizers(long_hashes(every, rules), rules.long_window)
-                for c, x in zip(columns, (np.full(len(h) + len(wide), d, np.int64), np.concatenate([h, wide]).view(np.int64), np.r_[occurrences(h, every), np.zeros(len(wide), int)].astype(np.int32))):
-                    c.append(x)
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["d", "h", "n"])
+                own = Words(word_hashes(t.split()), rules)
+                h = minimizers(own.seeds, rules.window)
+                if len(h):
+                    h = np.concatenate([h, mixed(again(h, own.seeds))]) & ~np.uint64(1)
+                h = np.concatenate([h, minimizers(own.long, rules.long_window) | np.uint64(1)])
+                ids.append(np.full(len(h), d, np.int64))
+                hashes.append(h.view(np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(hashes))], names=["d", "h"])
 
-    seeds = docs.mapInArrow(run, "d long, h long, n int")
-    first = seeds.groupBy("h").agg(F.min(F.struct("d", (-F.col("n")).alias("less"))).alias("f"), F.max("d").alias("top")).where(F.col("f.d") < F.col("top"))
-    met = seeds.join(first.select("h", F.col("f.d").alias("r"), (-F.col("f.less")).alias("nr")), "h").where(F.col("d") != F.col("r"))
-    return met.select("h", "d", "r", F.least("n", "nr").alias("n"))
+    return docs.mapInArrow(run, "d long, h long")
 
 
-def candidates(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(d, r, long) once: documents with two minimizers whose first document is r, r < d, or with one long seed that r has first.
+def candidates(own: DataFrame) -> DataFrame:
+    """(d, r, long) of seeds() once: documents with two minimizers whose first document is r, r < d, or with one long seed that r has first.
 
-    A minimizer counts as often as both have it: a passage of one short line again and again has no second one, but more
-    than one of the first.
+    A minimizer counts twice if both have it twice: a passage of one short line again and again has no second one.
     """
-    met = shared_seeds(docs, rules).groupBy("d", "r").agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("long"))
-    return met.where((F.col("n") > 1) | F.col("long")).select("d", "r", "long")
+    first = own.groupBy("h").agg(F.min("d").alias("r"), F.max("d").alias("top")).where(F.col("r") < F.col("top")).select("h", "r")
+    met = own.join(first, "h").where(F.col("d") != F.col("r")).groupBy("d", "r").agg(F.count("*").alias("n"), F.max(F.col("h").bitwiseAND(1)).alias("long"))
+    return met.where((F.col("n") > 1) | (F.col("long") > 0)).select("d", "r", (F.col("long") > 0).alias("long"))
 
 
 ALIGNED = ("d", "r", "text_hash", "kind", "start", "words", "at")
@@ -337,13 +368,13 @@ def aligned(pairs: DataFrame, own: DataFrame, rules: Rules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
-        last: tuple[int | None, bytes, np.ndarray | None] = (None, b"", None)
+        last: tuple[int | None, bytes, Words | None] = (None, b"", None)
         for batch in sliced(sliced(batches, "td"), "tr"):
             rows = []
             for d, r, long, h, td, tr in zip(*(batch.column(c).to_pylist() for c in ("d", "r", "long", "text_hash")), texts(batch.column("td")), texts(batch.column("tr"))):
                 if last[0] != r or last[1] != tr:  # rows of one r come together
-                    last = (r, tr, word_hashes(tr.split()))
-                own_words = word_hashes(td.split())
+                    last = (r, tr, Words(word_hashes(tr.split()), rules))
+                own_words = Words(word_hashes(td.split()), rules)
                 rows += [(d, r, h, 0, f[0], f[1], None) for f in fragments(own_words, last[2], rules)]
                 if long and td != tr:
                     rows += [(d, r, h, *e) for e in run_ends(own_words, last[2], rules)]
@@ -377,7 +408,7 @@ def beside(ends: DataFrame, own: DataFrame, rules: Rules) -> DataFrame:
     low = F.when(F.col("kind") == RIGHT, F.col("start") - rules.least_fragment + 1).otherwise(F.col("start") - reach)
     wanted = ends.groupBy("d", "text_hash").agg(F.collect_set(low).alias("low"))
     keyed_texts = own.select(F.col("doc_id").alias("x"), F.xxhash64("text").alias("xh"), "text")
-    joined = keyed_texts.join(if_small(checkpointed(wanted), 100_000), (F.col("x") == F.col("d")) & (F.col("xh") == F.col("text_hash")))
+    joined = keyed_texts.join(if_small(checkpointed(wanted)), (F.col("x") == F.col("d")) & (F.col("xh") == F.col("text_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_memory("words")
@@ -409,9 +440,11 @@ def passages(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     passage it is, and equal rows count once. Other columns are not looked at; no rows, no rows.
     """
     plain = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    again = if_small(checkpointed(plain.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("x"))))
-    own = plain.join(again, F.col("doc_id") == F.col("x"), "left_anti").union(plain.join(again, F.col("doc_id") == F.col("x"), "left_semi").distinct())
-    found = checkpointed(aligned(checkpointed(candidates(plain, rules)), own, rules))
+    repeated = if_small(checkpointed(plain.groupBy("doc_id").count().where(F.col("count") > 1).select(F.col("doc_id").alias("x"))))
+    own = plain.join(repeated, F.col("doc_id") == F.col("x"), "left_anti").union(plain.join(repeated, F.col("doc_id") == F.col("x"), "left_semi").distinct())
+    with stored(seeds(plain, rules)) as known:
+        pairs = checkpointed(candidates(known))
+    found = checkpointed(aligned(pairs, own, rules))
     more = beside(open_ends(found), own, rules)
     return merged(found.where(F.col("kind") == 0).unionByName(more), rules)
 
