@@ -139,6 +139,9 @@ def test_licenses(make, messy):
     rows = [(1, mit), (2, "Intro line without a stop\nReleased under the MIT License.\nMore"), (3, wrapped), (4, lines["mit-grant"] + "."), (5, "All rights reserved. All rights reserved."), (6, "the software is good"), (7, lines["bsd-grant"] + ". " + lines["bsd-source"] + ". " + lines["bsd-binary"] + "!"), (8, lines["gpl3-later"].replace(" ", "\n") + ".")]
     found = {r.doc_id: r for r in licenses.scan(make(rows)).collect()}
     assert [found[i].licenses for i in range(1, 9)] == ["MIT", "MIT", "Apache-2.0", "", "Proprietary", "", "BSD-2-Clause", "GPL-3.0-or-later"]
+    more = {20: ("Zlib", ["zlib-basis", "zlib-liable", "zlib-grant"]), 21: ("AGPL-3.0-or-later", ["agpl3-later", "gnu-warranty", "agpl-see"]), 22: ("EPL-2.0", ["epl2-grant"]), 23: ("CC0-1.0", ["cc0-deed"]), 24: ("LGPL-3.0-or-later", ["lgpl3-later"]), 25: ("BSL-1.0", ["bsl1-short"])}
+    told = {r.doc_id: r for r in licenses.scan(make([(i, ". ".join(lines[x].capitalize() for x in own) + ".") for i, (_, own) in more.items()])).collect()}
+    assert {i: (r.licenses, r.unmatched) for i, r in told.items()} == {i: (name, 0) for i, (name, _) in more.items()}
     assert found[4].unmatched == 1 and found[5].n_sentences == 2 and found[5].unmatched == 0 and found[1].sentence_ids == "<mit-grant><mit-notice><mit-warranty>"
     assert licenses.scan(messy).count() == messy.count() and licenses.scan(messy.where("false")).count() == 0
     with pytest.raises(ValueError):
@@ -192,6 +195,116 @@ def test_features():
     assert toxicity.letters("(Wörter)!") == "wörter" and toxicity.plain("1d10t") == "idiot"
 
 
+def plain_boost(x, y, rounds, depth, rate, bins, ridge, least):
+    """Every split of every node tried by itself; a tree is nested (feature, threshold, left, right) or a leaf's value."""
+    share = (sum(y) + 0.5) / (len(y) + 1)
+    raw = [math.log(share / (1 - share))] * len(y)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+
+    def grow(rows, level, g, h):
+        def weight(own):
+            return sum(g[i] for i in own) ** 2 / (sum(h[i] for i in own) + ridge)
+
+        if level == depth:
+            return -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+        best = (1e-9, 0, math.inf)
+        for j, e in enumerate(edges):
+            for t in e:
+                low, high = [i for i in rows if x[i, j] <= t], [i for i in rows if x[i, j] > t]
+                if len(low) >= least and len(high) >= least and (gain := weight(low) + weight(high) - weight(rows)) > best[0] + 1e-9:
+                    best = (gain, j, t)
+        _, j, t = best
+        return j, t, grow([i for i in rows if x[i, j] <= t], level + 1, g, h), grow([i for i in rows if x[i, j] > t], level + 1, g, h)
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            j, t, low, high = tree
+            tree = low if row[j] <= t else high
+        return tree
+
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-r)) for r in raw]
+        tree = grow(list(range(len(y))), 0, [a - b for a, b in zip(p, y)], [max(a * (1 - a), 1e-6) for a in p])
+        raw = [r + value(tree, row) for r, row in zip(raw, x)]
+    return raw
+
+
+def test_boosting_by_brute_force():
+    rng = np.random.default_rng(7)
+    for depth in (1, 2, 3):
+        x = np.column_stack([rng.normal(size=70), rng.integers(0, 4, 70), rng.random(70)])
+        y = ((x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=70) * 0.5) > 0.8).astype(float)
+        model = toxicity.boost(x, y, rounds=6, depth=depth, rate=0.3, bins=8, ridge=1.0, least=5)
+        assert model.raw(x) == pytest.approx(plain_boost(x, y, 6, depth, 0.3, 8, 1.0, 5))
+
+
+def plain_features(text, lexicon):
+    """The features again, a word at a time."""
+    raw = WORD.findall(text)
+    cores = []
+    for w in raw:
+        low = w.lower()
+        while low and not low[0].isalnum():
+            low = low[1:]
+        while low and not low[-1].isalnum():
+            low = low[:-1]
+        cores.append(low)
+
+    def weight(core):
+        return max([0.0, *(v for k, v in lexicon.items() if core and (k == core or k[-1:] == "*" and len(k) in range(5, 10) and core.startswith(k[:-1])))])
+
+    def undone(word):
+        return "".join(c for c in word.translate(str.maketrans("013457@$!", "oieastasi")) if c.isalpha())
+
+    inner = [any(c.isalpha() for c in c_) and not c_.replace("-", "").replace("'", "").replace("\u2019", "").isalpha() for c_ in cores]
+    weights, hidden = [], []
+    for w, c, mixed in zip(raw, cores, inner):
+        own = weight(c)
+        other = max(weight(undone(c)), weight(undone(w.lower().rstrip(".,;:!?")))) if not own and (mixed or w[0] in "@$!") else 0.0
+        weights.append(own or other)
+        hidden.append(other > 0)
+    hits = [i for i, w in enumerate(weights) if w > 0]
+    second = [i for i, c in enumerate(cores) if c in toxicity.SECOND_PERSON]
+    m, chars = max(1, len(raw)), max(1, sum(map(len, raw)))
+    wide = sum(ord(c) >= 128 for c in text)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    alpha = max(1, upper + lower + wide)
+    return dict(zip(toxicity.FEATURES, [
+        len(hits), len(hits) / m, sum(weights), max(weights, default=0.0), len({raw[i] for i in hits}), sum(hidden), len(second) / m, sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hits),
+        upper / alpha, sum(w.isupper() and len(c) > 1 for w, c in zip(raw, cores)) / m, text.count("!") / m, sum(c in ".,;:!\"'()+-/=?@[\\]^_`{}~" for c in text) / chars, sum(c in "#*$%&|<>" for c in text) / chars, sum("0" <= c <= "9" for c in text) / chars, sum(inner) / m, wide / chars, chars / m, math.log1p(len(raw)),
+    ], strict=True))
+
+
+def test_features_by_brute_force(messy, spark):
+    lexicon = {"idiot": 3.0, "stup*": 2.5, "trash": 4.0, "w50*": 1.0, "the": 0.25, "pa\u00dfe*": 2.0}
+    codes = toxicity._Codes(toxicity.Lexicon(lexicon))
+    own = ["YOU total !d10t, Idiot!! fine well-known 1d1ot", "@stupidly $tupid STUPID? u'r tr4sh ... ---", "", "\u00dcBER Pa\u00dfend du 3 a 1 !!", "x" * 300 + " you " + "trash" * 60]
+    for t in own + [r.text or "" for r in messy.collect()] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]:
+        got = dict(zip(toxicity.FEATURES, toxicity.featured(t.encode(), codes)))
+        assert got == pytest.approx(plain_features(t, lexicon), abs=1e-9), t[:80]
+
+
+def test_toxicity_query_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = toxicity.fit(docs, labels, skip=(3, 1))
+    learned = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts]
+    again = toxicity.fit(docs.where("doc_id IN (%s)" % ",".join(str(r.doc_id) for r in learned)), labels, skip=None)
+    assert again.lexicon == model.lexicon and np.array_equal(again.knots[0], model.knots[0])  # nothing else was learned from
+    found = {r.doc_id: r for r in queries.op5_toxicity(spark, SMALL).collect()}
+    assert set(found) == set(texts)
+    for d, t in texts.items():
+        f = plain_features(t, model.lexicon.weights)
+        raw = model.trees.base
+        for feature, threshold, leaves in model.trees.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (f[toxicity.FEATURES[feature[node]]] > threshold[node] + 1e-12)
+            raw += leaves[node - len(feature)]
+        want = float(np.interp(raw, *model.knots))
+        assert found[d].score == pytest.approx(want, abs=1e-6) and found[d].predicted == int(found[d].score >= 0.7) and found[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+
+
 # pieces
 
 

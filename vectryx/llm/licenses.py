@@ -47,6 +47,31 @@ SENTENCES: dict[str, str] = {
     "licensed under cc by sa 4 0": "cc-by-sa4-short",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by4-short",
     "this is free and unencumbered software released into the public domain": "unlicense-domain",
+    "licensed under the mozilla public license 2 0": "mpl2-short",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "licensed under the gnu affero general public license version 3": "agpl3-short",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-short",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gnu-library-warranty",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl2-grant",
+    "licensed under the eclipse public license 2 0": "epl2-short",
+    "this software is provided as is without any express or implied warranty": "zlib-basis",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "bsl1-short",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "licensed under the cc0 1 0 universal license": "cc0-short",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "cc0-deed",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa4-short",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc4-short",
+    "licensed under cc by nd 4 0": "cc-by-nd4-short",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa4-short",
+    "licensed under the bsd 3 clause license": "bsd3-short",
+    "licensed under the bsd 2 clause license": "bsd2-short",
+    "licensed under the isc license": "isc-short",
+    "licensed under the unlicense": "unlicense-short",
     "all rights reserved": "reserved",
 }
 
@@ -58,11 +83,17 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("GPL-3.0-or-later", ("gpl3-later", "gnu-warranty", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl2-later", "gnu-warranty", "gpl-see")),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gnu-warranty", "agpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gnu-library-warranty", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "gnu-library-warranty", "lgpl-see")),
+    ("Zlib", ("zlib-basis", "zlib-liable", "zlib-grant")),
     ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("ISC", ("isc-grant",)),
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
     ("LGPL-2.1-or-later", ("lgpl21-later",)),
     ("MPL-2.0", ("mpl2-subject",)),
     ("Apache-2.0", ("apache2-grant",)),
@@ -74,6 +105,22 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-SA-4.0", ("cc-by-sa4-short",)),
     ("CC-BY-4.0", ("cc-by4-short",)),
     ("Unlicense", ("unlicense-domain",)),
+    ("Unlicense", ("unlicense-short",)),
+    ("MPL-2.0", ("mpl2-short",)),
+    ("AGPL-3.0-only", ("agpl3-short",)),
+    ("LGPL-3.0-only", ("lgpl3-short",)),
+    ("EPL-2.0", ("epl2-grant",)),
+    ("EPL-2.0", ("epl2-short",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl1-short",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("CC0-1.0", ("cc0-deed",)),
+    ("CC0-1.0", ("cc0-short",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd4-short",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa4-short",)),
+    ("BSD-3-Clause", ("bsd3-short",)),
+    ("BSD-2-Clause", ("bsd2-short",)),
+    ("ISC", ("isc-short",)),
     ("Proprietary", ("reserved",)),
 )
 
