@@ -195,8 +195,126 @@ def test_http(spark, tmp_path):
     assert ask("POST", "/collections/no/search", {"vector": [1, 2]})[0] == 404
     assert [r["id"] for r in ask("POST", "/collections/c/hybrid-search", {"text_query": "blue"})[1]["results"]] == ["x"]
     assert ask("POST", "/collections/c/hybrid-search", {"vector": [1, 2]})[0] == 400
+    status, found = ask("POST", "/collections/c/batch-search", {"vectors": [[0, 0], [5, 5]], "top_k": 2})
+    assert status == 200 and [[r["id"] for r in x][0] for x in found["results"]] == ["y", "x"] and len(found["results"][1]) == 2
+    for body in ({}, {"vectors": []}, {"vectors": [[1]]}, {"vectors": [["a", 1]]}, {"vectors": [[0, 0]], "probes": 0}):
+        assert ask("POST", "/collections/c/batch-search", body)[0] == 400
+    assert ask("POST", "/collections/c/search", {"vector": [0, 0], "filter": {"both ' and \"": 1}})[1] == {"results": []}
     status, health = ask("GET", "/collections/c/health")
     assert status == 200 and health["total_nodes"] == 3 and "reason" not in health and health["entry_point_layer"] >= 0
-    assert ask("POST", "/collections/c/rebuild") == (200, {"status": "rebuilt"})
+    assert ask("POST", "/collections/c/rebuild") == (200, {"status": "success"})
     assert ask("DELETE", "/collections/c/vectors/x")[0] == 204 and ask("DELETE", "/collections/c/vectors/x")[0] == 204
     assert ask("DELETE", "/collections/c")[0] == 204 and ask("DELETE", "/collections/c")[0] == 404
+
+
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write", "rename", "after"])
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
+    from vectryx.sources.files import Files
+
+    db = VectorDB(spark, str(tmp_path / "db"), retain_seconds=0)
+    db.create_collection("c", 2)
+    db.add_batch("c", [Item("a", [1, 0]), Item("b", [0, 1])])
+    db.compact("c")
+    db.add("c", Item("d", [1, 1]))
+    db.delete("c", "a")
+    before = {r.id for r in db.items("c").collect()}
+    with monkeypatch.context() as m:
+        if step == "write":  # rows are there, the pointer isn't
+            m.setattr(Files, "write_next", lambda *_: (_ for _ in ()).throw(Died()))
+        elif step == "rename":  # the pointer is beside its place
+            m.setattr(Files, "_path", lambda self, name, own=Files._path: own(self, name) if not name.endswith("2.json") else (_ for _ in ()).throw(Died()))
+        else:  # the pointer is there, nothing was cleared away
+            m.setattr("vectryx.sources.store.CollectionStore._drop_old", lambda self: (_ for _ in ()).throw(Died()))
+        with pytest.raises(Died):
+            db.compact("c")
+    again = VectorDB(spark, str(tmp_path / "db"), retain_seconds=0)
+    assert {r.id for r in again.items("c").collect()} == before == {"b", "d"}
+    again.compact("c")
+    assert {r.id for r in again.items("c").collect()} == before and not again.store("c").batches()
+
+
+def test_searches_outlive_compactions(db):
+    db.create_collection("c", 2, config={"textField": "text"})
+    db.add_batch("c", [Item("a", [1, 0], {"text": "red"}), Item("b", [0, 1], {"text": "blue"})])
+    early = db.search("c", SearchRequest(vector=[1, 0]))
+    db.compact("c")
+    near, text = db.search("c", SearchRequest(vector=[1, 0])), db.search("c", SearchRequest(text_query="blue"))
+    db.upsert("c", Item("a", [0, 1], {"text": "green"}))
+    between = db.search("c", SearchRequest(vector=[1, 0], top_k=1))
+    for _ in range(2):
+        db.compact("c")
+    assert [r["id"] for r in db.results(near)] == [r["id"] for r in db.results(early)] == ["a", "b"]
+    assert [r["id"] for r in db.results(text)] == ["b"] and db.results(between)[0]["id"] == "a"
+    assert len(db.files.names(db.store("c").info.folder + "/base")) == 3
+    db.retain_seconds = 0
+    db.compact("c")
+    assert len(db.files.names(db.store("c").info.folder + "/base")) == 1 and {r.id for r in db.items("c").collect()} == {"a", "b"}
+
+
+def test_the_log_of_a_long_stream_stays_small(spark, tmp_path):
+    db = VectorDB(spark, str(tmp_path / "db"), retain_seconds=0)
+    db.create_collection("c", 1)
+    store = db.store("c")
+    operations = db._operations(db._frame([Item("x", [1])])).cache()
+    for n in range(30):
+        assert store.append(operations, f"feed-{n}")
+        if n % 10 == 9:
+            store.compact()
+            assert not store.batches() and len(store.files.names(store.info.folder + "/log")) == 0
+    assert store.current()["keys"] == {"feed": 29}
+    assert not any(store.append(operations, k) for k in ("feed-29", "feed-3")) and store.append(operations, "other-0") and store.append(operations, "feed-30")
+    assert db.items("c").count() == 1
+
+
+def test_cells_and_graph_of_a_collection(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vectryx.operators import diagnostics
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    rows = [(f"v{i:04d}", (centres[i % 12] + 0.3 * rng.normal(size=16)).astype("f4").tolist(), json.dumps({"even": i % 2 == 0})) for i in range(900)]
+    db = VectorDB(spark, str(tmp_path / "db"))
+    db.create_collection("c", 16, Metric.EUCLIDEAN)
+    db.add_batch("c", spark.createDataFrame(rows, "id string, vector array<float>, metadata string"))
+    before = db.graph_stats("c")
+    db.rebuild_index("c", cells=12)
+    assert db.graph_stats("c") == before and db.store("c").stored_graph() is not None
+    queries = db.items("c").where("id < 'v0040'").select(F.col("id").alias("qid"), "vector").cache()
+    truth = db.search_batch("c", queries, 5).cache()
+    for found in (db.search_batch("c", queries, 5, probes=3), db.walk("c", queries, 5)):
+        assert diagnostics.recall(found, truth, 5).first().mean_recall >= 0.9
+    q = list(queries.where("qid = 'v0007'").first().vector)
+    exact = ids(db, "c", vector=q)
+    assert ids(db, "c", vector=q, probes=12) == exact and len(set(ids(db, "c", vector=q, probes=2)) & set(exact)) >= 4
+    assert "cell" in db.store("c").live([0])._jdf.queryExecution().executedPlan().toString()  # directories are pruned
+    # what is written and deleted afterwards counts in all of them
+    db.delete("c", "v0007")
+    db.upsert("c", Item("new", q, {"even": True}))
+    assert ids(db, "c", vector=q, top_k=1) == ids(db, "c", vector=q, top_k=1, probes=1) == ["new"]
+    for found in (db.search_batch("c", queries, 5, probes=3), db.walk("c", queries, 5)):
+        best = found.where("qid = 'v0007'").orderBy("rank").collect()
+        assert best[0].id == "new" and all(r.id != "v0007" for r in best)
+    assert ids(db, "c", vector=q, probes=1, filter={"even": True}, top_k=400) == ids(db, "c", vector=q, filter={"even": True}, top_k=400)
+    assert {r.id[-1] in "02468w" for r in db.walk("c", queries, 3, filter={"even": True}).collect()} == {True}
+    assert tuple(db.check_health("c").first())[:2] == (901, 1)
+    db.compact("c")
+    assert db.store("c").current()["cells"] == 12 and db.items("c").count() == 900
+
+
+def test_shards_have_directories(spark, tmp_path):
+    db = VectorDB(spark, str(tmp_path / "db"), shards=3)
+    db.create_collection("c", 2, Metric.EUCLIDEAN)
+    db.add_batch("c", [Item(f"i{i}", [i, 1]) for i in range(30)])
+    folder = db.store("c").info.folder
+    (batch,) = db.files.names(f"{folder}/log")
+    assert {n for n in db.files.names(f"{folder}/log/{batch}") if n.startswith("shard=")} == {"shard=0", "shard=1", "shard=2"}
+    db.rebuild_index("c", cells=2)
+    assert {n for n in db.files.names(f"{folder}/base/v1") if n.startswith("shard=")} == {"shard=0", "shard=1", "shard=2"}
+    db.upsert("c", Item("i31", [3.5, 1]))
+    assert ids(db, "c", vector=[3.6, 1], top_k=3) == ["i31", "i4", "i3"] == ids(db, "c", vector=[3.6, 1], top_k=3, probes=2)

@@ -99,3 +99,15 @@ def test_chunks_to_items(spark):
     docs = spark.createDataFrame([("d", "Education at school. " * 60), ("n", None)], "id string, text string")
     rows = rag.prepared(docs).collect()
     assert len(rows) > 2 and all(r.id.startswith("chunk_d_") and len(r.vector) == 64 and '"section":"education"' in r.metadata for r in rows)
+
+
+def test_latencies_by_place(spark):
+    import random
+
+    for n in (1, 2, 7, 100, 999):
+        rng = random.Random(n)
+        own = sorted(rng.choice([0.5, 1.0, rng.random()]) for _ in range(n))
+        rows = spark.createDataFrame([(x,) for x in own], "seconds double").repartition(3)
+        assert tuple(diagnostics.latencies(rows).first()) == (n, own[n // 2], own[n * 99 // 100])
+    found = diagnostics.latencies(rows)
+    assert "SinglePartition" not in found.select("p50")._jdf.queryExecution().executedPlan().toString().split("Window")[0]

@@ -6,12 +6,13 @@ import json
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import DimensionMismatch, DuplicateId, HybridNotEnabled, InvalidRequest
 from .functions.filters import matches, parsed
-from .operators import diagnostics, graph, hybrid, knn, shards
+from .operators import ann, diagnostics, graph, hybrid, knn, shards
 from .schema import Item, Metric, SearchRequest
 from .sources import oplog, requests
 from .sources.catalog import Catalog, CollectionInfo
@@ -22,10 +23,10 @@ from .sources.store import CollectionStore
 class VectorDB:
     """shards > 1: rows are laid out by shard, searches gather the best of each, and health is summed over them."""
 
-    def __init__(self, spark: SparkSession, root: str, shards: int = 1):
+    def __init__(self, spark: SparkSession, root: str, shards: int = 1, retain_seconds: float = 3600.0):
         if shards < 1:
             raise InvalidRequest("there must be a shard")
-        self.spark, self.shards = spark, shards
+        self.spark, self.shards, self.retain_seconds = spark, shards, retain_seconds
         self.files = Files(spark, root)
         self.catalog = Catalog(self.files)
 
@@ -44,7 +45,7 @@ class VectorDB:
         self.catalog.drop(name)
 
     def store(self, name: str) -> CollectionStore:
-        return CollectionStore(self.spark, self.files, self.catalog.get(name))
+        return CollectionStore(self.spark, self.files, self.catalog.get(name), self.retain_seconds)
 
     # writes
 
@@ -62,7 +63,7 @@ class VectorDB:
         taken = oplog.conflicts(rows, store.live()).orderBy("id").limit(20)
         if ids := [r.id for r in taken.collect()]:
             raise DuplicateId(ids)
-        store.append(self._operations(rows))
+        store.append(self._operations(rows), n_shards=self.shards)
 
     def upsert(self, name: str, item: Item) -> None:
         """Replaces vector and metadata as a whole; no metadata removes what there was."""
@@ -74,7 +75,7 @@ class VectorDB:
         rows = self._frame(items)
         count = rows.count()
         if count:
-            store.append(self._operations(store.checked(rows)), key)
+            store.append(self._operations(store.checked(rows)), key, self.shards)
         return count
 
     def _frame(self, items: Iterable[Item] | DataFrame) -> DataFrame:
@@ -85,29 +86,32 @@ class VectorDB:
     def delete(self, name: str, id_: str) -> None:
         """Deleting what isn't there succeeds."""
         gone = self.spark.createDataFrame([(id_,)], "id string").select("id", F.lit(None).alias("vector"), F.lit(None).alias("metadata"))
-        self.store(name).append(self._operations(gone, "delete"))
+        self.store(name).append(self._operations(gone, "delete"), n_shards=self.shards)
 
     def compact(self, name: str | None = None) -> None:
         for info in [self.catalog.get(name)] if name else self.catalog.list():
             self.store(info.name).compact(self.shards)
 
-    def rebuild_index(self, name: str) -> None:
-        """A new version of rows and keyword index; what is written meanwhile stays in the log after it."""
-        self.store(name).compact(self.shards)
+    def rebuild_index(self, name: str, cells: int | None = None, with_graph: bool = True) -> None:
+        """A new version of rows, keyword index, cells (0: none, None: as many as before) and neighbour graph.
+
+        What is written meanwhile stays in the log after it.
+        """
+        self.store(name).compact(self.shards, cells, with_graph)
 
     # reads
 
     def items(self, name: str) -> DataFrame:
         """(id, vector, metadata) of all that is live."""
-        return self.store(name).live()
+        return self.store(name).live().select("id", "vector", "metadata")
 
     def contains(self, name: str, ids: DataFrame) -> DataFrame:
-        return ids.join(self.items(name).select("id"), "id", "left_semi")
+        return knn.present(ids, self.items(name))
 
     def payloads(self, name: str, ids: Iterable[str], include_vectors: bool = False) -> DataFrame:
         """(id, metadata[, vector]) of the ids that are there."""
         wanted = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-        return knn.hydrated(wanted, self.items(name), include_vectors)
+        return knn.payloads(wanted, self.items(name), include_vectors)
 
     def search(self, name: str, request: SearchRequest) -> DataFrame:
         """(id, score, score_type, metadata[, vector]), best first.
@@ -126,19 +130,74 @@ class VectorDB:
         both = request.vector is not None and bool(request.text_query)
         fetch = 2 * k if both else k
         where = matches(parsed(F.col("metadata")), request.filter) if request.filter else None
-        near = self._near(store, request.vector, fetch, where) if request.vector is not None else None
         text = self._text(store, request, fetch, where) if request.text_query else None
+        if both and not request.probes and self.shards == 1:
+            return self._hydrated(hybrid.search(store.live(), request.vector, text, k, store.info.metric, where, "norm"), store, request, "fused")
+        near = self._near(store, request, fetch, where) if request.vector is not None else None
         if both:
             return self._hydrated(hybrid.fuse(near, text, k), store, request, "fused")
         if near is not None:
             return self._hydrated(near.withColumnRenamed("distance", "score"), store, request, "distance")
         return self._hydrated(shards.merge(text, k, "text"), store, request, "text")
 
-    def _near(self, store: CollectionStore, vector: list[float], k: int, where: Column | None) -> DataFrame:
-        rows = store.live()
+    def _near(self, store: CollectionStore, request: SearchRequest, k: int, where: Column | None) -> DataFrame:
+        cells = store.cells() if request.probes else None
+        if cells is not None:
+            return self._probed(store, cells, request, k, where)
+        rows = store.live(n_shards=self.shards)
         if self.shards > 1:
-            return shards.scatter_gather(shards.assigned(rows, self.shards), vector, k, store.info.metric, where).select("id", "distance")
-        return knn.knn(rows, vector, k, store.info.metric, where)
+            return shards.scatter_gather(rows, request.vector, k, store.info.metric, where, "norm").select("id", "distance")
+        return knn.knn(rows, request.vector, k, store.info.metric, where, norm="norm")
+
+    def _probed(self, store: CollectionStore, cells: ann.Cells, request: SearchRequest, k: int, where: Column | None) -> DataFrame:
+        """The k closest in the nearest cells, and among what was written after them; twice as many cells while there are too few rows."""
+        order = cells.order(np.asarray([request.vector], float))[0].tolist()
+        probes = request.probes
+        while True:
+            rows = store.live(order[:probes] if probes < len(order) else None)
+            rows = rows.where(where) if where is not None else rows
+            if probes >= len(order) or rows.limit(k).count() >= k:
+                return knn.knn(rows, request.vector, k, store.info.metric, norm="norm")
+            probes *= 2
+
+    def queries(self, name: str, vectors: list[list[float]]) -> DataFrame:
+        """(qid, vector) of vectors of the collection's dimension, numbered from 0."""
+        dimension = self.catalog.get(name).dimension
+        if bad := [len(v) for v in vectors if len(v) != dimension]:
+            raise DimensionMismatch(f"vector dimension mismatch: expected {dimension}, got {bad[0]}")
+        return self.spark.createDataFrame(list(enumerate(vectors)), "qid int, vector array<double>")
+
+    def search_batch(self, name: str, queries: DataFrame, k: int, probes: int | None = None, filter: dict[str, Any] | None = None) -> DataFrame:
+        """(qid, id, distance, rank) of queries (qid, vector), k each. Exact, or by the probes nearest cells of each where rows lie in cells.
+
+        What was written after the cells were made is put into its cell on the way.
+        """
+        store = self.store(name)
+        rows = store.live()
+        rows = rows.where(matches(parsed(F.col("metadata")), filter)) if filter else rows
+        cells = store.cells() if probes else None
+        if cells is None:
+            return knn.knn_batch(rows, queries, k, store.info.metric)
+        return ann.search_batch(ann.assign(rows.select("id", "vector"), cells), cells, queries, k, probes)
+
+    def walk(self, name: str, queries: DataFrame, k: int, filter: dict[str, Any] | None = None) -> DataFrame:
+        """(qid, id, distance, rank) by the neighbour graph of the last rebuild, for many queries (qid, vector) at once.
+
+        Rows deleted since are walked through and not returned; rows written since are held against the queries beside.
+        """
+        store = self.store(name)
+        own = store.stored_graph()
+        if own is None:
+            return self.search_batch(name, queries, k, filter=filter)
+        live = store.live()
+        where = matches(parsed(F.col("metadata")), filter) if filter else None
+        taken = live.where(where) if where is not None else live
+        known = store.base().select("id", "vector")
+        changed = store.log(store.current()["seq"]).select("id").distinct()
+        found = graph.walk(own, known, queries, k, metric=store.info.metric, among=taken.join(changed, "id", "left_anti").select("id")).select("qid", "id", "distance")
+        beside = knn.knn_batch(taken.join(changed, "id", "left_semi"), queries, k, store.info.metric).select("qid", "id", "distance")
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+        return found.unionByName(beside).withColumn("rank", rank).where(F.col("rank") <= k)
 
     def _text(self, store: CollectionStore, request: SearchRequest, k: int, where: Column | None) -> DataFrame:
         if request.prefilter_text and where is not None:
@@ -172,10 +231,14 @@ class VectorDB:
         by_shard = shards.assigned(states, self.shards).groupBy("shard").agg(F.sum((F.col("live") | F.col("tombstoned")).cast("long")).alias("total_nodes"), F.sum(F.col("tombstoned").cast("long")).alias("tombstoned_nodes"))
         return diagnostics.merged_health(by_shard)
 
-    def graph_stats(self, name: str) -> DataFrame:
-        """(entry_point_layer, avg_degree_per_layer) of the neighbour graph of the live rows."""
+    def graph_stats(self, name: str) -> dict[str, Any]:
+        """entry_point_layer and avg_degree_per_layer: as the last rebuild stored them, or of a graph of all nodes, tombstones included."""
         store = self.store(name)
-        return graph.stats(graph.build(store.live(), store.info.metric))
+        state = store.current()
+        if state["graph"] and not store.batches(state["seq"]):
+            return state["graph"]
+        row = graph.stats(graph.build(store.nodes(), store.info.metric)).first()
+        return {"entry_point_layer": row.entry_point_layer, "avg_degree_per_layer": {str(k): v for k, v in (row.avg_degree_per_layer or {}).items()}}
 
     def max_created_at(self, name: str) -> DataFrame:
         return diagnostics.max_created_at(self.store(name).created().select(F.unix_seconds("created_at").alias("created_at")))

@@ -21,12 +21,13 @@ def parsed(metadata: Column) -> Column:
     return F.try_parse_json(metadata)
 
 
-def path(key: str) -> str:
+def field(metadata: Column, key: str) -> Column:
+    """A key's value as VARIANT, null if it isn't there. A path can't hold both kinds of quotes; a map can."""
     if "'" not in key:
-        return f"$['{key}']"
+        return F.try_variant_get(metadata, f"$['{key}']", "variant")
     if '"' not in key:
-        return f'$["{key}"]'
-    raise ValueError(f"a key with both kinds of quotes: {key}")
+        return F.try_variant_get(metadata, f'$["{key}"]', "variant")
+    return F.try_element_at(F.try_variant_get(metadata, "$", "map<string,variant>"), F.lit(key))
 
 
 def _doubles(value: Any) -> Any:
@@ -40,19 +41,19 @@ def _doubles(value: Any) -> Any:
 
 
 def equals(metadata: Column, key: str, value: Any) -> Column:
-    where = path(key)
-    kind = F.schema_of_variant(F.try_variant_get(metadata, where, "variant"))
+    own = field(metadata, key)
+    kind = F.schema_of_variant(own)
     if value is None:
         found = kind == "VOID"
     elif isinstance(value, bool):
-        found = (kind == "BOOLEAN") & (F.try_variant_get(metadata, where, "boolean") == value)
+        found = (kind == "BOOLEAN") & (F.try_variant_get(own, "$", "boolean") == value)
     elif isinstance(value, (int, float)):
-        found = kind.rlike(NUMBER) & (F.try_variant_get(metadata, where, "double") == F.lit(float(value)))
+        found = kind.rlike(NUMBER) & (F.try_variant_get(own, "$", "double") == F.lit(float(value)))
     elif isinstance(value, str):
-        found = (kind == "STRING") & (F.try_variant_get(metadata, where, "string") == value)
+        found = (kind == "STRING") & (F.try_variant_get(own, "$", "string") == value)
     else:
         text = json.dumps(_doubles(value), sort_keys=True, ensure_ascii=False)
-        found = F.to_json(F.try_variant_get(metadata, where, "variant")) == F.to_json(F.parse_json(F.lit(text)))
+        found = F.to_json(own) == F.to_json(F.parse_json(F.lit(text)))
     return F.coalesce(found, F.lit(False))
 
 

@@ -30,5 +30,5 @@ def fnv1a_mod(text: Column, n: int) -> Column:
 
 def level(id_: Column, m: int = 16) -> Column:
     """floor(-ln(u) / ln(m)) with u in (0, 1) from the id's hash, so that a rebuild gives each id its level again."""
-    u = F.greatest(F.lit(1e-6), F.pmod(F.xxhash64(id_), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+    u = F.greatest(F.lit(1e-6), F.conv(F.substring(F.md5(id_.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52)))
     return F.floor(-F.log(u) * F.lit(1 / math.log(m))).cast("int")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
+
 RATIO, LEAST_NODES = 0.20, 1000
 
 
@@ -53,10 +55,21 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def latencies(seconds: DataFrame, column: str = "seconds") -> DataFrame:
-    """(n, p50, p99): by place in the sorted list, n // 2 and n * 99 // 100."""
-    w = Window.orderBy(column)
-    placed = seconds.select(F.col(column).alias("s"), (F.row_number().over(w) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return placed.groupBy("n").agg(F.max(F.when(F.col("at") == F.floor(F.col("n") / 2), F.col("s"))).alias("p50"), F.max(F.when(F.col("at") == F.floor(F.col("n") * 99 / 100), F.col("s"))).alias("p99"))
+    """(n, p50, p99): by place in the sorted list, n // 2 and n * 99 // 100. Nothing, no row.
+
+    Values are counted first, then sorted in ranges side by side; what comes before a range is the sum of the ranges before it.
+    """
+    counted = seconds.select(F.col(column).alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+    ranged = cut(counted.repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.sum("c").alias("size"))
+    parts = sizes.select("part", F.sum("size").over(Window.orderBy("part")).alias("upto"), "size", F.sum("size").over(Window.partitionBy()).alias("n"))  # a row a range
+    within = F.sum("c").over(Window.partitionBy("part").orderBy(F.col("s").asc_nulls_first()))
+    placed = ranged.join(F.broadcast(parts), "part").select("s", "c", "n", (F.col("upto") - F.col("size") + within).alias("end"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("end")) & (place >= F.col("end") - F.col("c")), F.col("s")))
+
+    return placed.groupBy("n").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 99 / 100)).alias("p99"))
 
 
 def throughput(n: int, took: Sequence[float]) -> float:

@@ -47,8 +47,9 @@ def neighbours(items: DataFrame, m: int, metric: Metric | int, exact_rows: int =
         assigned = assign(items, cells)
         near = search_batch(assigned, cells, queries, m + 1, enough_probes(items, assigned, cells, m + 1))
     one = near.where(F.col("qid") != F.col("id")).select(F.col("qid").alias("id"), F.col("id").alias("neighbour"), "distance")
-    both = one.union(one.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "distance")).distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
+    one = one.withColumn("rank", rank).where(F.col("rank") <= m).drop("rank")  # where a row wasn't among its own nearest, there is one more
+    both = one.union(one.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "distance")).distinct()
     return both.withColumn("rank", rank).where(F.col("rank") <= m).select("id", "neighbour")
 
 
@@ -100,11 +101,11 @@ def search_layer(layer: DataFrame, items: DataFrame, queries: DataFrame, start:
         seen = cut(done.unionByName(new))
 
 
-def walk(graph: DataFrame, items: DataFrame, queries: DataFrame, k: int, width: int = EF_SEARCH, metric: Metric | int = Metric.COSINE, where: Column | None = None) -> DataFrame:
+def walk(graph: DataFrame, items: DataFrame, queries: DataFrame, k: int, width: int = EF_SEARCH, metric: Metric | int = Metric.COSINE, where: Column | None = None, among: DataFrame | None = None) -> DataFrame:
     """(qid, id, distance, rank): approximate neighbours by walking the graph from its top layer down.
 
     Upper layers are descended with a beam of one, the lowest is searched with max(width, k). Rows that the filter doesn't
-    take are walked through but not returned. The entry point is the least id of the top layer.
+    take, or that aren't among (id), are walked through but not returned. The entry point is the least id of the top layer.
     """
     top = graph.agg(F.max("layer")).first()[0]
     if top is None:
@@ -117,5 +118,7 @@ def walk(graph: DataFrame, items: DataFrame, queries: DataFrame, k: int, width:
         beam = cut(_beam(seen, 1)) if n else seen
     if where is not None:
         beam = beam.join(items.where(where).select("id"), "id", "left_semi")
+    if among is not None:
+        beam = beam.join(among.select("id"), "id", "left_semi")
     ranked = beam.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= k).select("qid", "id", "distance", "rank")

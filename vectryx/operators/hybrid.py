@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import RRF_K
+from ..schema import RRF_K, Metric
+from .knn import knn
 
 
 def ranked(leg: DataFrame, *order: Column | str) -> DataFrame:
@@ -20,6 +23,11 @@ def fuse(vector_leg: DataFrame, text_leg: DataFrame, k: int, constant: int = RRF
     return fused.orderBy(F.desc("score"), "id").limit(k)
 
 
+def search(rows: DataFrame, vector: Sequence[float], text_leg: DataFrame, k: int, metric: Metric | int = Metric.COSINE, where: Column | None = None, norm: str | None = None) -> DataFrame:
+    """(id, score): 2 k rows (id, vector) by distance that the filter takes, fused with a text leg that is filtered already."""
+    return fuse(knn(rows, vector, 2 * k, metric, where, norm=norm), text_leg.select("id", "score"), k)
+
+
 def post_filtered(text_leg: DataFrame, items: DataFrame, where: Column | None) -> DataFrame:
     """The rows of a finished text top-k whose item the filter takes; there may be fewer than k."""
     if where is None:

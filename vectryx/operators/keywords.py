@@ -5,7 +5,7 @@ score = sum over the query's distinct terms of ln(1 + (N - df + .5) / (df + .5))
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
@@ -25,6 +25,12 @@ def _occurrences(term: str) -> Column:
     return F.size(F.filter("t", lambda t: t == term)).cast("double")
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs, in as many parts as there are cores if they come in less than half as many: a file that isn't split leaves the others idle."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() <= cores else docs
+
+
 def bm25(docs: DataFrame, query: str, k: int | None = None, id_: str = "id", text: str = "text") -> DataFrame:
     """(id, score) of the documents with a term of the query, best first, k of them if given.
 
@@ -36,7 +42,7 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, id_: str = "id", tex
         return docs.select(F.col(id_).alias("id"), F.lit(0.0).alias("score")).limit(0)
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     found = F.regexp_extract_all(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"), F.lit(1))
-    own = docs.select(F.col(id_).alias("id"), F.regexp_count(lower, F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("dl"), found.alias("t")).where(F.col("dl") > 0)
+    own = _spread(docs.select(id_, text)).select(F.col(id_).alias("id"), F.regexp_count(lower, F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("dl"), found.alias("t")).where(F.col("dl") > 0)
     counts = own.select("id", "dl", *(_occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms))).repartition("id")
     stats = counts.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("average"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
@@ -51,7 +57,7 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, id_: str = "id", tex
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
     """(bucket, term, id, tf, dl): the index of the documents that have a text."""
-    own = docs.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
+    own = _spread(docs.where(F.col(text).isNotNull()).select(id_, text)).select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
     each = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     counted = each.groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
     return counted.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
@@ -63,6 +69,17 @@ def lengths(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
     return own.agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
 
 
+def store(docs: DataFrame, folder: str) -> None:
+    """Writes the index of docs (id, text) into a folder: postings by bucket, and statistics."""
+    postings(docs).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    lengths(docs).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def search_stored(spark: SparkSession, folder: str, query: str, k: int | None = None) -> DataFrame:
+    """bm25() by what store() has written; of the postings, only the directories of the query's terms are read."""
+    return search_postings(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), query, k)
+
+
 def search_postings(index: DataFrame, stats: DataFrame, query: str, k: int | None = None) -> DataFrame:
     """bm25() over stored postings: reads the buckets of the query's terms, and needs one shuffle on the documents hit."""
     import zlib

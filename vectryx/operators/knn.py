@@ -101,6 +101,16 @@ def _local(items: DataFrame, qids: pa.Array, q: np.ndarray, k: int, metric: Metr
     return items.mapInArrow(run, schema)
 
 
+def payloads(ids: DataFrame, items: DataFrame, include_vector: bool = False) -> DataFrame:
+    """(id, metadata[, vector]) of the ids (id) that items have, each once; however many there are."""
+    return items.select("id", "metadata", *(["vector"] if include_vector else [])).join(ids.select("id"), "id", "left_semi")
+
+
+def present(ids: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ids (id) that items have."""
+    return ids.join(items.select("id"), "id", "left_semi")
+
+
 def hydrated(found: DataFrame, items: DataFrame, include_vector: bool = False) -> DataFrame:
     """found (id, ...) with metadata and, if asked for, the vector. found has k rows a query, so it is the side to broadcast."""
     extra = ["id", "metadata", *(["vector"] if include_vector else [])]

@@ -23,11 +23,11 @@ def spread(items: DataFrame, n: int) -> DataFrame:
     return assigned(items, n).repartition(n, "shard")
 
 
-def scatter_gather(items: DataFrame, query: Sequence[float], k: int, metric: Metric | int = Metric.COSINE, where: Column | None = None) -> DataFrame:
+def scatter_gather(items: DataFrame, query: Sequence[float], k: int, metric: Metric | int = Metric.COSINE, where: Column | None = None, norm: str | None = None) -> DataFrame:
     """(shard, id, distance): the best k of each shard (ranked within the tasks first), then the best k of those."""
     if where is not None:
         items = items.where(where)
-    scored = items.select("shard", "id", F.round(distance(metric, F.col("vector"), query), DIGITS).alias("distance"))
+    scored = items.select("shard", "id", F.round(distance(metric, F.col("vector"), query, F.col(norm) if norm else None), DIGITS).alias("distance"))
     local = scored.withColumn("rank", F.row_number().over(Window.partitionBy("shard").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return merge(local.drop("rank"), k, "distance")
 

@@ -48,7 +48,10 @@ class Item:
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """By vector, by text, or both; filter is a conjunction of equalities on metadata keys."""
+    """By vector, by text, or both; filter is a conjunction of equalities on metadata keys.
+
+    probes: how many cells to read where the collection lies in cells; None for an exact search.
+    """
 
     vector: list[float] | None = None
     text_query: str | None = None
@@ -56,6 +59,7 @@ class SearchRequest:
     filter: dict[str, Any] = field(default_factory=dict)
     include_vector: bool = False
     prefilter_text: bool = False
+    probes: int | None = None
 
     @property
     def k(self) -> int:

@@ -29,7 +29,7 @@ class Routes:
     def __init__(self, db: VectorDB):
         self.db = db
         name, id_ = r"/collections/([^/]+)", r"/vectors/([^/]+)"
-        self.table = [(m, re.compile(p + r"\Z"), f) for m, p, f in (("GET", "/", self.status), ("POST", "/collections", self.create), ("GET", "/collections", self.list), ("DELETE", name, self.drop), ("POST", name + "/insert", self.insert), ("POST", name + "/upsert", self.upsert), ("POST", name + "/batch", self.batch), ("POST", name + "/search", self.search), ("POST", name + "/hybrid-search", self.hybrid_search), ("DELETE", name + id_, self.delete), ("GET", name + "/health", self.health), ("POST", name + "/rebuild", self.rebuild))]
+        self.table = [(m, re.compile(p + r"\Z"), f) for m, p, f in (("GET", "/", self.status), ("POST", "/collections", self.create), ("GET", "/collections", self.list), ("DELETE", name, self.drop), ("POST", name + "/insert", self.insert), ("POST", name + "/upsert", self.upsert), ("POST", name + "/batch", self.batch), ("POST", name + "/search", self.search), ("POST", name + "/hybrid-search", self.hybrid_search), ("POST", name + "/batch-search", self.batch_search), ("DELETE", name + id_, self.delete), ("GET", name + "/health", self.health), ("POST", name + "/rebuild", self.rebuild))]
 
     def answer(self, method: str, path: str, body: bytes = b"") -> Answer:
         began = time.perf_counter()
@@ -106,6 +106,19 @@ class Routes:
             raise InvalidRequest("a hybrid search needs a text_query")
         return 200, {"results": self.db.results(self.db.search(name, replace(request)))}
 
+    def batch_search(self, name: str, body: Any) -> Answer:
+        """Many vectors at once: {"vectors": [...], "top_k", "filter", "probes"} to one list of results for each."""
+        self.db.get_collection(name)
+        vectors = body.get("vectors") if isinstance(body, dict) else None
+        if not isinstance(vectors, list) or not vectors:
+            raise InvalidRequest("a batch search has vectors")
+        first = requests.search_request({**body, "vector": None})
+        asked = self.db.queries(name, [requests.item({"id": str(i), "vector": v}).vector for i, v in enumerate(vectors)])
+        out: list[list[dict]] = [[] for _ in vectors]
+        for r in self.db.search_batch(name, asked, first.k, first.probes, first.filter).orderBy("qid", "rank").collect():
+            out[r.qid].append({"id": r.id, "score": r.distance})
+        return 200, {"results": out}
+
     def delete(self, name: str, id_: str) -> Answer:
         self.db.delete(name, id_)
         return 204, None
@@ -115,13 +128,13 @@ class Routes:
         if row["reason"] is None:
             del row["reason"]
         if self.db.shards == 1:
-            stats = self.db.graph_stats(name).first()
-            row |= {"entry_point_layer": stats.entry_point_layer if stats.entry_point_layer is not None else -1, "avg_degree_per_layer": {str(k): v for k, v in (stats.avg_degree_per_layer or {}).items()}}
+            stats = self.db.graph_stats(name)
+            row |= {"entry_point_layer": stats["entry_point_layer"] if stats["entry_point_layer"] is not None else -1, "avg_degree_per_layer": stats["avg_degree_per_layer"]}
         return 200, row
 
     def rebuild(self, name: str) -> Answer:
         self.db.rebuild_index(name)
-        return 200, {"status": "rebuilt"}
+        return 200, {"status": "success"}
 
 
 def server(db: VectorDB, port: int = 8080, host: str = "127.0.0.1") -> ThreadingHTTPServer:

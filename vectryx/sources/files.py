@@ -35,14 +35,25 @@ class Files:
             stream.close()
 
     def write(self, name: str, value: Any) -> None:
-        """Written beside, then renamed over, so that a reader finds the old value or the new one."""
-        beside = self._path(name + ".new")
-        self.fs.mkdirs(self._path(name).getParent())
+        """A new file: written beside, then renamed, so that it is there whole or not at all. One that is there is an error."""
+        beside, at = self._path(name + ".new"), self._path(name)
+        self.fs.mkdirs(at.getParent())
         stream = self.fs.create(beside, True)
         try:
             stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             stream.close()
-        self.fs.delete(self._path(name), False)
-        if not self.fs.rename(beside, self._path(name)):
-            raise OSError(f"can't replace {name}")
+        if self.fs.exists(at) or not self.fs.rename(beside, at):
+            raise OSError(f"can't write {name}")
+
+    def numbered(self, folder: str) -> list[int]:
+        """The numbers of the files that write_next() has written."""
+        return [int(n.partition(".")[0]) for n in self.names(folder) if n.endswith(".json")]
+
+    def latest(self, folder: str) -> Any | None:
+        found = self.numbered(folder)
+        return self.read(f"{folder}/{found[-1]:012d}.json") if found else None
+
+    def write_next(self, folder: str, value: Any) -> None:
+        """The next value of what latest() reads. No file is replaced or removed, so whoever dies here leaves the value before."""
+        self.write(f"{folder}/{max([0, *self.numbered(folder)]) + 1:012d}.json", value)

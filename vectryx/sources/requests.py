@@ -44,11 +44,13 @@ def item(body: Any) -> Item:
 def search_request(body: Any) -> SearchRequest:
     if not isinstance(body, dict):
         raise InvalidRequest("a request is an object")
-    known = {k: body[k] for k in ("vector", "text_query", "top_k", "filter", "include_vector") if body.get(k) is not None}
+    known = {k: body[k] for k in ("vector", "text_query", "top_k", "filter", "include_vector", "probes") if body.get(k) is not None}
     if "filter" in known and not isinstance(known["filter"], dict):
         raise InvalidRequest("a filter is an object")
     if not isinstance(known.get("top_k", 0), int):
         raise InvalidRequest("top_k is a whole number")
+    if not isinstance(known.get("probes", 1), int) or known.get("probes", 1) < 1:
+        raise InvalidRequest("probes is a whole number above 0")
     return SearchRequest(**known)
 
 

@@ -30,7 +30,7 @@ def apply(db: VectorDB, name: str, stream: DataFrame, checkpoint: str, feed: str
         if "pos" not in rows.columns:
             rows = rows.withColumn("pos", F.monotonically_increasing_id())
         store.checked(rows.where(F.col("op") == "insert"))
-        store.append(rows.select("pos", "op", "id", "vector", "metadata"), key=f"{feed}-{number}")
+        store.append(rows.select("pos", "op", "id", "vector", "metadata"), key=f"{feed}-{number}", n_shards=db.shards)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
