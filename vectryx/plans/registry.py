@@ -6,17 +6,21 @@ operation log (the user is the id, `error` deletes, anything else inserts).
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import as_vector, cosine, euclidean, negative_dot, norm
 from ..functions.filters import matches, parsed
 from ..functions.text import query_terms, section, tokens
 from ..operators import ann, diagnostics, graph, hybrid, keywords, knn, rag, shards
-from ..schema import Metric
+from ..schema import Metric, M
 from ..sources import catalog, codec, oplog, requests
+from ..sources.files import Files
+from ..sources.lineage import cut, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,6 +190,17 @@ bm AS (SELECT id, round(sum(ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::D
   FROM hits JOIN df USING (term), st GROUP BY id)"""
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the keyword index of all documents, written when it is first asked for; other files have another folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    summary = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    name = hashlib.sha256(f"{summary.getPath()} {summary.getModificationTime()} {summary.getLen()}".encode()).hexdigest()[:24]
+    folder = f"{shared_folder(spark)}/keywords-{name}"
+    if not Files(spark, folder).exists("stats/_SUCCESS"):
+        keywords.store(texts(spark, sf_dir), folder)
+    return folder
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
 
@@ -197,9 +212,8 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {_bm25_cte()} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT {K}")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from postings, as a stored keyword index answers."""
-    docs = texts(spark, sf_dir)
-    return keywords.search_postings(keywords.postings(docs), keywords.lengths(docs), TEXT_QUERY, K)
+    """The same by the stored keyword index."""
+    return keywords.search_stored(spark, stored_index(spark, sf_dir), TEXT_QUERY, K)
 
 
 @registered(f"WITH {_bm25_cte()}, top AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT {K}) SELECT top.id, score FROM top JOIN documents d ON top.id = d.doc_id WHERE d.lang = 'en'")
@@ -225,9 +239,8 @@ def _hybrid(spark: SparkSession, sf_dir: str, lang: str | None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     rows = items(spark, sf_dir).join(docs.select("id", "lang"), "id")
     where = F.col("lang") == lang if lang else None
-    near = knn.knn(rows, query_vector(spark, sf_dir), 2 * K, Metric.COSINE, where)
-    text = hybrid.post_filtered(keywords.bm25(docs, TEXT_QUERY, 2 * K), docs, where)
-    return hybrid.fuse(near, text.select("id", "score"), K)
+    text = hybrid.post_filtered(keywords.search_stored(spark, stored_index(spark, sf_dir), TEXT_QUERY, 2 * K), docs, where)
+    return hybrid.search(rows, query_vector(spark, sf_dir), text, K, Metric.COSINE, where)
 
 
 @registered(_hybrid_sql("", ""))
@@ -292,13 +305,14 @@ def strict_insert_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT e.vec_id AS id, l.quality, CAST(len(e.embedding) AS INTEGER) AS n FROM embeddings e LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON e.vec_id = l.doc_id WHERE e.vec_id IN (SELECT doc_id FROM documents)")
 def payload_multiget(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    meta = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    return items(spark, sf_dir).join(ids, "id", "left_semi").join(meta, "id", "left").select("id", "quality", F.size("vector").alias("n"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("metadata"))
+    found = knn.payloads(ids, items(spark, sf_dir).join(labels, "id", "left"), include_vector=True)
+    return found.select("id", F.col("metadata").alias("quality"), F.size("vector").alias("n"))
 
 
 @registered("SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi").select("id")
+    return knn.present(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), items(spark, sf_dir))
 
 
 @registered("SELECT CAST(coalesce(epoch(max(ts))::BIGINT, 0) AS BIGINT) AS max_created_at FROM (SELECT date_trunc('second', ts) AS ts FROM events)")
@@ -358,11 +372,20 @@ def health_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.merged_health(by_shard)
 
 
-@registered()
+@registered(f"""
+WITH lv AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS v, CAST(floor(-ln(greatest(1e-6::DOUBLE, CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496::DOUBLE)) * {1 / math.log(M)!r}::DOUBLE) AS INTEGER) AS top FROM embeddings),
+layers AS (SELECT CAST(unnest(generate_series(0, (SELECT max(top) FROM lv))) AS INTEGER) AS layer),
+d AS (SELECT layer, a.id, b.id AS n, round(1 - list_cosine_similarity(b.v, a.v), 6) AS distance FROM layers, lv a, lv b WHERE a.top >= layer AND b.top >= layer AND a.id <> b.id),
+one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY layer, id ORDER BY distance, n) <= CASE WHEN layer = 0 THEN {2 * M} ELSE {M} END),
+mutual AS (SELECT layer, id, n, distance FROM one UNION SELECT layer, n, id, distance FROM one),
+kept AS (SELECT layer, id, n FROM mutual QUALIFY row_number() OVER (PARTITION BY layer, id ORDER BY distance, n) <= CASE WHEN layer = 0 THEN {2 * M} ELSE {M} END),
+degrees AS (SELECT layer, lv.id, count(kept.n) AS degree FROM layers JOIN lv ON top >= layer LEFT JOIN kept USING (layer, id) GROUP BY layer, lv.id)
+SELECT (SELECT max(top) FROM lv) AS entry_point_layer, layer, round(avg(degree), 9) AS degree FROM degrees GROUP BY layer""")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees of the layered neighbour graph; levels come from hashes, which SQL has no function for."""
+    """Degrees of the layered neighbour graph."""
     rows = items(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector")
-    return graph.stats(graph.build(rows)).select("entry_point_layer", F.explode("avg_degree_per_layer").alias("layer", "degree"))
+    found = graph.stats(graph.build(rows)).select("entry_point_layer", F.explode("avg_degree_per_layer").alias("layer", "degree"))
+    return found.withColumn("degree", F.round("degree", 9))
 
 
 @registered(f"""
@@ -373,13 +396,14 @@ kept AS (SELECT id, n FROM mutual QUALIFY row_number() OVER (PARTITION BY id ORD
 SELECT id, CAST(count(*) AS BIGINT) AS degree FROM kept GROUP BY id""")
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One layer of the graph: the four nearest, made mutual, cut to four again."""
-    rows = items(spark, sf_dir)
-    near = knn.knn_batch(rows, rows.select(F.col("id").alias("qid"), "vector"), 5).where(F.col("qid") != F.col("id"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("r") <= 4)
-    one = near.select(F.col("qid").alias("id"), F.col("id").alias("n"), "distance")
-    both = one.union(one.select(F.col("n").alias("id"), F.col("id").alias("n"), "distance")).distinct()
-    kept = both.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "n"))).where(F.col("rank") <= 4)
-    return kept.groupBy("id").agg(F.count("*").alias("degree"))
+    return graph.neighbours(items(spark, sf_dir).select("id", "vector"), 4, Metric.COSINE).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+@registered()
+def graph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries (all vectors of label 0) by walking the layered graph of all rows."""
+    rows = items(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "vector", "label")
+    return graph.walk(cut(graph.build(rows)), rows, rows.where("label = 0").select(F.col("id").alias("qid"), "vector"), K)
 
 
 @registered()
@@ -393,8 +417,9 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""
-WITH t AS (SELECT b.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), e.vec_id) AS r FROM embeddings e, embeddings b WHERE b.label = 0)
-SELECT 0.5::DOUBLE AS mean_recall, 0.5::DOUBLE AS min_recall FROM t LIMIT 1""")
+WITH t AS (SELECT b.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), e.vec_id) AS r FROM embeddings e, embeddings b WHERE b.label = 0),
+hits AS (SELECT truth.qid, count(found.id) / {K}.0::DOUBLE AS recall FROM t truth LEFT JOIN (SELECT * FROM t WHERE r <= {K // 2}) found USING (qid, id) WHERE truth.r <= {K} GROUP BY truth.qid)
+SELECT avg(recall) AS mean_recall, min(recall) AS min_recall FROM hits""")
 def recall_of_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measure itself: a search that returns the first half of the true neighbours has recall one half."""
     rows = items(spark, sf_dir)
