@@ -46,6 +46,16 @@ def test_cells(spark, vectors):
     assert {r.id for r in rare.collect()} == {"w0", "w1"}
 
 
+def test_many_queries_meet_rows_by_cell(spark, vectors, monkeypatch):
+    cells = ann.fit(vectors, 5, Metric.EUCLIDEAN)
+    assigned, queries = ann.assign(vectors, cells).cache(), vectors.selectExpr("id AS qid", "vector")
+    few = ann.search_batch(assigned, cells, queries, 6, probes=3)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
+    many = ann.search_batch(assigned, cells, queries, 6, probes=3, most_sent=10)
+    assert "CoGroup" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_graph(spark, vectors):
     built = graph.build(vectors, Metric.EUCLIDEAN, m=4).cache()
     assert built.where("layer = 0").count() == vectors.count()

@@ -153,7 +153,7 @@ class CollectionStore:
             self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted.centroids)], "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(self._at(f"cells/v{version}"))
             rows, by = ann.assign(rows, fitted), [*by, "cell"]
         if by:
-            rows = rows.repartition(*by)
+            rows = rows.hint("rebalance", *by)  # a cell or shard that holds much is more than one task's
         rows.write.mode("overwrite").partitionBy(*by).parquet(self._at(f"base/v{version}"))
         written = self.spark.read.schema(BASE).parquet(self._at(f"base/v{version}"))
         if self.info.text_field:
