@@ -566,6 +566,17 @@ def test_payloads_round_trip():
         webp.decode(b"RIFFxxxxJUNK")
 
 
+def test_many_small_and_one_long(monkeypatch):
+    rng = random.Random(6)
+    tiny = [webp.padded(bytes(rng.choices(range(33, 120), k=rng.randint(0, 190)))) for _ in range(3000)]
+    long = webp.padded(" ".join(f"w{rng.randrange(5000)}" for _ in range(60_000)).encode())
+    every = [*tiny[:1500], long, *tiny[1500:]]
+    media = webp.encode_all(every)
+    assert all(webp.samples(x).tobytes() == p for p, x in zip(every, webp.decode_all(media)))
+    monkeypatch.setattr(webp, "GROUP", 50_000)
+    assert webp.encode_all(every) == media and all(webp.samples(x).tobytes() == p for p, x in zip(every, webp.decode_all(media)))
+
+
 def test_transforms_are_undone():
     for seed in range(6):
         g = np.random.default_rng(seed)

@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from test_groups import clamped, exact_runs, jaccard_groups
+from test_maps import WORD, base
 from vectryx.llm import minhash, mixing, pieces, quality, substring
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +55,39 @@ def test_decisions(stages):
     assert all(list(r.ids) == codec.library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in out.collect())
 
 
+def test_stages_by_brute_force(stages):
+    """What stays, on what the stage before kept, without the operators: base rules, all pairs of sets, equal runs, water-filling, the library."""
+    docs, out = stages["quality_rules"]
+    kept = ids(out)
+    for r in docs.collect():
+        n, *_, repeat = base(r.text or "")
+        assert not (kept[r.doc_id] and (n < 50 or 100 * repeat > 50 * n))
+    docs, out = stages["near_duplicates"]
+    groups = jaccard_groups({r.doc_id: r.text for r in docs.collect()}, 5, 80)
+    assert ids(out) == Counter(i for i, (_, component) in groups.items() if i == component)
+    docs, out = stages["repeated_passages"]
+    before, after = ({r.doc_id: r.text.split() for r in x.collect()} for x in (docs, out))
+    longest = exact_runs({i: " ".join(w) for i, w in before.items()})
+    for i, w in before.items():
+        left = after.get(i, [])
+        assert left == w or len(left) <= len(w) - 50  # a passage has 50 words at least
+        if longest[i] >= 50:
+            assert len(left) <= len(w) - longest[i]
+        it = iter(w)
+        assert all(x in it for x in left)  # nothing was put in or moved
+    assert max((n for i, n in exact_runs({i: " ".join(w) for i, w in after.items()}).items()), default=0) < 50
+    docs, out = stages["source_mix"]
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(WORD.findall(r.text))
+    order = sorted(sizes, key=lambda x: (x is None, x))
+    targets = dict(zip(order, clamped([sizes[x] for x in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2.0)))
+    taken, most = Counter(), max(len(WORD.findall(r.text)) for r in docs.collect())
+    for r in out.collect():
+        taken[r.source] += len(WORD.findall(r.text))
+    assert all(abs(taken[x] - t) <= most / 2 + 1 for x, t in targets.items()) and max(ids(out).values()) <= 2
+
+
 def test_run_and_restart(spark, stages, tmp_path):
     want = ids(stages["encoded"][1])
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF, str(tmp_path / "a")).collect()) == want

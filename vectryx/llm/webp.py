@@ -17,9 +17,10 @@ import hashlib
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ WIDTH, PIXELS, MOST_ROWS = 192, 64, 32
 #: Code lengths: the format's limit is 15, and 7 for the code of the lengths; shorter ones keep the reader's tables small.
 MOST_BITS, MOST_LENGTH_BITS = 12, 7
 LEAST_MATCH = 3
+#: So many bytes of samples are written or read side by side, which bounds memory whatever a batch holds.
+GROUP = 4 << 20
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 
 
@@ -64,6 +67,12 @@ class Bits:
         return int.from_bytes(self.data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7) & ((1 << n) - 1)
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """A stable order, by sorting keys with their places; both together have 63 bits."""
+    n = len(key).bit_length()
+    return np.sort(key << n | np.arange(len(key))) & ((1 << n) - 1)
+
+
 @lru_cache
 def _reversed(n: int) -> np.ndarray:
     """The numbers below 2**n with their n bits in reverse."""
@@ -73,13 +82,13 @@ def _reversed(n: int) -> np.ndarray:
     return x
 
 
-def code_tables(lengths: list[list[int]]) -> list[np.ndarray]:
+def code_tables(lengths: list[bytearray]) -> list[np.ndarray]:
     """Of each code, given as lengths by symbol, its table: of the next bits (as many as its longest word has), length << 16 | symbol.
 
     Codes are canonical. A lone symbol takes no bits, so its table has one entry; no symbol at all is like a lone 0.
     """
     sizes = np.array([len(x) for x in lengths])
-    flat = np.fromiter((n for x in lengths for n in x), np.int64, int(sizes.sum()))
+    flat = np.frombuffer(b"".join(lengths), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(lengths)), sizes)
     symbol = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     used = np.flatnonzero(flat)
@@ -118,9 +127,9 @@ def _small_table(lengths: list[int]) -> tuple[list[int], int]:
     return [table[at] for at in _reversed(most).tolist()], most
 
 
-def _read_code(bits: Bits, size: int) -> list[int]:
+def _read_code(bits: Bits, size: int) -> bytearray:
     """Lengths by symbol of the next prefix code."""
-    lengths = [0] * size
+    lengths = bytearray(size)
     if bits.take(1):
         count = bits.take(1) + 1
         first = bits.take(8 if bits.take(1) else 1)
@@ -153,7 +162,7 @@ def _read_code(bits: Bits, size: int) -> list[int]:
         if at + repeat > size:
             raise ValueError("code lengths run over")
         if s == 16:
-            lengths[at : at + repeat] = [previous] * repeat
+            lengths[at : at + repeat] = bytes([previous]) * repeat
         at += repeat
     bits.at = p
     return lengths
@@ -179,7 +188,7 @@ class Image:
     width: int
     height: int
     cache_bits: int
-    groups: list[list[list[int]]]
+    groups: list[list[bytearray]]
     tiles: np.ndarray | None = None
     tile_bits: int = 0
     undo: list[tuple] = field(default_factory=list)
@@ -279,98 +288,104 @@ LITERAL, COPY, CACHED = 1, 2, 3
 def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each pixel of all images how it is made (LITERAL, COPY, CACHED) and from what (ARGB, distance back, place in the cache).
 
-    Side by side: in each step one symbol of every image that isn't read to its end.
+    Side by side: in each step one symbol of every image that isn't read to its end. Whatever it is, a literal is read; that is
+    put right for the few that are none.
     """
     totals = np.array([m.width * m.height for m in images], np.int64)
-    kind, value = np.zeros(int(totals.sum()), np.uint8), np.zeros(int(totals.sum()), np.uint32)
+    everything = int(totals.sum())
+    # one place more, for images that are over and wait to be taken out
+    kind, value = np.zeros(everything + 1, np.uint8), np.zeros(everything + 1, np.uint32)
     buffer = np.frombuffer(b"".join(m.bits.data for m in images) + bytes(16), np.uint8)
-    words = np.ndarray((len(buffer) - 7,), "<u8", buffer.data, strides=(1,))  # eight bytes from each byte on
+    words = np.ndarray((len(buffer) - 7,), "<i8", buffer.data, strides=(1,))  # eight bytes from each byte on; 57 bits at least are used
     sizes = np.array([len(m.bits.data) for m in images], np.int64)
-    pos = 8 * (np.cumsum(sizes) - sizes) + np.array([m.bits.at for m in images], np.int64)
+    p = 8 * (np.cumsum(sizes) - sizes) + np.array([m.bits.at for m in images], np.int64)
     tables = code_tables([c for m in images for g in m.groups for c in g])
     entries = np.array([len(t) for t in tables], np.int64)
-    table = np.concatenate(tables)
-    starts, masks = (np.cumsum(entries) - entries).reshape(-1, 5), (entries - 1).reshape(-1, 5)
+    table = np.concatenate(tables).astype(np.int64)
+    starts, masks = np.ascontiguousarray((np.cumsum(entries) - entries).reshape(-1, 5).T), np.ascontiguousarray((entries - 1).reshape(-1, 5).T)
     n_groups = np.array([len(m.groups) for m in images])
-    first_group = np.cumsum(n_groups) - n_groups
-    group = first_group
+    group = np.cumsum(n_groups) - n_groups
     tiled = np.array([m.tiles is not None for m in images])
-    backs = {m.width: np.array([_back(c, m.width) for c in range(1, 121)], np.int64) for m in images}
+    backs = {m.width: np.array([_back(c, m.width) for c in range(1, 121)], np.int64) for m in {m.width: m for m in images}.values()}
     width_at = {w: i for i, w in enumerate(backs)}
     near, wide = np.stack(list(backs.values())), np.array([width_at[m.width] for m in images])
-    wordy = bool((masks[:, 3] > 0).any())
+    wordy = bool((masks[3] > 0).any())
     lane, read_to = np.arange(len(images)), 8 * np.cumsum(sizes)
     copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def symbol(w: np.ndarray, which: int, of: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-        t = table[own_starts[which][of] + (w.astype(np.int64) & own_masks[which][of])]
-        return t & 0xFFFF, t >> 16
-
-    def window(p: np.ndarray) -> np.ndarray:
-        if (p >> 3 >= len(words)).any():
-            raise ValueError("the stream ends early")
-        return words[p >> 3] >> (p & 7).astype(np.uint64)
-
-    def extra(p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def extra(at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.where(s < 4, 0, (s - 2) >> 1)
-        more = window(p).astype(np.int64) & ((1 << n) - 1)
-        return np.where(s < 4, s + 1, ((2 + (s & 1)) << n) + more + 1), p + n
-
-    starts, masks = np.ascontiguousarray(starts.T), np.ascontiguousarray(masks.T)
-    own_starts, own_masks, p, here, end = starts[:, group], masks[:, group], pos, base.copy(), base + totals
-    while len(lane):
-        if tiled.any():
-            g = group[lane]
-            for i in np.flatnonzero(tiled[lane]):
-                m, q = images[lane[i]], int(here[i] - base[lane[i]])
-                g[i] += m.tiles[((q // m.width) >> m.tile_bits) * _div(m.width, m.tile_bits) + ((q % m.width) >> m.tile_bits)]
-            own_starts, own_masks = starts[:, g], masks[:, g]
-        w = window(p)
-        s, n = symbol(w, 0)
-        used, moved = n.astype(np.int64), np.ones(len(lane), np.int64)
-        plain = s < 256
-        if plain.all():
-            pick = slice(None)
-        else:
-            pick = np.flatnonzero(plain)
-        wl = w[pick] >> n[pick].astype(np.uint64)
-        r, nr = symbol(wl, 1, pick)
-        b, nb = symbol(wl >> nr.astype(np.uint64), 2, pick)
-        bits = used[pick] + nr + nb
-        if wordy:
-            a, na = symbol(window(p[pick] + bits), 3, pick)
-            bits = bits + na
-        else:
-            a = table[own_starts[3][pick]]
-        used[pick] = bits
-        kind[here[pick]] = LITERAL
-        value[here[pick]] = a.astype(np.uint32) << 24 | (r << 16 | s[pick] << 8 | b).astype(np.uint32)
-        if not plain.all():
-            back = np.flatnonzero((s >= 256) & (s < 280))
-            if len(back):
-                length, q = extra(p[back] + n[back], s[back].astype(np.int64) - 256)
-                ds, dn = symbol(window(q), 4, back)
-                code, q = extra(q + dn, ds.astype(np.int64))
-                distance = np.where(code > 120, code - 120, near[wide[lane[back]], np.minimum(code, 120) - 1])
-                if (distance > here[back] - base[lane[back]]).any() or (here[back] + length > end[back]).any():
-                    raise ValueError("a back-reference leaves the image")
-                used[back], moved[back] = q - p[back], length
-                copies.append((here[back], length, distance))
-            cached = np.flatnonzero(s >= 280)
-            kind[here[cached]] = CACHED
-            value[here[cached]] = s[cached] - 280
-        p, here = p + used, here + moved
-        going = here < end
-        if not going.all():
-            over = lane[~going]
-            if (p[~going] > read_to[over]).any():
-                raise ValueError("the stream ends early")
-            lane, p, here, end = lane[going], p[going], here[going], end[going]
-            own_starts, own_masks = own_starts[:, going], own_masks[:, going]
+        more = words[at >> 3] >> (at & 7) & ((1 << n) - 1)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << n) + more + 1), at + n
+
+    def read() -> None:
+        nonlocal p, lane
+        at, mask, here, end, own_base = starts[:, group], masks[:, group], base.copy(), base + totals, base
+        moves, over = np.ones(len(lane), np.int64), 0
+        while True:
+            if tiled.any():
+                g = group[lane]
+                for i in np.flatnonzero(tiled[lane] & (moves > 0)):
+                    m, q = images[lane[i]], int(here[i] - own_base[i])
+                    g[i] += m.tiles[((q // m.width) >> m.tile_bits) * _div(m.width, m.tile_bits) + ((q % m.width) >> m.tile_bits)]
+                at, mask = starts[:, g], masks[:, g]
+            w = words[p >> 3] >> (p & 7)
+            t = table[at[0] + (w & mask[0])]
+            n, s = t >> 16, t & 0xFFFF
+            w >>= n
+            red = table[at[1] + (w & mask[1])]
+            w >>= red >> 16
+            blue = table[at[2] + (w & mask[2])]
+            to = p + n + (red >> 16) + (blue >> 16)
+            if wordy:
+                alpha = table[at[3] + (words[to >> 3] >> (to & 7) & mask[3])]
+                to += alpha >> 16
+            else:
+                alpha = table[at[3]]
+            kind[here] = LITERAL
+            value[here] = (alpha & 0xFF) << 24 | (red & 0xFF) << 16 | (s & 0xFF) << 8 | blue & 0xFF
+            further = here + moves
+            other = np.flatnonzero(s >= 256)
+            if len(other):
+                so = s[other]
+                cached = other[so >= 280]
+                kind[here[cached]], value[here[cached]] = CACHED, s[cached] - 280
+                to[cached] = p[cached] + n[cached]
+                back = other[so < 280]
+                if len(back):
+                    length, q = extra(p[back] + n[back], s[back] - 256)
+                    d = table[at[4][back] + (words[q >> 3] >> (q & 7) & mask[4][back])]
+                    code, q = extra(q + (d >> 16), d & 0xFFFF)
+                    distance = np.where(code > 120, code - 120, near[wide[lane[back]], np.minimum(code, 120) - 1])
+                    own = moves[back] > 0
+                    if ((distance > here[back] - own_base[back]) & own).any() or ((here[back] + length > end[back]) & own).any():
+                        raise ValueError("a back-reference leaves the image")
+                    to[back] = q
+                    further[back] += (length - 1) * own
+                    copies.append((here[back][own], length[own], distance[own]))
+            p, here = to * moves, further
+            ended = np.flatnonzero(here >= end)
+            if len(ended):
+                if (p[ended] > read_to[lane[ended]]).any():
+                    raise ValueError("the stream ends early")
+                here[ended], end[ended], moves[ended], p[ended] = everything, everything + 1, 0, 0
+                over += len(ended)
+                if 8 * over > len(lane):
+                    going = moves > 0
+                    lane, p, here, end, moves, own_base = lane[going], p[going], here[going], end[going], moves[going], own_base[going]
+                    at, mask, over = at[:, going], mask[:, going], 0
+                    if not len(lane):
+                        return
+
+    try:
+        read()
+    except IndexError as e:
+        raise ValueError("the stream ends early") from e
+    kind, value = kind[:-1], value[:-1]
     if copies:
         start, length, distance = (np.concatenate(c) for c in zip(*copies))
         places = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        kind[places], value[places] = COPY, np.repeat(distance, length).astype(np.uint32)
+        kind[places], value[places] = COPY, np.repeat(distance, length)
     return kind, value
 
 
@@ -400,11 +415,12 @@ def _fill_pixels(images: list[Image], kind: np.ndarray, value: np.ndarray) -> np
         place[copied] = place[_followed(source.copy(), copied)]
         some = np.flatnonzero(bits > 0)
         slot = (image[some] << 11) | place[some]
-        order = some[np.argsort(slot, kind="stable")]
+        by_slot = _order(slot)
+        order, slot = some[by_slot], slot[by_slot]
         before = np.empty(len(value), np.int64)
         before[order[1:]] = order[:-1]
         same = np.zeros(len(value), bool)
-        same[order[1:]] = np.diff(np.sort(slot, kind="stable")) == 0
+        same[order[1:]] = slot[1:] == slot[:-1]
         empty = cached[~same[cached]]  # nothing was there: transparent black
         source[cached] = before[cached]
         source[empty], value[empty] = empty, 0
@@ -415,9 +431,10 @@ def _fill_pixels(images: list[Image], kind: np.ndarray, value: np.ndarray) -> np
 
 def decode_streams(chunks: list[bytes]) -> list[np.ndarray]:
     """ARGB (height * width, uint32) of the data of each VP8L chunk."""
-    images = [read_head(c) for c in chunks]
-    if not images:
-        return []
+    return [x for part in _grouped([read_head(c) for c in chunks], lambda m: 3 * m.width * m.height) for x in _decode_images(part)]
+
+
+def _decode_images(images: list[Image]) -> list[np.ndarray]:
     totals = np.array([m.width * m.height for m in images], np.int64)
     base = np.cumsum(totals) - totals
     pixels = _fill_pixels(images, *_read_symbols(images, base))
@@ -604,9 +621,10 @@ def _merged_lengths(counts: np.ndarray) -> np.ndarray:
     counts, used = counts[down], used[down]
     n_rows, k = len(counts), int(used[0])
     never = np.int64(1) << 60
-    symbols = np.argsort(np.where(counts > 0, counts, never), axis=1, kind="stable")[:, :k]
+    ordered = np.sort(np.where(counts > 0, counts, never >> 12) << 10 | np.arange(counts.shape[1]), axis=1)[:, :k]
+    symbols = ordered & 1023
     leaves = np.full((n_rows, k + 1), never)
-    leaves[:, :k] = np.take_along_axis(np.where(counts > 0, counts, never), symbols, 1)
+    leaves[:, :k] = np.where(np.arange(k)[None, :] < used[:, None], ordered >> 10, never)
     pairs = np.full((n_rows, k + 1), never)
     leaf_parent, pair_parent = np.zeros((n_rows, k), np.int64), np.zeros((n_rows, k), np.int64)
     leaf, pair, lanes = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.arange(n_rows)
@@ -641,8 +659,9 @@ def _merged_lengths(counts: np.ndarray) -> np.ndarray:
 def code_words(lengths: np.ndarray) -> np.ndarray:
     """Canonical code words of each row of lengths, first bit lowest."""
     n_rows, n = lengths.shape
-    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
-    own = np.take_along_axis(lengths, order, 1).astype(np.int64)
+    ordered = np.sort(np.where(lengths > 0, lengths, 99).astype(np.int32) << 10 | np.arange(n, dtype=np.int32), axis=1)
+    order, own = ordered & 1023, ordered >> 10
+    own = np.where(own < 99, own, 0).astype(np.int64)
     steps = np.where(own > 0, np.int64(1) << (15 - np.minimum(own, 15)), 0)
     high = np.cumsum(steps, 1) - steps  # the word, its first bit the 15th
     low = _reversed(15)[np.minimum(high, (1 << 15) - 1)]
@@ -704,7 +723,7 @@ def _codes_written(lengths: np.ndarray, sizes: np.ndarray) -> Symbols:
         parts += [(normal, (count - 4) << 1, np.full(len(normal), 5)), (normal, named, 3 * count), (normal, np.zeros(len(normal), np.int64), np.ones(len(normal), np.int64))]
         parts.append((normal[row], np.where(at > 0, words[row, symbol], 0) | extra << at, at + more))
     of, value, size = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(of, kind="stable")
+    order = _order(of)
     return of[order], value[order], size[order]
 
 
@@ -729,7 +748,7 @@ def _small_written(images: list[np.ndarray]) -> Symbols:
 def _in_order(*parts: Symbols) -> Symbols:
     """Parts one after another, for each that they are of."""
     of, value, size = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(of, kind="stable")
+    order = _order(of)
     return of[order], value[order], size[order]
 
 
@@ -812,7 +831,12 @@ def _planned(argb: np.ndarray, image: np.ndarray, starts: np.ndarray, sizes: np.
         c = _channels(left_over).reshape(-1, 4)
         costs[SPATIAL, i] = _entropy(np.zeros(len(c), np.int64), 1, [c[:, k].astype(np.int64) for k in range(3)])[0] + 8 * (modes.size + cross.size) + 200
     colour = image << 24 | (argb & np.uint32(0xFFFFFF)).astype(np.int64)
-    kinds, index, counts = np.unique(colour, return_inverse=True, return_counts=True)
+    order = _order(colour)
+    colour = colour[order]
+    new = np.r_[True, colour[1:] != colour[:-1]]
+    first = np.flatnonzero(new)
+    kinds, counts, index = colour[first], np.diff(np.r_[first, len(colour)]), np.empty(len(colour), np.int64)
+    index[order] = np.cumsum(new) - 1
     owner = kinds >> 24
     n_kinds = np.bincount(owner, minlength=n)
     few = n_kinds <= 256
@@ -884,10 +908,12 @@ def _matches(pixels: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[n
     if n <= 0:
         return none, none, none
     x = pixels.astype(np.uint64)
-    key = x[:n] * np.uint64(0x9E3779B97F4A7C15) + image[:n].astype(np.uint64)
+    key = x[:n] * np.uint64(0x9E3779B97F4A7C15)
     for i in range(1, LEAST_MATCH):
         key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + x[i : i + n]
-    order = np.argsort(key, kind="stable")
+    # 26 bits of an image's hashes are enough, as they are checked; in it the outcome is the same whatever is beside
+    key = image[:n] << 26 | (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(38)).astype(np.int64)
+    order = _order(key)
     same = key[order[1:]] == key[order[:-1]]
     back = np.zeros(n, np.int64)
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
@@ -907,7 +933,7 @@ def _matches(pixels: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[n
 def _cache_hits(pixels: np.ndarray, image: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each pixel's place in its image's cache, and whether its colour is there when it is reached."""
     place = (pixels * np.uint32(_HASH) >> (32 - bits[image]).astype(np.uint32)).astype(np.int64)
-    order = np.argsort(image << 11 | place, kind="stable")
+    order = _order(image << 11 | place)
     a, b = order[1:], order[:-1]
     hit = np.zeros(len(pixels), bool)
     hit[a] = (image[a] == image[b]) & (place[a] == place[b]) & (pixels[a] == pixels[b])
@@ -1001,6 +1027,19 @@ def _packed(n: int, of: np.ndarray, value: np.ndarray, size: np.ndarray) -> list
     return [data[8 * s : 8 * s + ((n + 7) >> 3)] for s, n in zip(start.tolist(), total.tolist())]
 
 
+def _grouped(items: list, size: Callable[[Any], int]) -> Iterator[list]:
+    """items in runs of up to GROUP, or of one."""
+    part, total = [], 0
+    for x in items:
+        if part and total + size(x) > GROUP:
+            yield part
+            part, total = [], 0
+        part.append(x)
+        total += size(x)
+    if part:
+        yield part
+
+
 def encode_all(payloads: list[bytes]) -> list[bytes]:
     """WebP of payloads whose lengths are positive multiples of WIDTH: of each one file for every MOST_ROWS rows."""
     step = MOST_ROWS * WIDTH
@@ -1008,7 +1047,7 @@ def encode_all(payloads: list[bytes]) -> list[bytes]:
         if not p or len(p) % WIDTH:
             raise ValueError(f"not a positive multiple of {WIDTH} bytes")
     chunks = [[p[i : i + step] for i in range(0, len(p), step)] for p in payloads]
-    streams = iter(_encode_images([c for own in chunks for c in own]) if payloads else ())
+    streams = (x for part in _grouped([c for own in chunks for c in own], len) for x in _encode_images(part))
     return [b"".join(_file(next(streams)) for _ in own) for own in chunks]
 
 
@@ -1032,7 +1071,7 @@ def traits(media: bytes) -> Counter:
     totals = np.array([m.width * m.height for m in images], np.int64)
     kind, _ = _read_symbols(images, np.cumsum(totals) - totals)
     out = Counter(("predictor", "cross-colour", "subtract green", "palette")[u[0]] for m in images for u in m.undo)
-    out.update({"cache": sum(m.cache_bits > 0 for m in images), "prefix codes": sum(sum(map(bool, c)) > 1 for m in images for g in m.groups for c in g)})
+    out.update({"cache": sum(m.cache_bits > 0 for m in images), "prefix codes": sum(len(c) - c.count(0) > 1 for m in images for g in m.groups for c in g)})
     out.update({name: int((kind == k).sum()) for k, name in ((LITERAL, "literals"), (COPY, "copied"), (CACHED, "cached"))})
     return +out
 
