@@ -185,6 +185,55 @@ def test_near_duplicates_with_a_void_row_of_the_same_id(make):
     assert found == {10 * i + j: 10 * i for i in range(8) for j in (0, 1)}
 
 
+@pytest.mark.parametrize("tiles", [False, True])
+def test_linked_labels_by_brute_force(tiles):
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        bases = [rng.integers(0, 1 << 60, 40).astype(np.uint64) for _ in range(2)]
+        sets = []
+        for _ in range(30):
+            s = bases[rng.integers(0, 2)].copy()
+            s[rng.integers(0, 40, rng.integers(0, 9))] = rng.integers(0, 30)
+            sets.append(np.unique(s))
+        labels, second = rng.integers(0, 12, 30), (rng.integers(0, 2, 30) == 1) & tiles
+        want = set()
+        for i in range(30):
+            for j in range(i):
+                if labels[i] != labels[j] and (second[i] != second[j] or not second.any()) and minhash.linked(sets[i], sets[j], 80):
+                    want.add((min(labels[i], labels[j]), max(labels[i], labels[j])))
+        assert {tuple(x) for x in minhash.linked_labels(sets, labels, second, 80)} == want
+
+
+def test_a_group_below_the_threshold_makes_no_pairs(spark, make):
+    """Texts from one template, each with its own changes: none links, and what is moved grows with the texts, not with their pairs."""
+    rng = random.Random(3)
+
+    def changed(doc, share):
+        return " ".join(f"c{doc}x{i}" if rng.random() < share else f"w{i}x" for i in range(150))
+
+    docs = [(i, changed(i, 0.04)) for i in range(120)]
+    docs += [(1000, docs[5][1] + " more"), (1001, docs[117][1] + " more")]
+    sets = {d: minhash.shingle_set(t.encode(), 3) for d, t in docs}
+    pairs = [(d, e) for d in sets for e in sets if d < e and minhash.linked(sets[d], sets[e], 85)]
+    assert (5, 1000) in pairs and (117, 1001) in pairs and len(pairs) < len(docs)
+    want = {d: d for d in sets}
+    for _ in docs:
+        for d, e in pairs:
+            want[d] = want[e] = min(want[d], want[e])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(make(docs), 3, 85).collect()} == want
+    known = minhash.sketches(make(docs), 3)
+    lists = minhash.prefix_lists(known.select(known.doc_id.alias("id"), "n", "sketch"), 85).cache()
+    none = spark.createDataFrame([], "id long, component long")
+    blocks = minhash.apart_blocks(lists, none)
+    members = blocks.select("p", "id").distinct().count()
+    assert blocks.count() == members < 10 * len(docs)
+    cut = minhash.apart_blocks(lists, none, rows=16)
+    assert cut.groupBy("p", "i", "j").count().where("count > 64").count() == 0
+    texts = make(docs).selectExpr("doc_id id", "text")
+    linked = {frozenset(r) for r in minhash.apart_links(blocks, texts, 3, 85).collect()}
+    assert linked == {frozenset(r) for r in minhash.apart_links(cut, texts, 3, 85).collect()}
+
+
 def test_least_shared_is_safe():
     rng = np.random.default_rng(0)
     for percent in (80, 85):

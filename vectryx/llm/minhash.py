@@ -7,8 +7,9 @@ rarest values, and all others are dropped. Text that many documents merely share
 no candidates.
 
 Within a list no pairs are enumerated at first: all members are held against one pivot, the most central one. Links that
-hold make components, and only members of one list that are in different components after that are paired. The estimate
-from the union's sketch drops pairs far below the threshold, and what is left is decided on the full sets.
+hold make components; the estimate from the union's sketch drops pairs far below the threshold, and what is left is
+decided on the full sets. Members of one list that are in different components after that are gathered in blocks by their
+pivot, and a block's full sets are counted against each other at once: no row is made for a pair.
 
 Scale: texts are read once for the sketches and shuffled once, for the exact check; everything else moves sketches or
 narrow rows. Counts are aggregated before the shuffle; joins on a hot value are split by AQE.
@@ -29,6 +30,8 @@ from .common import WORD, checkpointed, claim_memory, if_small, keyed, mixed, sh
 from .components import components
 
 K = 64
+#: A block of members holds two tiles of so many rows and values of their sets (but for one set that is larger), which bounds a worker's memory.
+BLOCK_ROWS, BLOCK_VALUES = 2048, 2_000_000
 
 
 def least_shared(k: int, percent: int, miss: float = 1e-6) -> int:
@@ -98,14 +101,100 @@ def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return joined.where((F.col("id") != F.col("b")) & _sizes_fit("n", "nb", percent)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
-def apart_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """(a, b) once: members of one list that are in different components, but for the pairs tried already."""
+def apart_blocks(lists: DataFrame, labels: DataFrame, rows: int = BLOCK_ROWS, values: int = BLOCK_VALUES) -> DataFrame:
+    """(p, i, j, second, id, label): the members of lists that are in different components, in blocks to be held against each other.
+
+    The lists of one pivot p make one group, without p, which all of them have been held against. A group of more than
+    `rows` members or `values` values is cut into tiles, and each two tiles i <= j make a block; `second` tells those of j.
+    """
     labeled = lists.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed_lists = labeled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi")).select("v")
-    left = labeled.join(mixed_lists, "v").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = left.select("v", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"))
-    pairs = left.join(right, "v").where((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent))
-    return pairs.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    best = labeled.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("least"))).alias("best"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    best = best.where(F.col("lo") < F.col("hi")).select("v", (-F.col("best.least")).alias("p"))
+    members = checkpointed(labeled.join(best, "v").where(F.col("id") != F.col("p")).select("p", "id", "label", "n").distinct())
+    tiles = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / values)).cast("int")
+    groups = members.groupBy("p").agg(tiles.alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") < F.col("hi"))
+    placed = members.join(groups.select("p", "tiles"), "p").withColumn("own", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return placed.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "id", "label")
+
+
+def linked_labels(sets: list[np.ndarray], labels: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """The pairs of different labels that sets link, one row each: a set of the second tile with one of the first, or, if all are of one tile, any two.
+
+    Counted are all values of the sets but those that one label alone has, which no intersection asked for can hold; a set
+    that is left with less than `percent` of its values links with nothing here. The counts are a product of 0/1 matrices.
+    """
+    sizes, tags = np.array([len(s) for s in sets], np.int64), np.unique(labels, return_inverse=True)[1]
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    before = 2 * len(row)
+    while len(row) and len(row) < 0.9 * before:
+        before = len(row)
+        first = np.r_[True, flat[1:] != flat[:-1]]
+        starts, tag = np.flatnonzero(first), tags[row]
+        mixed_values = np.minimum.reduceat(tag, starts) < np.maximum.reduceat(tag, starts)
+        keep = mixed_values[np.cumsum(first) - 1]
+        keep &= (100 * np.bincount(row[keep], minlength=len(sets)) >= percent * sizes)[row]
+        flat, row = flat[keep], row[keep]
+    if not len(row):
+        return np.empty((0, 2), np.int64)
+    alive, row = np.unique(row, return_inverse=True)
+    column = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+    tags, sizes, labels, second = tags[alive], sizes[alive], labels[alive], second[alive]
+    main = tags == np.bincount(tags).argmax()  # its members aren't held against each other
+    if second.any() and not second.all():
+        sides = [(~second & ~main, second), (~second & main, second & ~main)]
+    else:
+        sides = [(~main, np.ones(len(alive), bool))]
+    sides = [(np.flatnonzero(x), np.flatnonzero(y)) for x, y in sides]
+    counts = [np.zeros((len(x), len(y))) for x, y in sides]
+    for at in range(0, int(column[-1]) + 1, 1024):
+        lo, hi = np.searchsorted(column, (at, at + 1024))
+        has = np.zeros((len(alive), 1024), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        for total, (x, y) in zip(counts, sides):
+            total += has[x] @ has[y].T
+    found = [np.empty((0, 2), np.int64)]
+    for total, (x, y) in zip(counts, sides):
+        for at in range(0, len(x), 256):
+            both, some = total[at : at + 256], x[at : at + 256]
+            hit = (both > 0) & ((100 + percent) * both >= percent * (sizes[some, None] + sizes[y])) & (tags[some, None] != tags[y])
+            r, c = np.nonzero(hit)
+            found.append(np.unique(np.sort(np.stack([labels[some[r]], labels[y[c]]], axis=1), axis=1), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def apart_links(blocks: DataFrame, own_texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the labels that full sets within a block link; own_texts (id, text)."""
+    rows = blocks.join(own_texts, "id").repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("words")
+        own: tuple | None = None
+        sets: list[np.ndarray] = []
+        labels: list[int] = []
+        second: list[bool] = []
+
+        def ended() -> pa.RecordBatch:
+            found = linked_labels(sets, np.array(labels, np.int64), np.array(second, bool), percent)
+            for x in (sets, labels, second):
+                x.clear()
+            return pa.record_batch([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+
+        for batch in sliced(batches):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "second", "label")))
+            for (*key, side, label), t in zip(keys, texts(batch.column("text"))):
+                if own != key and sets:
+                    yield ended()
+                own = key
+                sets.append(shingle_set(t, words))
+                labels.append(label)
+                second.append(side)
+        if sets:
+            yield ended()
+
+    return rows.select("p", "i", "j", "second", "label", "text").mapInArrow(run, "a long, b long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int = K, margin: float = 5.5) -> DataFrame:
@@ -173,8 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     own_texts = checkpointed(own_texts.withColumnRenamed("doc_id", "id"))
     links = checkpointed(confirmed(first, own_texts, words, percent))
     labels = components(links)
-    second = checkpointed(likely(apart_pairs(lists, labels, first, percent), classes, percent))
-    final = components(links.union(confirmed(second, own_texts, words, percent)))
+    final = components(links.union(apart_links(apart_blocks(lists, labels), own_texts, words, percent)))
     rows = known.select("doc_id", "n", "set_hash").join(several, F.col("doc_id") == F.col("r"), "left")
     chosen = one.select(F.col("doc_id").alias("one_id"), F.col("set_hash").alias("one_hash")).join(several, F.col("one_id") == F.col("r"), "left_semi").distinct()
     rows = rows.join(if_small(checkpointed(chosen)), F.col("doc_id") == F.col("one_id"), "left").withColumn("set_hash", F.when(F.col("n") > 0, F.coalesce("one_hash", "set_hash")))
