@@ -234,6 +234,15 @@ def test_a_group_below_the_threshold_makes_no_pairs(spark, make):
     assert linked == {frozenset(r) for r in minhash.apart_links(cut, texts, 3, 85).collect()}
 
 
+def test_near_duplicates_with_many_owners(make, monkeypatch):
+    """Few ids of documents in lists are broadcast, so that no other texts are shuffled; many are joined, with the same result."""
+    docs = make([(i, words(60, 1000 * (i % 7)) + f" end{i}") for i in range(20)])
+    want = sorted((i, i % 7) for i in range(20))
+    for most in (minhash.MOST_OWNERS, 1):
+        monkeypatch.setattr(minhash, "MOST_OWNERS", most)
+        assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, 3, 85).collect()) == want
+
+
 def test_least_shared_is_safe():
     rng = np.random.default_rng(0)
     for percent in (80, 85):

@@ -32,6 +32,8 @@ from .components import components
 K = 64
 #: A block of members holds two tiles of so many rows and values of their sets (but for one set that is larger), which bounds a worker's memory.
 BLOCK_ROWS, BLOCK_VALUES = 2048, 2_000_000
+#: So many ids of documents in lists are broadcast, some 16 bytes each.
+MOST_OWNERS = 2_500_000
 
 
 def least_shared(k: int, percent: int, miss: float = 1e-6) -> int:
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = checkpointed(least.select(F.col("x.doc_id").alias("id"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch"), "set_hash"))
     lists = checkpointed(prefix_lists(classes, percent))
     first = checkpointed(likely(pivot_pairs(lists, percent), classes, percent))
-    owners = lists.select("id").distinct()
+    owners = if_small(checkpointed(lists.select("id").distinct()), MOST_OWNERS)  # else all texts are shuffled to find theirs
     own_texts = docs.where(F.col("text").rlike(WORD)).join(owners, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     own_texts = checkpointed(own_texts.withColumnRenamed("doc_id", "id"))
     links = checkpointed(confirmed(first, own_texts, words, percent))
