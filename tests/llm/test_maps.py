@@ -709,3 +709,11 @@ def test_language_accuracy_and_edges(spark, messy):
     empty = langid.fit(messy.where("false"))
     assert {r.lang_pred for r in langid.predict(messy, empty).collect()} == {"und"}
     assert langid.predict(messy.where("false"), models).count() == 0
+
+
+def test_extra_bits_of_lengths_and_distances():
+    """The reader's tables by symbol give back what the writer splits, with as many bits."""
+    values = np.unique(np.r_[np.arange(1, 5000), 2 ** np.arange(1, 20), 2 ** np.arange(1, 20) + 1, 2**20])
+    symbol, extra, bits = webp._split(values)
+    assert (webp._EXTRA_BITS[symbol] == bits).all() and (extra <= webp._EXTRA_MASK[symbol]).all()
+    assert (webp._LEAST_VALUE[symbol] + extra == values).all()

@@ -283,6 +283,10 @@ def read_head(data: bytes) -> Image:
 
 
 LITERAL, COPY, CACHED = 1, 2, 3
+#: Of each prefix symbol of a length or distance: how many extra bits follow, their mask, and its value when they are 0.
+_EXTRA_BITS = np.array([max(0, s - 2 >> 1) for s in range(40)], np.int64)
+_EXTRA_MASK = (1 << _EXTRA_BITS) - 1
+_LEAST_VALUE = np.array([s + 1 if s < 4 else (2 + (s & 1) << (s - 2 >> 1)) + 1 for s in range(40)], np.int64)
 
 
 def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,14 +318,14 @@ def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np
     copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def extra(at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = np.where(s < 4, 0, (s - 2) >> 1)
-        more = words[at >> 3] >> (at & 7) & ((1 << n) - 1)
-        return np.where(s < 4, s + 1, ((2 + (s & 1)) << n) + more + 1), at + n
+        n = _EXTRA_BITS[s]
+        return _LEAST_VALUE[s] + (words[at >> 3] >> (at & 7) & _EXTRA_MASK[s]), at + n
 
     def read() -> None:
         nonlocal p, lane
         at, mask, here, end, own_base = starts[:, group], masks[:, group], base.copy(), base + totals, base
         moves, over = np.ones(len(lane), np.int64), 0
+        lone = (table[at[3]] & 0xFF) << 24  # alpha where it takes no bits
         while True:
             if tiled.any():
                 g = group[lane]
@@ -329,6 +333,7 @@ def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np
                     m, q = images[lane[i]], int(here[i] - own_base[i])
                     g[i] += m.tiles[((q // m.width) >> m.tile_bits) * _div(m.width, m.tile_bits) + ((q % m.width) >> m.tile_bits)]
                 at, mask = starts[:, g], masks[:, g]
+                lone = (table[at[3]] & 0xFF) << 24
             w = words[p >> 3] >> (p & 7)
             t = table[at[0] + (w & mask[0])]
             n, s = t >> 16, t & 0xFFFF
@@ -340,10 +345,9 @@ def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np
             if wordy:
                 alpha = table[at[3] + (words[to >> 3] >> (to & 7) & mask[3])]
                 to += alpha >> 16
-            else:
-                alpha = table[at[3]]
+                lone = (alpha & 0xFF) << 24
             kind[here] = LITERAL
-            value[here] = (alpha & 0xFF) << 24 | (red & 0xFF) << 16 | (s & 0xFF) << 8 | blue & 0xFF
+            value[here] = lone | (red & 0xFF) << 16 | (s & 0xFF) << 8 | blue & 0xFF
             further = here + moves
             other = np.flatnonzero(s >= 256)
             if len(other):
@@ -373,7 +377,7 @@ def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np
                 if 8 * over > len(lane):
                     going = moves > 0
                     lane, p, here, end, moves, own_base = lane[going], p[going], here[going], end[going], moves[going], own_base[going]
-                    at, mask, over = at[:, going], mask[:, going], 0
+                    at, mask, lone, over = at[:, going], mask[:, going], lone[going], 0
                     if not len(lane):
                         return
 
