@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -717,3 +718,74 @@ def test_extra_bits_of_lengths_and_distances():
     symbol, extra, bits = webp._split(values)
     assert (webp._EXTRA_BITS[symbol] == bits).all() and (extra <= webp._EXTRA_MASK[symbol]).all()
     assert (webp._LEAST_VALUE[symbol] + extra == values).all()
+
+
+def random_lengths(rng, size):
+    used = rng.sample(range(size), rng.choice((1, 1, 2, 2, 3, 9, min(size, 30), size)))
+    counts = np.zeros((1, size), np.int64)
+    counts[0, used] = [rng.choice((1, 2, 5, 60, 900)) for _ in used]
+    return webp.code_lengths(counts, 12)
+
+
+def put_code(s, lengths, rng):
+    """As the writer puts a code, or with four bits a length, as many as are stated."""
+    own = lengths[0].tolist()
+    if rng.random() < 0.7 or sum(map(bool, own)) < 2:
+        for value, n in zip(*(x.tolist() for x in webp._codes_written(lengths, np.array([len(own)]))[1:])):
+            s.put(value, n)
+        return
+    last = max(i for i, n in enumerate(own) if n) + 1
+    s.put(0, 1).put(15, 4)
+    for symbol in plain_webp._ORDER:
+        s.put(4 if symbol < 16 else 0, 3)
+    s.put(1, 1).put(4, 3).put(last - 2, 10)
+    for n in own[:last]:
+        s.put(int(format(n, "04b")[::-1], 2), 4)
+
+
+def test_prefix_codes_side_by_side():
+    rng, streams, want = random.Random(8), [], []
+    for k in range(120):
+        cache = rng.choice((0, 0, 3, 8))
+        s = Stream().start(1 + k % 5, 1 + k % 3).put(0, 1)
+        s.put(1, 1).put(cache, 4) if cache else s.put(0, 1)
+        s.put(0, 1)
+        begin, codes = s.n, [random_lengths(rng, n) for n in webp._sizes_of_codes(cache)]
+        for c in codes:
+            put_code(s, c, rng)
+        streams.append(s.data())
+        want.append((s.n, [c[0].tobytes() for c in codes]))
+        one = webp.Bits(s.data(), begin)
+        assert [bytes(webp._read_code(one, c.size)) for c in codes] == want[-1][1] and one.at == s.n
+    assert [(m.bits.at, *m.groups) for m in webp.read_heads(streams)] == want
+    table, starts, entries = webp.code_tables(want[5][1], np.zeros(5, np.int64))
+    assert starts.tolist() == [0, *np.cumsum(entries).tolist()[:-1]] and len(table) == entries.sum()
+    alone = Stream().start(1, 1).put(0, 1).put(0, 2)  # its code of distances is one symbol, which isn't one of the 40
+    for symbol in (0, 0, 0, 0, 77):
+        alone.put(1, 1).put(0, 1).put(1, 1).put(symbol, 8)
+    for bad in (streams[3][: want[3][0] // 8 - 1], alone.data()):
+        with pytest.raises(ValueError):
+            webp.decode_streams([streams[0], bad])
+            webp.read_heads([bad])
+
+
+def test_the_reader_calls_little_for_an_image():
+    """Codes and pixels are read side by side, so that another image of a batch adds its few header fields alone."""
+    rng = random.Random(4)
+    media = webp.encode_all([webp.padded(" ".join(f"w{rng.randrange(3000)}" for _ in range(150)).encode()) for _ in range(240)])
+
+    def calls(some):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event == "call"
+
+        sys.setprofile(count)
+        try:
+            webp.decode_all(some)
+        finally:
+            sys.setprofile(None)
+        return n
+
+    assert calls(media) - calls(media[:120]) < 40 * 120

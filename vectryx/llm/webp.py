@@ -8,7 +8,8 @@ codes by Huffman's method.
 
 The reader takes any lossless stream: simple and normal prefix codes, entropy images, back-references with the plane of
 distances, the colour cache, and the four transforms. Headers and the small images inside them are read one by one; the
-pixels of all images of a batch are read side by side, a symbol of each at a time, so that the cost of a step is shared.
+prefix codes and the pixels of all images of a batch are read side by side, a symbol of each at a time, so that the cost of
+a step is shared.
 """
 
 from __future__ import annotations
@@ -82,36 +83,37 @@ def _reversed(n: int) -> np.ndarray:
     return x
 
 
-def code_tables(lengths: list[bytearray]) -> list[np.ndarray]:
-    """Of each code, given as lengths by symbol, its table: of the next bits (as many as its longest word has), length << 16 | symbol.
+def code_tables(lengths: list[bytes | bytearray], shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tables of codes, each given as lengths by symbol, one after another; where each begins, and how many entries it has.
 
-    Codes are canonical. A lone symbol takes no bits, so its table has one entry; no symbol at all is like a lone 0.
+    A table is entered by the next bits (as many as its code's longest word has) and holds length << 32 | symbol << its code's
+    shift. Codes are canonical. A lone symbol takes no bits, so its table has one entry; no symbol at all is like a lone 0.
     """
-    sizes = np.array([len(x) for x in lengths])
-    flat = np.frombuffer(b"".join(lengths), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(lengths)), sizes)
-    symbol = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    used = np.flatnonzero(flat)
-    owner, symbol, own = owner[used], symbol[used], flat[used]
-    count, most = np.bincount(owner, minlength=len(lengths)), np.zeros(len(lengths), np.int64)
-    np.maximum.at(most, owner, own)
+    n, sizes = len(lengths), np.array([len(x) for x in lengths])
+    flat, begin = np.frombuffer(b"".join(lengths), np.uint8), np.cumsum(sizes) - sizes
+    used = np.flatnonzero(flat != 0)
+    until = np.searchsorted(used, begin + sizes)
+    count = np.diff(until, prepend=0)
+    owner, own = np.repeat(np.arange(n), count), flat[used].astype(np.int64)
+    symbol = used - begin[owner] << shifts[owner]
+    most = np.zeros(n, np.int64)
+    most[count > 0] = np.maximum.reduceat(own, (until - count)[count > 0]) if len(own) else 0
     most[count < 2] = 0
-    order = np.argsort(owner << 4 | own, kind="stable")
-    owner, symbol, own = owner[order], symbol[order], own[order]
+    order = _order(owner << 4 | own)  # the owner stays, the shorter words come first
+    symbol, own = symbol[order], own[order]
     lone = count[owner] == 1
     spans = np.where(lone, 1, 1 << np.maximum(most[owner] - own, 0))
-    ends = np.cumsum(np.bincount(owner, spans, len(lengths)).astype(np.int64))
-    by_first_bit = np.repeat(np.where(lone, symbol, own << 16 | symbol).astype(np.int32), spans)
-    out = []
-    for n, k, end in zip(most.tolist(), count.tolist(), ends.tolist()):
-        if not k:
-            out.append(np.zeros(1, np.int32))
-            continue
-        table = by_first_bit[end - (1 << n) : end] if end >= 1 << n else by_first_bit[:0]
-        out.append(table)
-    if (np.bincount(owner, spans, len(lengths)).astype(np.int64) != np.where(count > 0, 1 << most, 0)).any():
+    entries = 1 << most
+    if (np.bincount(owner, spans, n).astype(np.int64) != np.where(count > 0, entries, 0)).any():
         raise ValueError("the code isn't complete")
-    return [t[_reversed(n)] if n else t for t, n in zip(out, most.tolist())]
+    starts = np.cumsum(entries) - entries
+    none = np.flatnonzero(count == 0)
+    by_first_bit = np.repeat(np.insert(np.where(lone, symbol, own << 32 | symbol), until[none], 0), np.insert(spans, until[none], 1))
+    table = np.empty_like(by_first_bit)
+    for bits in np.unique(most).tolist():
+        at = starts[most == bits][:, None]
+        table[at + np.arange(1 << bits)] = by_first_bit[at + _reversed(bits)]
+    return table, starts, entries
 
 
 def _small_table(lengths: list[int]) -> tuple[list[int], int]:
@@ -133,9 +135,10 @@ def _read_code(bits: Bits, size: int) -> bytearray:
     if bits.take(1):
         count = bits.take(1) + 1
         first = bits.take(8 if bits.take(1) else 1)
-        lengths[first] = 1
-        if count == 2:
-            lengths[bits.take(8)] = 1
+        second = bits.take(8) if count == 2 else first
+        if max(first, second) >= size:
+            raise ValueError("a symbol beyond the alphabet")
+        lengths[first] = lengths[second] = 1
         return lengths
     of_lengths = [0] * 19
     for i in range(4 + bits.take(4)):
@@ -188,13 +191,18 @@ class Image:
     width: int
     height: int
     cache_bits: int
-    groups: list[list[bytearray]]
+    groups: list[list[bytes | bytearray]]
     tiles: np.ndarray | None = None
     tile_bits: int = 0
     undo: list[tuple] = field(default_factory=list)
 
 
+def _sizes_of_codes(cache_bits: int) -> tuple[int, ...]:
+    return (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+
+
 def _image_head(bits: Bits, width: int, height: int, top: bool) -> Image:
+    """All before the codes; these too but where an image is the top one and has one group of them."""
     cache_bits = bits.take(4) if bits.take(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache too large")
@@ -202,7 +210,9 @@ def _image_head(bits: Bits, width: int, height: int, top: bool) -> Image:
     if top and bits.take(1):
         tile_bits = bits.take(3) + 2
         tiles = (_small_image(bits, _div(width, tile_bits), _div(height, tile_bits)) >> np.uint32(8)) & np.uint32(0xFFFF)
-    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    if top and tiles is None:
+        return Image(bits, width, height, cache_bits, [])
+    sizes = _sizes_of_codes(cache_bits)
     groups = [[_read_code(bits, n) for n in sizes] for _ in range(1 + (int(tiles.max()) if tiles is not None else 0))]
     return Image(bits, width, height, cache_bits, groups, tiles, tile_bits)
 
@@ -210,25 +220,30 @@ def _image_head(bits: Bits, width: int, height: int, top: bool) -> Image:
 def _small_image(bits: Bits, width: int, height: int) -> np.ndarray:
     """ARGB of an image inside a header, read pixel by pixel."""
     head = _image_head(bits, width, height, False)
-    tables = [(t.tolist(), len(t) - 1) for t in code_tables(head.groups[0])]
+    every, starts, entries = code_tables(head.groups[0], _SHIFTS)
+    (greens, g), (reds, r), (blues, b), (alphas, a), (distances, d) = ((every[at : at + n].tolist(), n - 1) for at, n in zip(starts.tolist(), entries.tolist()))
     total, shift = width * height, 32 - head.cache_bits
     out, cache = [0] * total, [0] * (1 << head.cache_bits)
     at = cached = 0
-
-    def read(which: int) -> int:
-        table, mask = tables[which]
-        x = table[bits.peek(15) & mask]
-        bits.at += x >> 16
-        return x & 0xFFFF
-
     while at < total:
-        s = read(0)
+        p = bits.at
+        window = int.from_bytes(bits.data[p >> 3 : (p >> 3) + 9], "little") >> (p & 7)  # four codes of 15 bits
+        x = greens[window & g]
+        s = (x & _SYMBOL) >> 8
         if s < 256:
-            out[at] = s << 8 | read(1) << 16 | read(2) | read(3) << 24
+            y = reds[(window := window >> (x >> 32)) & r]
+            z = blues[(window := window >> (y >> 32)) & b]
+            x += y + z + alphas[window >> (z >> 32) & a]
+            out[at] = x & _SYMBOL
+            bits.at = p + (x >> 32)
             at += 1
-        elif s < 280:
+            continue
+        bits.at = p + (x >> 32)
+        if s < 280:
             length = _extra(bits, s - 256)
-            back = _back(_extra(bits, read(4)), width)
+            x = distances[bits.peek(15) & d]
+            bits.at += x >> 32
+            back = _back(_extra(bits, x & _SYMBOL), width)
             if back > at or at + length > total:
                 raise ValueError("a back-reference leaves the image")
             for i in range(at, at + length):
@@ -253,8 +268,8 @@ def _back(code: int, width: int) -> int:
 _HASH = 0x1E35A7BD
 
 
-def read_head(data: bytes) -> Image:
-    """All that comes before the pixels of a VP8L chunk."""
+def _start(data: bytes) -> Image:
+    """What comes before the codes of a VP8L chunk."""
     bits = Bits(data)
     if bits.take(8) != 0x2F:
         raise ValueError("not a lossless stream")
@@ -282,6 +297,116 @@ def read_head(data: bytes) -> Image:
     return image
 
 
+def read_heads(chunks: list[bytes]) -> list[Image]:
+    """All that comes before the pixels of VP8L chunks."""
+    images = [_start(c) for c in chunks]
+    for part in _grouped([m for m in images if not m.groups], lambda m: 3 * m.width * m.height):
+        _read_codes(part)
+    return images
+
+
+def _joined(images: list[Image], spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The eight bytes from each byte on of all images' data, where each image's reader stands and where its data ends, in bits."""
+    buffer = np.frombuffer(b"".join(m.bits.data for m in images) + bytes(spare), np.uint8)
+    words = np.ndarray((len(buffer) - 7,), "<i8", buffer.data, strides=(1,))  # 57 bits at least are used
+    ends = 8 * np.cumsum(np.array([len(m.bits.data) for m in images], np.int64))
+    return words, np.r_[0, ends[:-1]] + np.array([m.bits.at for m in images], np.int64), ends
+
+
+#: Of a symbol of the code of lengths: the length it stands for (16: the last one), how many extra bits follow, how many lengths at least.
+_LENGTH_OF = np.array([*range(17), 0, 0], np.int64)
+_MORE_LENGTH_BITS = np.array([0] * 16 + [2, 3, 7], np.int64)
+_LEAST_REPEAT = np.array([1] * 16 + [3, 3, 11], np.int64)
+
+
+def _read_codes(images: list[Image]) -> None:
+    """Reads the five codes of each image, side by side: one symbol of the code of lengths in each step."""
+    sizes = np.array([_sizes_of_codes(m.cache_bits) for m in images], np.int64).T
+    begin = np.zeros(5 * len(images) + 1, np.int64)  # lengths of all codes one after another, image by image
+    np.cumsum(sizes.T.reshape(-1), out=begin[1:])
+    lengths = np.zeros(int(begin[-1]), np.uint8)
+    # zeros beyond the end for all that a reader gone astray may read in five codes
+    words, p, ends = _joined(images, 16 << 10)
+    origin = p - np.array([m.bits.at for m in images], np.int64)
+    for k in range(5):
+        to, size = begin[k:-1:5], sizes[k]
+        w = words[p >> 3] >> (p & 7)
+        simple = np.flatnonzero(w & 1)
+        own = w[simple]
+        wide = np.where(own >> 2 & 1, 8, 1)
+        first, second, two = own >> 3 & ((1 << wide) - 1), own >> (3 + wide) & 255, own >> 1 & 1
+        if (np.maximum(first, second * two) >= size[simple]).any():
+            raise ValueError("a symbol beyond the alphabet")
+        lengths[to[simple] + first] = 1
+        lengths[(to[simple] + second)[two > 0]] = 1
+        p[simple] += 3 + wide + 8 * two
+        normal = np.flatnonzero(w & 1 == 0)
+        if len(normal):
+            p[normal] = _read_lengths(words, p[normal] + 1, to[normal], size[normal], lengths)
+    if (p > ends).any():
+        raise ValueError("the stream ends early")
+    for m, moved in zip(images, (p - origin).tolist()):
+        m.bits.at = moved
+    flat, cuts = lengths.tobytes(), begin.tolist()
+    for i, m in enumerate(images):
+        m.groups = [[flat[a:b] for a, b in zip(cuts[5 * i : 5 * i + 5], cuts[5 * i + 1 : 5 * i + 6])]]
+
+
+def _read_lengths(words: np.ndarray, p: np.ndarray, to: np.ndarray, size: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Reads normal codes from p on, each one's lengths by symbol into lengths from its place `to` on; where the readers stand then."""
+    n = len(p)
+    w = words[p >> 3] >> (p & 7)
+    count = 4 + (w & 15)
+    p = p + 4
+    named = (words[p >> 3] >> (p & 7))[:, None] >> (3 * np.arange(19)) & 7
+    own = np.zeros((n, 19), np.int64)
+    own[:, _ORDER] = np.where(np.arange(19) < count[:, None], named, 0)
+    p = p + 3 * count
+    w = words[p >> 3] >> (p & 7)
+    width = 2 + 2 * (w >> 1 & 7)
+    left = np.where(w & 1, 2 + (w >> 4 & ((1 << width) - 1)), size)
+    p = p + np.where(w & 1, 4 + width, 1)
+    # tables of seven bits that hold bits << 5 | symbol
+    used = (own > 0).sum(1)
+    own[used == 0, 0] = 1
+    lone = used < 2
+    row, symbol = np.nonzero(own)
+    own = own[row, symbol]
+    order = _order(row << 3 | own)
+    symbol, own = symbol[order], own[order]
+    spans = np.where(lone[row], 128, 128 >> own)
+    if (np.bincount(row, spans, n) != 128).any():
+        raise ValueError("the code isn't complete")
+    table = np.repeat(np.where(lone[row], symbol, own << 5 | symbol), spans).reshape(n, 128)[:, _reversed(7)].reshape(-1)
+    stand, lane, at, end, rows, previous = p.copy(), np.arange(n), to, to + size, np.arange(n) << 7, np.full(n, 8)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = 0
+    while len(lane):
+        step += 1
+        w = words[p >> 3] >> (p & 7)
+        x = table[rows + (w & 127)]
+        s, taken = x & 31, x >> 5
+        more = _MORE_LENGTH_BITS[s]
+        repeat = _LEAST_REPEAT[s] + (w >> taken & ((1 << more) - 1))
+        length = _LENGTH_OF[s]
+        length = np.where(length == 16, previous, length)
+        previous = np.where(length > 0, length, previous)
+        found.append((at, repeat, length))
+        at, p = at + repeat, p + taken + more
+        over = (at >= end) | (left == step)
+        if over.any():
+            if (at > end).any():
+                raise ValueError("code lengths run over")
+            stand[lane[over]] = p[over]
+            go = ~over
+            p, lane, at, end, rows, previous, left = p[go], lane[go], at[go], end[go], rows[go], previous[go], left[go]
+    at, repeat, length = (np.concatenate(x) for x in zip(*found))
+    some = np.flatnonzero(length)
+    at, repeat, length = at[some], repeat[some], length[some]
+    lengths[np.repeat(at - (np.cumsum(repeat) - repeat), repeat) + np.arange(int(repeat.sum()))] = np.repeat(length, repeat)
+    return stand
+
+
 LITERAL, COPY, CACHED = 1, 2, 3
 #: Of each prefix symbol of a length or distance: how many extra bits follow, their mask, and its value when they are 0.
 _EXTRA_BITS = np.array([max(0, s - 2 >> 1) for s in range(40)], np.int64)
@@ -289,6 +414,12 @@ _EXTRA_MASK = (1 << _EXTRA_BITS) - 1
 _LEAST_VALUE = np.array([s + 1 if s < 4 else (2 + (s & 1) << (s - 2 >> 1)) + 1 for s in range(40)], np.int64)
 
 
+#: By code of a group: how far its symbols are shifted in an entry of its table, so that the entries of a literal add up to its ARGB.
+_SHIFTS = np.array([8, 16, 0, 24, 0], np.int64)
+#: Bits that tell a symbol of 256 or more in an entry of the first code, and the symbol's place in any entry.
+_NO_LITERAL, _SYMBOL = 0xF0000, (1 << 32) - 1
+
+
 def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each pixel of all images how it is made (LITERAL, COPY, CACHED) and from what (ARGB, distance back, place in the cache).
 
@@ -296,88 +427,81 @@ def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np
     put right for the few that are none.
     """
     totals = np.array([m.width * m.height for m in images], np.int64)
-    everything = int(totals.sum())
-    # one place more, for images that are over and wait to be taken out
-    kind, value = np.zeros(everything + 1, np.uint8), np.zeros(everything + 1, np.uint32)
-    buffer = np.frombuffer(b"".join(m.bits.data for m in images) + bytes(16), np.uint8)
-    words = np.ndarray((len(buffer) - 7,), "<i8", buffer.data, strides=(1,))  # eight bytes from each byte on; 57 bits at least are used
-    sizes = np.array([len(m.bits.data) for m in images], np.int64)
-    p = 8 * (np.cumsum(sizes) - sizes) + np.array([m.bits.at for m in images], np.int64)
-    tables = code_tables([c for m in images for g in m.groups for c in g])
-    entries = np.array([len(t) for t in tables], np.int64)
-    table = np.concatenate(tables).astype(np.int64)
-    starts, masks = np.ascontiguousarray((np.cumsum(entries) - entries).reshape(-1, 5).T), np.ascontiguousarray((entries - 1).reshape(-1, 5).T)
-    n_groups = np.array([len(m.groups) for m in images])
+    everything, over_all = int(totals.sum()), len(images)
+    # one place more, for images that are over and wait to be taken out; they read from codes of one symbol, which take no bits
+    value = np.zeros(everything + 1, np.uint32)
+    words, p, read_to = _joined(images, 16)
+    codes = [c for m in images for g in m.groups for c in g]
+    table, starts, entries = code_tables([*codes, *[b""] * 5], np.tile(_SHIFTS, len(codes) // 5 + 1))
+    starts, masks = np.ascontiguousarray(starts.reshape(-1, 5).T), np.ascontiguousarray((entries - 1).reshape(-1, 5).T)
+    n_groups = np.array([*(len(m.groups) for m in images), 1])
     group = np.cumsum(n_groups) - n_groups
-    tiled = np.array([m.tiles is not None for m in images])
-    backs = {m.width: np.array([_back(c, m.width) for c in range(1, 121)], np.int64) for m in {m.width: m for m in images}.values()}
-    width_at = {w: i for i, w in enumerate(backs)}
-    near, wide = np.stack(list(backs.values())), np.array([width_at[m.width] for m in images])
-    wordy = bool((masks[3] > 0).any())
-    lane, read_to = np.arange(len(images)), 8 * np.cumsum(sizes)
-    copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def extra(at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = _EXTRA_BITS[s]
-        return _LEAST_VALUE[s] + (words[at >> 3] >> (at & 7) & _EXTRA_MASK[s]), at + n
+    tiled = np.array([*(m.tiles is not None for m in images), False])
+    any_tiled, wordy = bool(tiled.any()), bool((masks[3] > 0).any())
+    lane = np.arange(over_all)
+    #: Of each step the places of symbols that are no literals, and the symbols; and of each back-reference its place, length, code of distance and image.
+    others: list[tuple[np.ndarray, ...]] = []
+    copies: list[tuple[np.ndarray, ...]] = []
 
     def read() -> None:
         nonlocal p, lane
-        at, mask, here, end, own_base = starts[:, group], masks[:, group], base.copy(), base + totals, base
+        at, mask, here, end = starts[:, group[:-1]], masks[:, group[:-1]], base.copy(), base + totals
         moves, over = np.ones(len(lane), np.int64), 0
-        lone = (table[at[3]] & 0xFF) << 24  # alpha where it takes no bits
+        lone = table[at[3]] & _SYMBOL  # alpha where it takes no bits
         while True:
-            if tiled.any():
+            if any_tiled:
                 g = group[lane]
-                for i in np.flatnonzero(tiled[lane] & (moves > 0)):
-                    m, q = images[lane[i]], int(here[i] - own_base[i])
+                for i in np.flatnonzero(tiled[lane]):
+                    m, q = images[lane[i]], int(here[i] - base[lane[i]])
                     g[i] += m.tiles[((q // m.width) >> m.tile_bits) * _div(m.width, m.tile_bits) + ((q % m.width) >> m.tile_bits)]
                 at, mask = starts[:, g], masks[:, g]
-                lone = (table[at[3]] & 0xFF) << 24
+                lone = table[at[3]] & _SYMBOL
             w = words[p >> 3] >> (p & 7)
             t = table[at[0] + (w & mask[0])]
-            n, s = t >> 16, t & 0xFFFF
-            w >>= n
-            red = table[at[1] + (w & mask[1])]
-            w >>= red >> 16
-            blue = table[at[2] + (w & mask[2])]
-            to = p + n + (red >> 16) + (blue >> 16)
+            rest = w >> (t >> 32)
+            red = table[at[1] + (rest & mask[1])]
+            rest >>= red >> 32
+            argb = table[at[2] + (rest & mask[2])]
+            argb += red
+            argb += t
+            to = p + (argb >> 32)
             if wordy:
                 alpha = table[at[3] + (words[to >> 3] >> (to & 7) & mask[3])]
-                to += alpha >> 16
-                lone = (alpha & 0xFF) << 24
-            kind[here] = LITERAL
-            value[here] = lone | (red & 0xFF) << 16 | (s & 0xFF) << 8 | blue & 0xFF
-            further = here + moves
-            other = np.flatnonzero(s >= 256)
+                to += alpha >> 32
+                lone = alpha & _SYMBOL
+            argb += lone
+            value[here] = argb
+            other = (t & _NO_LITERAL).nonzero()[0]
             if len(other):
-                so = s[other]
-                cached = other[so >= 280]
-                kind[here[cached]], value[here[cached]] = CACHED, s[cached] - 280
-                to[cached] = p[cached] + n[cached]
-                back = other[so < 280]
-                if len(back):
-                    length, q = extra(p[back] + n[back], s[back] - 256)
-                    d = table[at[4][back] + (words[q >> 3] >> (q & 7) & mask[4][back])]
-                    code, q = extra(q + (d >> 16), d & 0xFFFF)
-                    distance = np.where(code > 120, code - 120, near[wide[lane[back]], np.minimum(code, 120) - 1])
-                    own = moves[back] > 0
-                    if ((distance > here[back] - own_base[back]) & own).any() or ((here[back] + length > end[back]) & own).any():
-                        raise ValueError("a back-reference leaves the image")
-                    to[back] = q
-                    further[back] += (length - 1) * own
-                    copies.append((here[back][own], length[own], distance[own]))
-            p, here = to * moves, further
-            ended = np.flatnonzero(here >= end)
+                t = t[other]
+                n, s = t >> 32, t >> 8 & 0xFFF
+                to[other] = q = p[other] + n
+                others.append((here[other], s))
+                far = (s < 280).nonzero()[0]
+                if len(far):
+                    back, s, n, q = other[far], s[far] - 256, n[far], q[far]
+                    rest, more = w[back] >> n, _EXTRA_BITS[s]
+                    length = _LEAST_VALUE[s] + (rest & _EXTRA_MASK[s])
+                    d = table[at[4][back] + (rest >> more & mask[4][back])]
+                    q += more + (d >> 32)
+                    d &= _SYMBOL
+                    code = _LEAST_VALUE[d] + (words[q >> 3] >> (q & 7) & _EXTRA_MASK[d])
+                    to[back] = q + _EXTRA_BITS[d]
+                    copies.append((here[back], length, code, lane[back]))
+                    here[back] += length - 1
+            p = to
+            here += moves
+            ended = (here >= end).nonzero()[0]
             if len(ended):
                 if (p[ended] > read_to[lane[ended]]).any():
                     raise ValueError("the stream ends early")
-                here[ended], end[ended], moves[ended], p[ended] = everything, everything + 1, 0, 0
+                here[ended], end[ended], moves[ended], p[ended], lane[ended] = everything, everything + 1, 0, 0, over_all
+                at[:, ended], mask[:, ended] = starts[:, -1:], 0
                 over += len(ended)
                 if 8 * over > len(lane):
-                    going = moves > 0
-                    lane, p, here, end, moves, own_base = lane[going], p[going], here[going], end[going], moves[going], own_base[going]
-                    at, mask, lone, over = at[:, going], mask[:, going], lone[going], 0
+                    going = moves.nonzero()[0]
+                    lane, p, here, end, moves, lone = lane[going], p[going], here[going], end[going], moves[going], lone[going]
+                    at, mask, over = at[:, going], mask[:, going], 0
                     if not len(lane):
                         return
 
@@ -385,9 +509,19 @@ def _read_symbols(images: list[Image], base: np.ndarray) -> tuple[np.ndarray, np
         read()
     except IndexError as e:
         raise ValueError("the stream ends early") from e
-    kind, value = kind[:-1], value[:-1]
+    kind, value = np.full(everything, LITERAL, np.uint8), value[:-1]
+    if others:
+        place, s = (np.concatenate(x) for x in zip(*others))
+        place, s = place[s >= 280], s[s >= 280]
+        kind[place], value[place] = CACHED, s - 280
     if copies:
-        start, length, distance = (np.concatenate(c) for c in zip(*copies))
+        start, length, code, image = (np.concatenate(x) for x in zip(*copies))
+        backs = {m.width: np.array([_back(c, m.width) for c in range(1, 121)], np.int64) for m in {m.width: m for m in images}.values()}
+        width_at = {w: i for i, w in enumerate(backs)}
+        near, wide = np.stack(list(backs.values())), np.array([width_at[m.width] for m in images])
+        distance = np.where(code > 120, code - 120, near[wide[image], np.minimum(code, 120) - 1])
+        if (distance > start - base[image]).any() or (start + length > (base + totals)[image]).any():
+            raise ValueError("a back-reference leaves the image")
         places = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         kind[places], value[places] = COPY, np.repeat(distance, length)
     return kind, value
@@ -435,7 +569,7 @@ def _fill_pixels(images: list[Image], kind: np.ndarray, value: np.ndarray) -> np
 
 def decode_streams(chunks: list[bytes]) -> list[np.ndarray]:
     """ARGB (height * width, uint32) of the data of each VP8L chunk."""
-    return [x for part in _grouped([read_head(c) for c in chunks], lambda m: 3 * m.width * m.height) for x in _decode_images(part)]
+    return [x for part in _grouped(read_heads(chunks), lambda m: 3 * m.width * m.height) for x in _decode_images(part)]
 
 
 def _decode_images(images: list[Image]) -> list[np.ndarray]:
@@ -662,16 +796,18 @@ def _merged_lengths(counts: np.ndarray) -> np.ndarray:
 
 def code_words(lengths: np.ndarray) -> np.ndarray:
     """Canonical code words of each row of lengths, first bit lowest."""
-    n_rows, n = lengths.shape
-    ordered = np.sort(np.where(lengths > 0, lengths, 99).astype(np.int32) << 10 | np.arange(n, dtype=np.int32), axis=1)
-    order, own = ordered & 1023, ordered >> 10
-    own = np.where(own < 99, own, 0).astype(np.int64)
-    steps = np.where(own > 0, np.int64(1) << (15 - np.minimum(own, 15)), 0)
-    high = np.cumsum(steps, 1) - steps  # the word, its first bit the 15th
-    low = _reversed(15)[np.minimum(high, (1 << 15) - 1)]
-    out = np.zeros((n_rows, n), np.int64)
-    np.put_along_axis(out, order, np.where(own > 0, low, 0), 1)
-    return out
+    flat = lengths.reshape(-1)
+    used = np.flatnonzero(flat != 0)
+    row, own = used // lengths.shape[1], flat[used].astype(np.int64)
+    order = _order(row << 4 | own)
+    used, own = used[order], own[order]
+    steps = np.int64(1) << (15 - own)
+    high = np.cumsum(steps) - steps  # the word, its first bit the 15th
+    first = np.searchsorted(row, np.arange(len(lengths) + 1))
+    high -= np.repeat(high[first[:-1][np.diff(first) > 0]], np.diff(first)[np.diff(first) > 0])
+    out = np.zeros(lengths.size, np.int64)
+    out[used] = _reversed(15)[high]
+    return out.reshape(lengths.shape)
 
 
 Symbols = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -680,10 +816,11 @@ Symbols = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _runs_of_lengths(lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The first `sizes` code lengths of each row as (row, symbol, extra, its bits): 16 repeats the last length, 17 and 18 are runs of 0."""
-    row, column = np.nonzero(np.arange(lengths.shape[1])[None, :] < sizes[:, None])
-    v = lengths[row, column].astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (row[1:] != row[:-1])])
-    n, v, row = np.diff(np.r_[new, len(v)]), v[new], row[new]
+    v, starts = lengths[np.arange(lengths.shape[1]) < sizes[:, None]], np.cumsum(sizes) - sizes
+    differs = np.r_[True, v[1:] != v[:-1]]
+    differs[starts] = True
+    new = np.flatnonzero(differs)
+    n, v, row = np.diff(np.r_[new, len(v)]), v[new].astype(np.int64), np.searchsorted(starts, new, "right") - 1
     zero = v == 0
     first = (~zero).astype(np.int64)  # a length itself comes before its repeats
     most = np.where(zero, 138, 6)
@@ -726,9 +863,7 @@ def _codes_written(lengths: np.ndarray, sizes: np.ndarray) -> Symbols:
         at = taken[row, symbol].astype(np.int64)
         parts += [(normal, (count - 4) << 1, np.full(len(normal), 5)), (normal, named, 3 * count), (normal, np.zeros(len(normal), np.int64), np.ones(len(normal), np.int64))]
         parts.append((normal[row], np.where(at > 0, words[row, symbol], 0) | extra << at, at + more))
-    of, value, size = (np.concatenate(x) for x in zip(*parts))
-    order = _order(of)
-    return of[order], value[order], size[order]
+    return _in_order(len(used), *parts)
 
 
 def _small_written(images: list[np.ndarray]) -> Symbols:
@@ -746,14 +881,19 @@ def _small_written(images: list[np.ndarray]) -> Symbols:
         more = lengths[of, k, v].astype(np.int64)
         pixel |= np.where(more > 0, words[of, k, v], 0) << bits
         bits += more
-    return _in_order((np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64)), (row // 5, value, size), (of, pixel, bits))
+    return _in_order(n, (np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64)), (row // 5, value, size), (of, pixel, bits))
 
 
-def _in_order(*parts: Symbols) -> Symbols:
-    """Parts one after another, for each that they are of."""
-    of, value, size = (np.concatenate(x) for x in zip(*parts))
-    order = _order(of)
-    return of[order], value[order], size[order]
+def _in_order(n: int, *parts: Symbols) -> Symbols:
+    """Parts one after another, for each of n that they are of; in each part they are in order."""
+    counts = np.stack([np.bincount(of, minlength=n) for of, _, _ in parts])
+    begin = np.cumsum(counts.T.reshape(-1)).reshape(n, -1).T - counts
+    total = int(counts.sum())
+    value, size = np.empty(total, np.int64), np.empty(total, np.int64)
+    for (_, v, bits), c, b in zip(parts, counts, begin):
+        at = np.repeat(b - (np.cumsum(c) - c), c) + np.arange(len(v))
+        value[at], size[at] = v, bits
+    return np.repeat(np.arange(n), counts.sum(0)), value, size
 
 
 _N_LOG_N = np.concatenate([[0.0], np.arange(1, MOST_ROWS * PIXELS + 1) * np.log2(np.arange(1, MOST_ROWS * PIXELS + 1))])
@@ -761,14 +901,10 @@ DIRECT, PALETTE, GREEN, SPATIAL = range(4)
 TILE = 3
 
 
-def _entropy(image: np.ndarray, n_images: int, channels: list[np.ndarray]) -> np.ndarray:
-    """Bits of each image if its channels were coded by their own frequencies."""
-    out = np.zeros(n_images)
-    totals = _N_LOG_N[np.bincount(image, minlength=n_images)]
-    for c in channels:
-        counts = np.bincount(image * 256 + c, minlength=256 * n_images)
-        out += totals - _N_LOG_N[counts].reshape(n_images, 256).sum(1)
-    return out
+def _entropy(row: np.ndarray, totals: np.ndarray, channel: np.ndarray) -> np.ndarray:
+    """Bits of each image if a channel were coded by its own frequencies; row is 256 times the number of a pixel's image, totals the images' pixels."""
+    counts = np.bincount(row + channel, minlength=256 * len(totals))
+    return _N_LOG_N[totals] - _N_LOG_N[counts].reshape(-1, 256).sum(1)
 
 
 def _spatial(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -816,31 +952,32 @@ def _spatial(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _planned(argb: np.ndarray, image: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], list[int], Symbols, np.ndarray]:
     """Of each image its pixels after the transforms it gets and their width; all that is written before their codes; and the bits that literals take by entropy."""
-    n, at = len(sizes), np.arange(len(argb)) - starts[image]
-    c = _channels(argb)
-    blue, green, red = (c[:, k].astype(np.int64) for k in range(3))
-    before = np.maximum(np.arange(len(argb)) - 1, 0)
-    above = np.where(at >= PIXELS, np.arange(len(argb)) - PIXELS, before)
-
-    direct = _entropy(image, n, [blue, green, red])
-    costs = np.stack([direct, np.full(n, np.inf), _entropy(image, n, [(blue - green) & 255, green, (red - green) & 255]), np.full(n, np.inf)])
+    n, row = len(sizes), image << 8
+    blue, green, red = (np.ascontiguousarray(argb.view(np.uint8)[k::4]) for k in range(3))
+    of_green = _entropy(row, sizes, green)
+    direct = _entropy(row, sizes, blue) + of_green + _entropy(row, sizes, red)
+    costs = np.stack([direct, np.full(n, np.inf), _entropy(row, sizes, blue - green) + of_green + _entropy(row, sizes, red - green), np.full(n, np.inf)])
     # where most pixels of a tile are like the one before or above, prediction may pay
-    alike = np.flatnonzero((at > 0) & ((argb == argb[before]) | (argb == argb[above])))
+    like = np.zeros(len(argb), bool)
+    like[1:] = argb[1:] == argb[:-1]
+    above = np.zeros(len(argb), bool)
+    above[PIXELS:] = argb[PIXELS:] == argb[:-PIXELS]
+    above.reshape(-1, PIXELS)[starts // PIXELS] = False
+    like |= above
+    like[starts] = False
+    alike = np.flatnonzero(like)
+    at = alike - starts[image[alike]]
     per_row = PIXELS >> TILE
-    tile = (image[alike] << 16) + (at[alike] // PIXELS >> TILE) * per_row + (at[alike] % PIXELS >> TILE)
+    tile = (image[alike] << 16) + (at // PIXELS >> TILE) * per_row + (at % PIXELS >> TILE)
     tile, count = np.unique(tile, return_counts=True)
     likely = np.unique(tile[2 * count > 1 << 2 * TILE] >> 16)
     predicted = {i: _spatial(argb[starts[i] : starts[i] + sizes[i]].reshape(-1, PIXELS)) for i in likely.tolist()}
     for i, (left_over, modes, cross) in predicted.items():
         c = _channels(left_over).reshape(-1, 4)
-        costs[SPATIAL, i] = _entropy(np.zeros(len(c), np.int64), 1, [c[:, k].astype(np.int64) for k in range(3)])[0] + 8 * (modes.size + cross.size) + 200
-    colour = image << 24 | (argb & np.uint32(0xFFFFFF)).astype(np.int64)
-    order = _order(colour)
-    colour = colour[order]
-    new = np.r_[True, colour[1:] != colour[:-1]]
-    first = np.flatnonzero(new)
-    kinds, counts, index = colour[first], np.diff(np.r_[first, len(colour)]), np.empty(len(colour), np.int64)
-    index[order] = np.cumsum(new) - 1
+        costs[SPATIAL, i] = sum(_entropy(np.zeros(len(c), np.int64), sizes[i : i + 1], c[:, k])[0] for k in range(3)) + 8 * (modes.size + cross.size) + 200
+    colour = np.sort(image << 24 | argb & np.uint32(0xFFFFFF))
+    first = np.flatnonzero(np.r_[True, colour[1:] != colour[:-1]])
+    kinds, counts = colour[first], np.diff(np.r_[first, len(colour)])
     owner = kinds >> 24
     n_kinds = np.bincount(owner, minlength=n)
     few = n_kinds <= 256
@@ -855,7 +992,7 @@ def _planned(argb: np.ndarray, image: np.ndarray, starts: np.ndarray, sizes: np.
         fields.append((i, 0x2F | PIXELS - 1 << 8 | rows - 1 << 22, 40))
         if plan[i] == PALETTE:
             palette = (kinds[first_kind[i] : first_kind[i] + n_kinds[i]] & 0xFFFFFF).astype(np.uint32) | np.uint32(0xFF000000)
-            x = (index[starts[i] : starts[i] + sizes[i]] - first_kind[i]).astype(np.uint8).reshape(rows, PIXELS)
+            x = np.searchsorted(palette, own).astype(np.uint8).reshape(rows, PIXELS)
             if len(palette) <= 16:
                 per = 8 if len(palette) <= 2 else 4 if len(palette) <= 4 else 2
                 x = np.bitwise_or.reduce(x.reshape(rows, -1, per) << (np.arange(per, dtype=np.uint8) * (8 // per)), axis=2)
@@ -883,7 +1020,7 @@ def _planned(argb: np.ndarray, image: np.ndarray, starts: np.ndarray, sizes: np.
     written = (np.arange(len(of)), value, size)
     if small:
         at, parts = np.array([k for k, _ in small]), _small_written([x for _, x in small])
-        written = _in_order(written, (at[parts[0]], *parts[1:]))
+        written = _in_order(len(of), written, (at[parts[0]], *parts[1:]))
     return pixels, widths, (of[written[0]], *written[1:]), bits
 
 
@@ -918,16 +1055,17 @@ def _matches(pixels: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[n
     # 26 bits of an image's hashes are enough, as they are checked; in it the outcome is the same whatever is beside
     key = image[:n] << 26 | (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(38)).astype(np.int64)
     order = _order(key)
-    same = key[order[1:]] == key[order[:-1]]
-    back = np.zeros(n, np.int64)
-    back[order[1:][same]] = (order[1:] - order[:-1])[same]
-    at = np.arange(n)
-    ok = (back > 0) & (at + LEAST_MATCH <= ends[image[:n]]) & (image[np.maximum(at - back, 0)] == image[:n])
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])  # the image is part of the key
+    at, before = order[1:][same], order[same]
+    ok = at + LEAST_MATCH <= ends[image[at]]
     for i in range(LEAST_MATCH):  # hashes may be equal by chance
-        ok &= x[i : i + n] == x[np.maximum(at - back, 0) + i]
-    back[~ok] = 0
-    new = np.flatnonzero((back > 0) & np.r_[True, (back[1:] != back[:-1]) | (image[1:n] != image[: n - 1])])
-    last = np.flatnonzero((back > 0) & np.r_[(back[1:] != back[:-1]) | (image[1:n] != image[: n - 1]), True])
+        ok &= pixels[at + i] == pixels[before + i]
+    back = np.zeros(n, np.int64)
+    back[at[ok]] = (at - before)[ok]
+    some = back > 0
+    turns = (back[1:] != back[:-1]) | (image[1:n] != image[: n - 1])
+    new, last = np.flatnonzero(some & np.r_[True, turns]), np.flatnonzero(some & np.r_[turns, True])
     end = last + LEAST_MATCH
     start = np.maximum(new, np.r_[0, np.maximum.accumulate(end)[:-1]]) if len(new) else new
     keep = end - start >= LEAST_MATCH
@@ -937,10 +1075,11 @@ def _matches(pixels: np.ndarray, image: np.ndarray, ends: np.ndarray) -> tuple[n
 def _cache_hits(pixels: np.ndarray, image: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each pixel's place in its image's cache, and whether its colour is there when it is reached."""
     place = (pixels * np.uint32(_HASH) >> (32 - bits[image]).astype(np.uint32)).astype(np.int64)
-    order = _order(image << 11 | place)
-    a, b = order[1:], order[:-1]
+    key = image << 11 | place
+    order = _order(key)
+    key, by_key = key[order], pixels[order]
     hit = np.zeros(len(pixels), bool)
-    hit[a] = (image[a] == image[b]) & (place[a] == place[b]) & (pixels[a] == pixels[b])
+    hit[order[1:]] = (key[1:] == key[:-1]) & (by_key[1:] == by_key[:-1])
     return place, hit
 
 
@@ -948,8 +1087,9 @@ def _encode_images(chunks: list[bytes]) -> list[bytes]:
     """One lossless stream for each of chunks, of 1 to MOST_ROWS rows. What is written of one doesn't depend on the others."""
     sizes = np.array([len(c) // 3 for c in chunks], np.int64)
     image = np.repeat(np.arange(len(chunks)), sizes)
-    b = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, 3).astype(np.uint32)
-    argb = np.uint32(0xFF000000) | b[:, 0] << np.uint32(16) | b[:, 1] << np.uint32(8) | b[:, 2]
+    channels = np.full((len(image), 4), 255, np.uint8)
+    channels[:, 2::-1] = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, 3)
+    argb = channels.view("<u4")[:, 0]
     own, widths, heads, cost = _planned(argb, image, np.cumsum(sizes) - sizes, sizes)
     n, sizes = len(own), np.array([len(x) for x in own], np.int64)
     pixels, image = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
@@ -962,7 +1102,9 @@ def _encode_images(chunks: list[bytes]) -> list[bytes]:
     place, hit = _cache_hits(pixels, image, cache_bits)
     hit &= free
     hits = np.bincount(image[hit], minlength=n)
-    slots = np.bincount(np.unique(image[hit] << 11 | place[hit]) >> 11, minlength=n)
+    met = np.zeros((n, 1 << 8), bool)
+    met[image[hit], place[hit]] = True
+    slots = met.sum(1)
     pays = hits * (cost / sizes - 8) > 4 * slots + 20
     cache_bits = np.where(pays, cache_bits, 0)
     hit &= pays[image]
@@ -986,9 +1128,12 @@ def _encode_images(chunks: list[bytes]) -> list[bytes]:
     far_symbol, far_extra, far_bits = _split(code)
     alphabet = 280 + (1 << int(cache_bits.max()) if cache_bits.any() else 0)
     plain = np.flatnonzero(literal[at])
-    others = [(pixels[at[plain]] >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
-    counts = [np.bincount(of * alphabet + green, minlength=n * alphabet).reshape(n, -1)]
-    counts += [np.bincount(of[plain] * 256 + v, minlength=n * 256).reshape(n, -1) for v in others]
+    own = np.ascontiguousarray(pixels[at[plain]])
+    row = of[plain] << 8
+    # each symbol's place among the codes' words
+    green += of * alphabet
+    others = [row + own.view(np.uint8)[k::4] for k in (2, 0, 3)]
+    counts = [np.bincount(v, minlength=n * m).reshape(n, -1) for v, m in ((green, alphabet), *((v, 256) for v in others))]
     counts.append(np.bincount(of[nth] * 40 + far_symbol, minlength=n * 40).reshape(n, -1))
     lengths = [code_lengths(c, MOST_BITS) for c in counts]
     words = [code_words(x) for x in lengths]
@@ -1001,16 +1146,22 @@ def _encode_images(chunks: list[bytes]) -> list[bytes]:
     row, code_value, code_size = _codes_written(every.reshape(5 * n, -1), sizes.reshape(-1))
     for x in lengths:  # a lone symbol takes no bits
         x[(x > 0).sum(1) == 1] = 0
-    value, bits = words[0][of, green], lengths[0][of, green].astype(np.int64)
-    value *= bits > 0
-    for v, w, x in zip(others, words[1:4], lengths[1:4]):
-        more = x[of[plain], v].astype(np.int64)
-        value[plain] |= np.where(more > 0, w[of[plain], v], 0) << bits[plain]
-        bits[plain] += more
+    # bits << 16 | word
+    coded = [np.where(x > 0, w | x.astype(np.int64) << 16, 0).reshape(-1) for w, x in zip(words[:4], lengths[:4])]
+    value = coded[0][green]
+    bits = value >> 16
+    value &= 0xFFFF
+    literal_value, literal_bits = value[plain], bits[plain]
+    for v, code in zip(others, coded[1:]):
+        if code.any():
+            x = code[v]
+            literal_value |= (x & 0xFFFF) << literal_bits
+            literal_bits += x >> 16
+    value[plain], bits[plain] = literal_value, literal_bits
     for v, more in ((len_extra, len_bits), (words[4][of[nth], far_symbol], lengths[4][of[nth], far_symbol].astype(np.int64)), (far_extra, far_bits)):
         value[nth] |= np.where(more > 0, v, 0) << bits[nth]
         bits[nth] += more
-    return _packed(n, *_in_order(heads, cache_field, (row // 5, code_value, code_size), (of, value, bits)))
+    return _packed(n, *_in_order(n, heads, cache_field, (row // 5, code_value, code_size), (of, value, bits)))
 
 
 def _packed(n: int, of: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -1071,7 +1222,7 @@ def samples(images: list[np.ndarray]) -> np.ndarray:
 
 def traits(media: bytes) -> Counter:
     """What the images of a file were written with: transforms, caches, codes of more than one symbol, kinds of pixels."""
-    images = [read_head(c) for c in _chunks(media)]
+    images = read_heads(_chunks(media))
     totals = np.array([m.width * m.height for m in images], np.int64)
     kind, _ = _read_symbols(images, np.cumsum(totals) - totals)
     out = Counter(("predictor", "cross-colour", "subtract green", "palette")[u[0]] for m in images for u in m.undo)
