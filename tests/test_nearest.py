@@ -55,3 +55,11 @@ def test_lengths_are_each_row_s_own():
 
     with pytest.raises(DimensionMismatch):  # six numbers for three rows of two
         knn.matrix(pa.array([[1.0], [1.0, 2.0], [1.0, 2.0, 3.0]]), 2)
+
+
+def test_truth_is_worked_out_once(spark):
+    from sqlcheck import SMALL
+
+    from vectryx.plans import registry
+
+    assert "MapInArrow" not in registry.recall_of_half(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
