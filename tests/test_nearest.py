@@ -13,7 +13,7 @@ from vectryx.schema import Metric
 
 def brute(x, q, k, metric):
     for v in q:
-        d = knn._exact(x, np.broadcast_to(v, x.shape), metric)
+        d = knn.exact(x, np.broadcast_to(v, x.shape), metric)
         yield np.lexsort((np.arange(len(x)), d))[:k].tolist()
 
 

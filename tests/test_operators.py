@@ -121,3 +121,22 @@ def test_latencies_by_place(spark):
         assert tuple(diagnostics.latencies(rows).first()) == (n, own[n // 2], own[n * 99 // 100])
     found = diagnostics.latencies(rows)
     assert "SinglePartition" not in found.select("p50")._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+
+
+def test_walk_in_tasks_equals_walk_by_joins(spark, vectors, monkeypatch):
+    metric = Metric.EUCLIDEAN
+    some = vectors.where("id < 'v0150'").cache()
+    built = graph.build(some, metric, m=4).cache()
+    queries = some.where("id < 'v0015'").withColumnRenamed("id", "qid")
+    fewer = some.where("id <> 'v0123'")  # the graph still has it
+    cases = ((fewer, {"among": fewer.where("id < 'v0130'").select("id"), "where": F.col("id") >= "v0020"}),)
+    own = [sorted(map(tuple, graph.walk(built, rows, queries, 6, width=12, metric=metric, **more).collect())) for rows, more in cases]
+    assert "MapInArrow" in graph.walk(built, vectors, queries, 6)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "SENT_BYTES", 0)
+    by_joins = [sorted(map(tuple, graph.walk(built, rows, queries, 6, width=12, metric=metric, **more).collect())) for rows, more in cases]
+    assert own == by_joins and all(own)
+
+
+def test_graph_searches_once(spark, vectors):
+    plan = graph.neighbours(vectors, 4, Metric.COSINE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
