@@ -140,3 +140,16 @@ def test_walk_in_tasks_equals_walk_by_joins(spark, vectors, monkeypatch):
 def test_graph_searches_once(spark, vectors):
     plan = graph.neighbours(vectors, 4, Metric.COSINE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_postings_are_counted_in_their_row(spark, tmp_path):
+    from vectryx.operators import keywords
+
+    docs = spark.createDataFrame([("a", "The cat. the CAT the"), ("b", ""), ("c", None), ("d", "... !"), ("e", "x")], "id string, text string").coalesce(1)
+    found = keywords.postings(docs)
+    assert sorted((r.id, r.term, r.tf, r.dl) for r in found.collect()) == [("a", "cat", 2, 5), ("a", "the", 3, 5), ("e", "x", 1, 1)]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    keywords.store(docs, str(tmp_path / "index"))
+    assert tuple(spark.read.parquet(str(tmp_path / "index/stats")).first()) == (2, 3.0)
+    keywords.store(docs.where("id = 'c'"), str(tmp_path / "none"))
+    assert tuple(spark.read.parquet(str(tmp_path / "none/stats")).first()) == (0, None)

@@ -56,23 +56,27 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, id_: str = "id", tex
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(bucket, term, id, tf, dl): the index of the documents that have a text."""
-    own = _spread(docs.where(F.col(text).isNotNull()).select(id_, text)).select(F.col(id_).alias("id"), tokens(F.col(text)).alias("t"))
-    each = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    counted = each.groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    return counted.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
+    """(bucket, term, id, tf, dl): the index of the documents that have a text. A text's tokens are sorted and counted in its own row: nothing is shuffled."""
+    own = _spread(docs.where(F.col(text).isNotNull()).select(id_, text)).select(F.col(id_).alias("id"), F.array_sort(tokens(F.col(text))).alias("t"))
+    first = F.filter(F.transform("t", lambda term, i: F.when((i == 0) | (F.get("t", i - 1) != term), F.struct(term.alias("term"), i.alias("at")))), lambda x: x.isNotNull())
+    runs = own.select("id", F.size("t").alias("dl"), first.alias("runs"))
+    counted = F.transform("runs", lambda x, i: F.struct(x["term"].alias("term"), (F.coalesce(F.get("runs", i + 1)["at"], F.col("dl")) - x["at"]).alias("tf")))
+    each = runs.select("id", "dl", F.explode(counted).alias("x")).select("id", "dl", "x.term", "x.tf")
+    return each.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "id", "tf", "dl")
 
 
-def lengths(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(n, average): one row of statistics that goes with postings()."""
-    own = docs.where(F.col(text).isNotNull()).select(F.size(tokens(F.col(text))).alias("dl")).where(F.col("dl") > 0)
-    return own.agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
+def lengths(docs: DataFrame, index: DataFrame, text: str = "text") -> DataFrame:
+    """(n, average): one row of statistics that goes with postings(), the index. Of a text only the first token is looked for."""
+    n = docs.where(F.col(text).isNotNull() & F.lower(F.col(text)).rlike(r"[\p{L}\p{N}]")).agg(F.count("*").alias("n"))
+    total = index.agg(F.sum(F.col("tf").cast("long")).alias("total"))
+    return n.join(F.broadcast(total)).select("n", (F.col("total").cast("double") / F.nullif(F.col("n"), F.lit(0))).alias("average"))
 
 
 def store(docs: DataFrame, folder: str) -> None:
     """Writes the index of docs (id, text) into a folder: postings by bucket, and statistics."""
     postings(docs).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths(docs).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+    index = docs.sparkSession.read.schema("term string, tf int, bucket int").parquet(f"{folder}/postings")
+    lengths(docs, index).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def search_stored(spark: SparkSession, folder: str, query: str, k: int | None = None) -> DataFrame:
